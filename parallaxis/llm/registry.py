@@ -6,6 +6,7 @@ from .byte_bpe import op3_byte_bpe
 from .exact_dedup import op2_exact_dedup
 from .jaccard_join import op10_jaccard_join
 from .language_id import op6_language_id
+from .lm_scoring import op5_lm_scoring
 from .packing import op4_packing
 from .quality_rules import op1_quality_rules
 from .secret_scan import op9_secret_scan
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op2_exact_dedup": op2_exact_dedup,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_packing": op4_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_language_id": op6_language_id,
         "op9_secret_scan": op9_secret_scan,
         "op10_jaccard_join": op10_jaccard_join,
