@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 
 from ._common import documents
 
-#: Cached pieces in a worker; the cache is emptied when full. Affects speed only.
-CACHE_PIECES = 400_000
+#: Cached pieces in a worker (about 200 bytes each); the cache is emptied when full. Affects speed only.
+CACHE_PIECES = 1_000_000
+
+
+_LAYOUTS = [struct.Struct(f"<{n}I") for n in range(64)]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -44,7 +48,8 @@ class PrefixEncoder:
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
         self.reachable = {t: r for t, r in ranks.items() if len(t) == 1 or self._merge(t) == [r]}
-        self.suffixes = {t[i:] for t in self.reachable for i in range(len(t))}
+        #: every end of a token: its own rank if it is a token, else -1
+        self.ends = {t[i:]: -1 for t in self.reachable for i in range(len(t))} | self.reachable
         self.follows: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -75,16 +80,21 @@ class PrefixEncoder:
     def prefix_tokens(self, data: bytes, last: list[int] | None = None) -> list[int]:
         """last[i] for every prefix; give the list of a beginning of data to append to it."""
         last = [-1] if last is None else last
-        reachable, suffixes, may_follow = self.reachable, self.suffixes, self._may_follow
+        end_of, follows, may_follow = self.ends.get, self.follows, self._may_follow
         for end in range(len(last), len(data) + 1):
             choices = []
             start = end - 1
-            while start >= 0 and (part := data[start:end]) in suffixes:
-                if (token := reachable.get(part)) is not None:
+            while start >= 0 and (token := end_of(data[start:end])) is not None:
+                if token >= 0:
                     choices.append((start, token))
                 start -= 1
-            for start, token in reversed(choices):
-                if start == 0 or may_follow(last[start], token):
+            while choices:
+                start, token = choices.pop()
+                if start == 0:
+                    last.append(token)
+                    break
+                known = follows.get(last[start] << 32 | token)
+                if known or (known is None and may_follow(last[start], token)):
                     last.append(token)
                     break
             else:
@@ -103,7 +113,8 @@ class PrefixEncoder:
         return [rank] if rank is not None else self.walk_back(self.prefix_tokens(data), len(data))
 
     def _packed(self, piece: str) -> bytes:
-        ids = np.array(self.encode_piece(piece.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+        ids = self.encode_piece(piece.encode("utf-8", "surrogatepass"))
+        ids = _LAYOUTS[len(ids)].pack(*ids) if len(ids) < len(_LAYOUTS) else np.array(ids, "<u4").tobytes()
         if len(self.pieces) >= CACHE_PIECES:
             self.pieces.clear()
         if len(piece) <= 64:
