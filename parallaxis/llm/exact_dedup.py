@@ -123,16 +123,19 @@ def deduplicate(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without the rows that deduplicate() drops; all columns stay."""
     verdicts = materialize(deduplicate(docs), "verdicts")
-    dropped = verdicts.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__id"))
+    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
     stays = verdicts.where("kept").select(F.col("doc_id").alias("__id"))
-    both = dropped.join(stays, "__id", "left_semi").distinct()  # ids with repeated rows, or with several texts
-    gone = dropped.join(both, "__id", "left_anti").distinct()
-    id_ = F.col("doc_id").cast("long")
-    nulls = docs.where(F.col("doc_id").isNull())
-    unsure = docs.join(both, id_ == F.col("__id"), "left_semi").unionByName(nulls)
-    sure = docs.join(gone.unionByName(both), id_ == F.col("__id"), "left_anti").where(F.col("doc_id").isNotNull())
-    picked = _pick(unsure, verdicts)
-    return sure.unionByName(picked)
+    same = F.col("doc_id").cast("long") == F.col("__id")
+    # ids that repeat, with equal or other texts, and null ids: their rows need a look at the text
+    both = materialize(
+        dropped.join(stays, "__id", "left_semi").unionByName(dropped.where("__id is null")).distinct(), "repeated"
+    )
+    gone = materialize(dropped.join(both, "__id", "left_anti").where("__id is not null").distinct(), "dropped")
+    if both.isEmpty():
+        return docs.join(gone, same, "left_anti")
+    unsure = docs.join(both, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    sure = docs.join(gone.unionByName(both), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+    return sure.unionByName(_pick(unsure, verdicts))
 
 
 def _pick(docs: DataFrame, verdicts: DataFrame) -> DataFrame:

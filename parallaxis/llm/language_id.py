@@ -180,6 +180,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, load(fit(docs)))
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
+    """docs without rows that have no letter, or that are unlike every learned language; all columns stay.
+
+    Without any labelled row there is no language to tell from, and nothing is dropped.
+    """
+    profiles = load(fit(docs))
+    if not profiles.languages:
+        return docs
+    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
+    found = predict(own, profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.drop("lang_pred", "score").withColumnsRenamed({f"__own_{c}": c for c in ("lang_pred", "score")})
+
+
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     profiles = load(fit(docs))

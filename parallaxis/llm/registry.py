@@ -8,8 +8,10 @@ from .jaccard_join import op10_jaccard_join
 from .language_id import op6_language_id
 from .lm_scoring import op5_lm_scoring
 from .packing import op4_packing
+from .pii_surrogates import op8_pii_surrogates
 from .quality_rules import op1_quality_rules
 from .secret_scan import op9_secret_scan
+from .toxicity import op7_toxicity
 
 
 def queries() -> dict:
@@ -20,6 +22,8 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_lm_scoring": op5_lm_scoring,
         "op6_language_id": op6_language_id,
+        "op7_toxicity": op7_toxicity,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_secret_scan": op9_secret_scan,
         "op10_jaccard_join": op10_jaccard_join,
     }
