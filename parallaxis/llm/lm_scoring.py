@@ -2,12 +2,13 @@
 
 A text is the sequence of its lower-cased words (A-Z only), then an end. Each is spelt
 as bytes with a closing blank (the end is a blank alone), so a score is the sum over
-tokens of log10 probabilities of their spellings, eight binary decisions a byte.
+tokens of log10 probabilities of their spellings. A byte is spelt by the binary
+decisions of a Huffman code of the training tokens' bytes, fewer than eight on average.
 
 Several predictors each give a bit's probability from counts in a hashed context: the
 position, the last one, two, three and four bytes, and the whole beginning of the
 token. A gated mixer combines them in the logistic domain, its weights chosen by the
-depth of the bit in its byte and by how well the longest contexts are known; an
+depth of the decision in its byte and by how well the longest contexts are known; an
 adaptive probability map then refines the mix. Mixer and map learn online: a bit is
 predicted from counts that leave out the occurrence at hand, then the weights move.
 
@@ -30,6 +31,7 @@ even and the base score uses N = V = 0. Any length of text is scored whole.
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -52,7 +54,10 @@ BLOCK_CHARS = 24_000_000
 SHARD_TOKENS = 750_000
 CHUNK = 4096
 KNOWN_CLASSES = 4
-MIXERS = 8 * KNOWN_CLASSES * KNOWN_CLASSES
+GATES = KNOWN_CLASSES * KNOWN_CLASSES
+#: Depths of a decision that have mixers and maps of their own.
+DEPTHS = 8
+MIXERS = DEPTHS * GATES
 MAP_BUCKETS = 33
 #: Curvature that the first weights are worth.
 CURVE_PRIOR = 50.0
@@ -66,10 +71,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -112,116 +113,144 @@ class Spelling:
             state[alive] = (state[alive] ^ flat[at]) * np.uint64(0x100000001B3)
         return out * _MIX + np.uint64(9)
 
-    def bits(self) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-        """(depth, bits, cell of each context) for the eight bits of all bytes."""
-        node = np.ones(len(self.flat), np.uint64)
-        for depth in range(8):
-            bit = (self.flat >> np.uint64(7 - depth)) & np.uint64(1)
-            mark = node * np.uint64(0xD6E8FEB86659FD93)
+    def bits(self, code: "Code") -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
+        """(depth, which bytes, their bits, cell of each context) for the decisions of all bytes."""
+        alive = np.arange(len(self.flat))
+        for depth in range(code.longest):
+            alive = alive[code.lengths[self.flat[alive]] > depth]
+            path = code.paths[self.flat[alive]]
+            bit = (path >> np.uint64(depth)) & np.uint64(1)
+            so_far = (path & np.uint64((1 << depth) - 1)) | np.uint64(1 << depth)
+            mark = so_far * np.uint64(0xD6E8FEB86659FD93)
             cells = [
-                (((c ^ mark) * _MIX) >> np.uint64(64 - width)).astype(np.int64)
+                (((c[alive] ^ mark) * _MIX) >> np.uint64(64 - width)).astype(np.int64)
                 for c, width in zip(self.contexts, TABLE_BITS, strict=True)
             ]
-            yield depth, bit.astype(np.int64), cells
-            node = node * np.uint64(2) + bit
+            yield min(depth, DEPTHS - 1), alive, bit.astype(np.int64), cells
+
+
+class Code:
+    """A Huffman code of bytes; paths hold a byte's decisions, the first one lowest."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        self.lengths, self.paths = np.zeros(256, np.int64), np.zeros(256, np.uint64)
+        while len(heap) > 1:
+            one, other = heapq.heappop(heap), heapq.heappop(heap)
+            for bit, (_, _, members) in enumerate((one, other)):
+                for b in members:
+                    self.paths[b] = (int(self.paths[b]) << 1) | bit
+                    self.lengths[b] += 1
+            heapq.heappush(heap, (one[0] + other[0], min(one[1], other[1]), one[2] + other[2]))
+        self.longest = int(self.lengths.max())
 
 
 def _known(n: np.ndarray) -> np.ndarray:
     """Class of the evidence in a cell: none, one, few, many."""
-    return (n > 0.5).astype(np.int64) + (n > 1.5) + (n > 7.5)
+    return ((n > 0.5).astype(np.uint8) + (n > 1.5) + (n > 7.5)).astype(np.uint8)
+
+
+def _evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -9, 9).astype(np.float32)
 
 
 class Model:
-    """counts[context][cell, bit], weights[mixer, context + 1], refine[depth, bucket, (ones, all)].
+    """Predictions by cell, weights[mixer, context + 1] and refine[depth, bucket, (ones, all)].
 
     least: tokens with fewer occurrences have no part in the counts of whole beginnings.
+    learning: tables without the occurrence at hand are made, too.
     """
 
-    def __init__(self, counts: list, least: int, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.counts, self.least = counts, least
+    def __init__(self, counts: list, code: Code, least: int, weights=None, refine=None, learning: bool = False):
+        self.code, self.least = code, least
+        self.plain, self.left_out, self.known, self.known_left_out = [], [], [], []
+        for k, table in enumerate(counts):
+            zeros, ones = table[:, 0], table[:, 1]
+            last = k == CONTEXTS - 1
+            if last or not learning:
+                self.plain.append(_evidence(zeros, ones))
+            else:
+                self.plain.append(None)
+            if learning:
+                without = np.empty((len(table), 2), np.float32)
+                without[:, 0] = _evidence(np.maximum(zeros - 1, 0), ones)
+                without[:, 1] = _evidence(zeros, np.maximum(ones - 1, 0))
+                self.left_out.append(without.ravel())
+            if k >= CONTEXTS - 2:
+                self.known.append(_known(zeros + ones))
+                if learning:
+                    self.known_left_out.append(_known(zeros + ones - 1))
         if weights is None:
-            weights = np.full((MIXERS, CONTEXTS + 1), 0.3, np.float64)
+            weights = np.full((MIXERS, CONTEXTS + 1), 0.3)
             weights[:, -1] = 0
         self.weights = weights
-        if refine is None:
-            refine = np.zeros((8, MAP_BUCKETS, 2))
-        self.refine = refine
+        self.refine = np.zeros((DEPTHS, MAP_BUCKETS, 2)) if refine is None else refine
         self.curve = np.tile(np.eye(CONTEXTS + 1) * CURVE_PRIOR, (MIXERS, 1, 1))
 
-    def _inputs(self, depth: int, bit: np.ndarray, cells: list[np.ndarray], left_out):
-        """Stretched predictions, and the number of the mixer that each bit uses."""
-        stretched = np.empty((CONTEXTS + 1, len(bit)))
-        known = []
-        for k, cell in enumerate(cells):
-            pair = self.counts[k][cell]
-            zeros, ones = pair[:, 0].astype(np.float64), pair[:, 1].astype(np.float64)
-            if left_out is not None:
-                own = left_out if k == CONTEXTS - 1 else 1.0
-                zeros = np.maximum(zeros - own * (1 - bit), 0)
-                ones = np.maximum(ones - own * bit, 0)
-            stretched[k] = np.log((ones + PRIOR) / (zeros + PRIOR))
-            if k >= CONTEXTS - 2:
-                known.append(_known(zeros + ones))
-        np.clip(stretched[:-1], -9, 9, out=stretched[:-1])
-        stretched[-1] = 0.25
-        return stretched, (depth * KNOWN_CLASSES + known[0]) * KNOWN_CLASSES + known[1]
-
-    def _mixed(self, stretched: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        w = self.weights[gate]
-        return np.clip(sum(w[:, k] * stretched[k] for k in range(CONTEXTS + 1)), -12, 12)
-
     @staticmethod
     def _buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = (x + 12) * ((MAP_BUCKETS - 1) / 24)
         low = np.minimum(where.astype(np.int64), MAP_BUCKETS - 2)
         return low, where - low
 
+    def _by_gate(self, depth: int, gate: np.ndarray) -> Iterator[tuple[int, slice]]:
+        """Slices of rows that are sorted by gate."""
+        edges = np.searchsorted(gate, np.arange(GATES + 1))
+        for g in range(GATES):
+            if edges[g] < edges[g + 1]:
+                yield depth * GATES + g, slice(edges[g], edges[g + 1])
+
     def learn(self, tokens: list[bytes], counts: np.ndarray) -> None:
         """Online: predict each bit without the occurrence at hand, note it in the map, move the mixer.
 
         A mixer moves by the gradient over the curvature gathered so far, an online Newton step.
         """
         spelling = Spelling(tokens)
-        weight = counts[spelling.owner].astype(np.float64)
-        noted = (weight >= self.least).astype(np.float64)
-        for depth, bit, cells in spelling.bits():
-            stretched, gate = self._inputs(depth, bit, cells, noted)
-            x = self._mixed(stretched, gate)
-            low, part = self._buckets(x)
-            for bucket, share in ((low, (1 - part) * weight), (low + 1, part * weight)):
-                self.refine[depth, :, 1] += np.bincount(bucket, share, MAP_BUCKETS)
-                self.refine[depth, :, 0] += np.bincount(bucket, share * bit, MAP_BUCKETS)
-            p = _squash(x)
-            error, bend = (bit - p) * weight, p * (1 - p) * weight
-            first = depth * KNOWN_CLASSES * KNOWN_CLASSES
-            mine = slice(first, first + KNOWN_CLASSES * KNOWN_CLASSES)
-            gate = gate - first
-            m = KNOWN_CLASSES * KNOWN_CLASSES
-            slope = np.stack([np.bincount(gate, error * s, m) for s in stretched], axis=1)
-            for i in range(CONTEXTS + 1):
-                bent = bend * stretched[i]
-                for j in range(i + 1):
-                    total = np.bincount(gate, bent * stretched[j], m)
-                    self.curve[mine, i, j] += total
-                    if i != j:
-                        self.curve[mine, j, i] += total
-            moved = self.weights[mine] + np.linalg.solve(self.curve[mine], slope[..., None])[..., 0]
-            self.weights[mine] = np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
+        weights = counts[spelling.owner].astype(np.float64)
+        for depth, alive, bit, cells in spelling.bits(self.code):
+            weight = weights[alive]
+            noted = weight >= self.least
+            last = cells[-1]
+            gate = self.known_left_out[0][cells[-2]] * KNOWN_CLASSES + np.where(
+                noted, self.known_left_out[1][last], self.known[1][last]
+            )
+            order = np.argsort(gate, kind="stable")
+            gate, weight, bit, noted = gate[order], weight[order], bit[order], noted[order]
+            inputs = np.empty((len(order), CONTEXTS + 1))
+            for k, cell in enumerate(cells):
+                inputs[:, k] = self.left_out[k][(cell[order] << 1) | bit]
+            inputs[~noted, CONTEXTS - 1] = self.plain[-1][last[order][~noted]]
+            inputs[:, -1] = 0.25
+            for mixer, rows in self._by_gate(depth, gate):
+                part, w, y = inputs[rows], weight[rows], bit[rows]
+                x = np.clip(part @ self.weights[mixer], -12, 12)
+                low, upper = self._buckets(x)
+                for bucket, share in ((low, (1 - upper) * w), (low + 1, upper * w)):
+                    self.refine[depth, :, 1] += np.bincount(bucket, share, MAP_BUCKETS)
+                    self.refine[depth, :, 0] += np.bincount(bucket, share * y, MAP_BUCKETS)
+                p = _squash(x)
+                self.curve[mixer] += (part * (p * (1 - p) * w)[:, None]).T @ part
+                moved = self.weights[mixer] + np.linalg.solve(self.curve[mixer], part.T @ ((y - p) * w))
+                self.weights[mixer] = np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
 
     def log10(self, tokens: list[bytes]) -> np.ndarray:
         """log10 probability of each token's spelling."""
         spelling = Spelling(tokens)
         ones, seen = self.refine[..., 0], self.refine[..., 1]
-        grid = _squash(np.linspace(-12, 12, MAP_BUCKETS))
-        refined = (ones + 4 * grid) / (seen + 4)
+        refined = (ones + 4 * _squash(np.linspace(-12, 12, MAP_BUCKETS))) / (seen + 4)
         total = np.zeros(spelling.n)
-        for depth, bit, cells in spelling.bits():
-            stretched, gate = self._inputs(depth, bit, cells, None)
-            x = self._mixed(stretched, gate)
-            low, part = self._buckets(x)
-            mapped = refined[depth, low] * (1 - part) + refined[depth, low + 1] * part
+        for depth, alive, bit, cells in spelling.bits(self.code):
+            gate = self.known[0][cells[-2]] * KNOWN_CLASSES + self.known[1][cells[-1]]
+            w = self.weights[depth * GATES : (depth + 1) * GATES]
+            x = 0.25 * w[gate, -1]
+            for k, cell in enumerate(cells):
+                x += w[gate, k] * self.plain[k][cell]
+            np.clip(x, -12, 12, out=x)
+            low, upper = self._buckets(x)
+            mapped = refined[depth, low] * (1 - upper) + refined[depth, low + 1] * upper
             p = np.clip((_squash(x) + mapped) / 2, 1e-6, 1 - 1e-6)
-            total += np.bincount(spelling.owner, np.log10(np.where(bit == 1, p, 1 - p)), spelling.n)
+            total += np.bincount(spelling.owner[alive], np.log10(np.where(bit == 1, p, 1 - p)), spelling.n)
         return total
 
 
@@ -296,30 +325,47 @@ def _least_noted(words: DataFrame) -> int:
     return least
 
 
-def _note(counts: list, tokens: list[bytes], occurrences: np.ndarray, least: int) -> None:
+def _note(counts: list, tokens: list[bytes], occurrences: np.ndarray, code: Code, least: int) -> None:
     """Add tokens to the flat tables of counts (cell * 2 + bit)."""
     spelling = Spelling(tokens)
-    weight = occurrences[spelling.owner].astype(np.float64)
-    for _, bit, cells in spelling.bits():
+    weights = occurrences[spelling.owner].astype(np.float32)
+    for _, alive, bit, cells in spelling.bits(code):
+        weight = weights[alive]
         for k, cell in enumerate(cells):
-            at, amount = cell * 2 + bit, weight
+            at, amount = (cell << 1) | bit, weight
             if k == CONTEXTS - 1:
                 noted = weight >= least
                 at, amount = at[noted], weight[noted]
-            np.add.at(counts[k], at, amount.astype(np.float32))
+            np.add.at(counts[k], at, amount)
+
+
+def _byte_counts(shards: DataFrame) -> np.ndarray:
+    """How often each byte spells a distinct training token; 256 sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
+        for tokens, _ in _chunks(batches):
+            total += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+
+    sums = shards.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    counts = np.zeros(256, np.int64)
+    for byte, n in sums.collect():
+        counts[byte] = n
+    return counts
 
 
 def _tables() -> list[np.ndarray]:
     return [np.zeros(2 << width, np.float32) for width in TABLE_BITS]
 
 
-def _context_counts(shards: DataFrame, least: int) -> list[np.ndarray]:
+def _context_counts(shards: DataFrame, code: Code, least: int) -> list[np.ndarray]:
     """Exact sums over all training tokens; a fixed number of cells, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables()
         for tokens, occurrences in _chunks(batches):
-            _note(tables, tokens, occurrences, least)
+            _note(tables, tokens, occurrences, code, least)
         for k, table in enumerate(tables):
             for part in range(0, len(table), CHUNK):
                 piece = table[part : part + CHUNK]
@@ -350,11 +396,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np
             yield part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
 
 
-def _mixer(shards: DataFrame, shared, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _mixer(shards: DataFrame, shared, code: Code, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Every shard learns online from all its tokens; one small row a shard is combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Model(shared.value, least), 0
+        model, seen = Model(shared.value, code, least, learning=True), 0
         for tokens, counts in _chunks(batches):
             model.learn(tokens, counts)
             seen += int(counts.sum())
@@ -368,7 +414,8 @@ def _mixer(shards: DataFrame, shared, least: int) -> tuple[np.ndarray, np.ndarra
                 names=["seen", "weights", "refine"],
             )
 
-    rows = shards.mapInArrow(run, "seen long, weights array<double>, refine array<double>")
+    # a few thousand numbers a shard, written so that the shards learn once
+    rows = materialize(shards.mapInArrow(run, "seen long, weights array<double>, refine array<double>"), "mixers")
     means = (
         rows.select("seen", F.posexplode("weights").alias("at", "w"))
         .groupBy("at")
@@ -376,11 +423,11 @@ def _mixer(shards: DataFrame, shared, least: int) -> tuple[np.ndarray, np.ndarra
         .select(F.lit("w").alias("kind"), "at", "value")
     )
     sums = rows.select(F.posexplode("refine").alias("at", "r")).groupBy("at").agg(F.sum("r").alias("value"))
-    model = Model([], least)
+    model = Model([], code, least)
     weights, refine = model.weights.ravel().copy(), model.refine.ravel().copy()
     for kind, at, value in means.unionByName(sums.select(F.lit("r").alias("kind"), "at", "value")).collect():
         (weights if kind == "w" else refine)[at] = value
-    return weights.reshape(MIXERS, -1), refine.reshape(8, MAP_BUCKETS, 2)
+    return weights.reshape(MIXERS, -1), refine.reshape(DEPTHS, MAP_BUCKETS, 2)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -399,28 +446,31 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, known_words, distinct = facts[0] + ends, facts[1] + (ends > 0), facts[2]
 
     shards = max(spark.sparkContext.defaultParallelism, -(-distinct // SHARD_TOKENS))
-    learnt = words.where("count > 0").repartition(shards, "word").select("word", "count")
+    # dealt once, and read by each pass
+    dealt = materialize(words.select("word", "count").repartition(shards, "word"), "tokens")
+    learnt = dealt.where("count > 0")
     least = _least_noted(words)
-    tables = _context_counts(learnt, least)
+    code = Code(_byte_counts(learnt))
+    tables = _context_counts(learnt, code, least)
     if ends:
-        _note(tables, [b""], np.array([ends]), least)
+        _note(tables, [b""], np.array([ends]), code, least)
     counts = [t.reshape(-1, 2) for t in tables]
     shared = spark.sparkContext.broadcast(counts)  # sum of 2**TABLE_BITS cells: 50 MB, whatever the input
-    weights, refine = _mixer(learnt, shared, least)
+    weights, refine = _mixer(learnt, shared, code, least)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, least, weights, refine)
+        model = Model(shared.value, code, least, weights, refine)
         for batch in batches:
             rated = [model.log10(tokens) for tokens, _ in _chunks([batch])]
             out = np.concatenate(rated) if rated else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["word", "count", "model"])
 
     rated = materialize(
-        words.select("word", "count").repartition(shards, "word").mapInArrow(rate, "word binary, count long, model double"),
+        dealt.mapInArrow(rate, "word binary, count long, model double"),
         "rated",
     )
     discard(words)
-    end_model = float(Model(counts, least, weights, refine).log10([b""])[0])
+    end_model = float(Model(counts, code, least, weights, refine).log10([b""])[0])
     base = (F.col("count") + 1) / F.lit(float(train_tokens + known_words + 1))
     back = (
         spelt.select("block", "number", "word")
