@@ -1,9 +1,15 @@
-"""All queries and their SQL equivalents."""
+"""All queries on the driver's tables, each with its SQL equivalent where SQL can express it."""
+
+from __future__ import annotations
+
+from . import area, keypoints, pixels, tables
+
+_MODULES = (area, tables, pixels, keypoints)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in _MODULES for name, (f, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
