@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import area, keypoints, pixels, tables
+from . import area, keypoints, pixels, streams, tables
 
-_MODULES = (area, tables, pixels, keypoints)
+_MODULES = (area, tables, pixels, keypoints, streams)
 
 
 def queries() -> dict:
