@@ -247,14 +247,14 @@ QUERIES = {
     "homography_distortion": (
         homography_distortion,
         """WITH h AS (
-          SELECT l_orderkey AS id, l_discount AS v, 1 + (l_orderkey % 5) * 0.01::DOUBLE AS a, (l_orderkey % 3) * 0.02::DOUBLE AS b, (l_orderkey % 7)::DOUBLE AS c,
+          SELECT row_number() OVER () AS rid, l_orderkey AS id, l_discount AS v, 1 + (l_orderkey % 5) * 0.01::DOUBLE AS a, (l_orderkey % 3) * 0.02::DOUBLE AS b, (l_orderkey % 7)::DOUBLE AS c,
             (l_orderkey % 2) * 0.01::DOUBLE AS d, 1 - (l_orderkey % 4) * 0.02::DOUBLE AS e, (l_orderkey % 11)::DOUBLE AS f, (l_orderkey % 3) * 1e-5::DOUBLE AS g, (l_orderkey % 5) * 1e-5::DOUBLE AS i
           FROM lineitem WHERE l_linenumber = 1
-        ), p AS (SELECT id, v, n, (a * x + b * y + c) / (g * x + i * y + 1) AS u, (d * x + e * y + f) / (g * x + i * y + 1) AS w
+        ), p AS (SELECT rid, id, v, n, (a * x + b * y + c) / (g * x + i * y + 1) AS u, (d * x + e * y + f) / (g * x + i * y + 1) AS w
           FROM h, (VALUES (0, 0, 0), (1, 1024, 0), (2, 1024, 512), (3, 0, 512)) AS t(n, x, y)
-        ), q AS (SELECT l.id, l.v, l.u * r.w - r.u * l.w AS z, ln(sqrt(pow(r.u - l.u, 2) + pow(r.w - l.w, 2)) / CASE WHEN l.n % 2 = 0 THEN 1024 ELSE 512 END) AS g
-          FROM p AS l JOIN p AS r ON l.id = r.id AND r.n = (l.n + 1) % 4)
-        SELECT id, round(abs(ln(abs(sum(z)) / 2 / (1024 * 512))) + avg(abs(g)) + stddev_pop(g) + 0.25 * (1 - any_value(v)), 8) AS score FROM q GROUP BY id""",
+        ), q AS (SELECT l.rid, l.id, l.v, l.u * r.w - r.u * l.w AS z, ln(sqrt(pow(r.u - l.u, 2) + pow(r.w - l.w, 2)) / CASE WHEN l.n % 2 = 0 THEN 1024 ELSE 512 END) AS g
+          FROM p AS l JOIN p AS r ON l.rid = r.rid AND r.n = (l.n + 1) % 4)
+        SELECT any_value(id) AS id, round(abs(ln(abs(sum(z)) / 2 / (1024 * 512))) + avg(abs(g)) + stddev_pop(g) + 0.25 * (1 - any_value(v)), 8) AS score FROM q GROUP BY rid""",
     ),
     "warp_choice": (
         warp_choice,
