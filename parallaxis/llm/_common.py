@@ -50,6 +50,16 @@ def discard(*tables: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+#: Bytes of one Arrow batch between Spark and Python; two directions and all cores of an executor hold some at once.
+BATCH_BYTES = "4m"
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with batches bounded by bytes, not by rows alone, whatever the length of the texts."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def id_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text modulo a number; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, map_batches
 
 #: Cached pieces in a worker (about 200 bytes each); the cache is emptied when full. Affects speed only.
 CACHE_PIECES = 1_000_000
@@ -175,7 +175,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
             ids = [encoder.encode(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    return _input(docs).mapInArrow(run, "doc_id long, ids binary")
+    return map_batches(_input(docs), run, "doc_id long, ids binary")
 
 
 def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -196,7 +196,7 @@ def round_trip(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFr
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return _input(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(_input(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def _input(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, documents, materialize
+from ._common import discard, documents, map_batches, materialize
 from .graph import components
 
 #: Sets up to this size are kept whole in the first table, so that they can enumerate subsets.
@@ -52,7 +52,7 @@ LIST_COST = 8
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Class ids up to which they are sent to all tasks that read texts again (8 bytes each); else a join.
 BROADCAST_IDS = 500_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -146,8 +146,7 @@ def _sets(docs: DataFrame, words: int, threshold: Threshold, extended: float) ->
                 names=["doc_id", "n", "digest", "first", "sketch"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n long, digest binary, first array<long>, sketch array<long>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary, first array<long>, sketch array<long>"
     )
 
 
@@ -197,7 +196,7 @@ def _subset_edges(nodes: DataFrame, threshold: Threshold, largest: int) -> DataF
             )
 
     small = nodes.where((F.col("n") > 0) & (F.col("n") <= largest))
-    rows = small.select("node", "first").mapInArrow(run, "k1 long, k2 long, left int, a int, node long")
+    rows = map_batches(small.select("node", "first"), run, "k1 long, k2 long, left int, a int, node long")
     most = threshold.dropped(largest)
     key = ["k1", "k2", "left"]
     stars = (
@@ -348,7 +347,7 @@ def _list_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
                 [pa.array(out_nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "elements"]
             )
 
-    sets = found.mapInArrow(shingle, "node long, elements binary")
+    sets = map_batches(found, shingle, "node long, elements binary")
     pairing = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("part", other).alias("first_part"), F.greatest("part", other).alias("second_part")),

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import documents, id_bucket
+from ._common import documents, id_bucket, map_batches
 
 BITS = 15
 PROFILE = 400
@@ -132,8 +132,8 @@ def fit(docs: DataFrame) -> DataFrame:
             )
 
     cells = (
-        training_rows(docs)
-        .mapInArrow(count, "lang string, cell int, n long")
+        map_batches(training_rows(docs)
+        , count, "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
     )
@@ -172,7 +172,7 @@ def predict(docs: DataFrame, profiles: Profiles) -> DataFrame:
     schema = T.StructType(
         [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     )
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def identify(docs: DataFrame) -> DataFrame:

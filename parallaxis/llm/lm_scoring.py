@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, documents, materialize
+from ._common import discard, documents, map_batches, materialize
 
 FOLDS, HELD_OUT = 7, 2
 #: Cells of the contexts: position, last one, two, three and four bytes, whole beginning.
@@ -300,8 +300,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run,
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
         "block long, words array<binary>, counts array<long>, "
         "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, tokens: binary>>",
     )
@@ -348,7 +347,7 @@ def _byte_counts(shards: DataFrame) -> np.ndarray:
             total += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
-    sums = shards.mapInArrow(run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    sums = map_batches(shards, run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
     counts = np.zeros(256, np.int64)
     for byte, n in sums.collect():
         counts[byte] = n
@@ -381,7 +380,7 @@ def _context_counts(shards: DataFrame, code: Code, least: int) -> list[np.ndarra
         return pd.DataFrame({"context": [key[0]], "part": [key[1]], "cells": [packed]})
 
     schema = "context int, part int, cells binary"
-    sums = shards.mapInArrow(run, schema).groupBy("context", "part").applyInPandas(add, schema)
+    sums = map_batches(shards, run, schema).groupBy("context", "part").applyInPandas(add, schema)
     tables = _tables()
     for k, part, cells in sums.toLocalIterator():
         piece = np.frombuffer(zlib.decompress(cells), np.float32)
@@ -415,7 +414,7 @@ def _mixer(shards: DataFrame, shared, code: Code, least: int) -> tuple[np.ndarra
             )
 
     # a few thousand numbers a shard, written so that the shards learn once
-    rows = materialize(shards.mapInArrow(run, "seen long, weights array<double>, refine array<double>"), "mixers")
+    rows = materialize(map_batches(shards, run, "seen long, weights array<double>, refine array<double>"), "mixers")
     means = (
         rows.select("seen", F.posexplode("weights").alias("at", "w"))
         .groupBy("at")
@@ -466,7 +465,7 @@ def score(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["word", "count", "model"])
 
     rated = materialize(
-        dealt.mapInArrow(rate, "word binary, count long, model double"),
+        map_batches(dealt, rate, "word binary, count long, model double"),
         "rated",
     )
     discard(words)

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, map_batches
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 65_536
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, tokenizer_json: str, pattern: str, tiers=TIERS) -> Dat
                     yield from rows(last=False)
         yield from rows(last=True)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, SCHEMA)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import automaton
-from ._common import documents
+from ._common import documents, map_batches
 
 
 @dataclass(frozen=True)
@@ -171,8 +171,7 @@ def scan(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=["doc_id", "text", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, text string, spans array<struct<start: long, end: long, kind: string>>"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")), run, "doc_id long, text string, spans array<struct<start: long, end: long, kind: string>>"
     )
 
 
@@ -201,8 +200,7 @@ def digest(docs: DataFrame, rules=RULES) -> DataFrame:
                 names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string"
     )
 
 
@@ -232,7 +230,7 @@ def redact(docs: DataFrame, rules=RULES, mark: str = "[SECRET]") -> DataFrame:
                 batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def _cut(text: str, spans, mark: str) -> str:

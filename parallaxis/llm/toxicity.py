@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents
+from ._common import documents, map_batches
 
 SAMPLE_ROWS = 12_000
 BEGINNINGS = (4, 5, 6, 7)
@@ -217,8 +217,7 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 names=["doc_id", "p_toxic", "severity", "grade", "toxic"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean"
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean"
     )
 
 
