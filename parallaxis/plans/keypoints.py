@@ -5,9 +5,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import features
 from ..operators import matches as m
 from ..operators import raster
 from . import fixtures as fx
+from .pixels import _TEMP, _iou
 
 W, H = fx.WIDTH, fx.HEIGHT
 
@@ -116,6 +118,22 @@ def hull_coverage(spark, sf):
     return raster.hulls_by_pair(fx.matches(spark, sf).where("pair_id <= 200"), H, W)
 
 
+def result_table(spark, sf):
+    """All blocks of a result row, for pairs that have matches and masks."""
+    found = fx.matches(spark, sf).where("pair_id <= 40")
+    counts = found.groupBy("pair_id").agg(F.count(F.lit(1)).alias("left_allowed"), (F.count(F.lit(1)) + 3).alias("right_allowed"))
+    name = lambda c: F.concat(F.lit(c), F.col("pair_id").cast("string"))
+    pairs = counts.select("pair_id", name("l").alias("id_left"), F.lit("N/A").alias("date_left"), name("r").alias("id_right"),
+                          F.lit("N/A").alias("date_right"), F.col("pair_id").cast("string").alias("index"))
+    frame = features.Frame(W, H, fx.ROAD, fx.TEMPORARY, ignore_temporary=True)
+    out = features.result_table(pairs, found, counts, frame, fx.pixels(spark, sf))
+    return out.select(
+        "id_left", "id_right", "index", *(F.round(c, 8).alias(c) for c in (
+            "lightglue_match_ratio", "lightglue_avg_distance", "seg_overlap_mean_iou", "seg_overlap_road_iou")),
+        "seg_temp_union_fraction",
+    )
+
+
 def homography_ransac(spark, sf):
     return raster.homographies_by_pair(fx.matches(spark, sf).where("pair_id <= 200"))
 
@@ -199,6 +217,8 @@ kept AS (SELECT * FROM counted WHERE ok OR n < 4 OR good < 4)"""
 _AXIS = "({c}h - {c}l <= 1e-6 OR {c} BETWEEN {c}l - 1.5 * ({c}h - {c}l) AND {c}h + 1.5 * ({c}h - {c}l))"
 _QUARTERS = ", ".join(f"quantile_cont({c}, 0.25) AS {c}l, quantile_cont({c}, 0.75) AS {c}h" for c in ("lx", "ly", "rx", "ry"))
 
+_pixel_iou = _iou(f"SELECT * FROM pixels WHERE NOT {_TEMP}")
+
 QUERIES = {
     "mutual_nn_match": (
         mutual_nn_match,
@@ -271,6 +291,15 @@ QUERIES = {
         f"""WITH {fx.MATCHES}, a AS (SELECT pair_id, atan2((kp % 60) - 30, 100) AS t, sqrt(pow((kp % 60) - 30, 2) + 10000) AS len FROM matches)
         SELECT pair_id AS image_id, round(degrees(sum(t * len) FILTER (degrees(t) BETWEEN -20 AND 20) / sum(len) FILTER (degrees(t) BETWEEN -20 AND 20)), 8) AS horizon_angle FROM a GROUP BY 1""",
     ),
+    "result_table": (
+        result_table,
+        f"""WITH {fx.MATCHES}, {_pixel_iou}, p AS (SELECT pair_id, avg(sqrt(pow(lx - rx, 2) + pow(ly - ry, 2))) AS d FROM matches WHERE pair_id <= 40 GROUP BY 1),
+        i AS (SELECT pair_id, round(avg(iou), 8) AS a, round(avg(iou) FILTER (class = 0), 8) AS b FROM iou GROUP BY 1),
+        t AS (SELECT pair_id, round(avg(CAST(left_label BETWEEN 11 AND 18 OR right_label BETWEEN 11 AND 18 AS DOUBLE)), 6) AS u FROM pixels GROUP BY 1)
+        SELECT 'l' || pair_id AS id_left, 'r' || pair_id AS id_right, CAST(pair_id AS VARCHAR) AS index, 1::DOUBLE AS lightglue_match_ratio,
+               round(d / sqrt(1024 * 1024 + 512 * 512), 8) AS lightglue_avg_distance, a AS seg_overlap_mean_iou, b AS seg_overlap_road_iou, u AS seg_temp_union_fraction
+        FROM p LEFT JOIN i USING (pair_id) LEFT JOIN t USING (pair_id)""",
+    ),
     "sky_heuristic": (sky_heuristic, None),
     "hull_coverage": (hull_coverage, None),
     "homography_ransac": (homography_ransac, None),
