@@ -27,13 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, map_batches
+from ._common import documents, map_batches, materialize
 
 SAMPLE_ROWS = 12_000
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 5
 LEAST_RATIO = 12.0
 FEATURES = 6_000
+CANDIDATES = 100_000
 PENALTY = 0.05
 LEVELS = 3
 TOXIC_AT = 0.5
@@ -74,46 +75,50 @@ class OrdinalModel:
         return [1 / (1 + np.exp(np.clip(t - s, -30, 30))) for t in self.thresholds]
 
 
-def screen(rows: list[set[str]], positive: np.ndarray) -> list[str]:
-    """Features that positive rows have more often, by log-likelihood ratio."""
-    hits, all_ = Counter(), Counter()
-    for features, p in zip(rows, positive, strict=True):
-        all_.update(features)
-        if p:
-            hits.update(features)
-    n, m = len(rows), int(positive.sum())
-    names = [f for f, c in all_.items() if c >= LEAST_DOCUMENTS]
-    k1 = np.array([hits[f] for f in names], float)
-    k = np.array([all_[f] for f in names], float)
+def screen(at: np.ndarray, col: np.ndarray, names: list[str], positive: np.ndarray) -> np.ndarray:
+    """Numbers of the features that positive rows have more often, by log-likelihood ratio; (at, col) are the rows' features."""
+    n, m = len(positive), int(positive.sum())
+    k = np.bincount(col, minlength=len(names)).astype(float)
+    k1 = np.bincount(col[positive[at]], minlength=len(names)).astype(float)
 
     def part(x, e):
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
 
     ratio = part(k1, k * m / n) + part(k - k1, k * (n - m) / n) + part(m - k1, m * (n - k) / n) + part(n - m - k + k1, (n - m) * (n - k) / n)
-    order = np.lexsort((np.array(names), -ratio))[:FEATURES]
-    return sorted(names[i] for i in order if ratio[i] > LEAST_RATIO and k1[i] * n > k[i] * m)
+    good = (k >= LEAST_DOCUMENTS) & (ratio > LEAST_RATIO) & (k1 * n > k * m)
+    order = np.lexsort((np.array(names, dtype=object), -ratio)) if len(names) else np.zeros(0, np.int64)
+    return np.sort(order[good[order]][:FEATURES])
 
 
-def grades_of(rows: list[set[str]], toxic: np.ndarray, names: list[str]) -> np.ndarray:
+def grades_of(found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """0 for clean rows, 1 to LEVELS for toxic ones by the number of screened features they have."""
-    known = set(names)
-    found = np.array([len(r & known) for r in rows])
     edges = np.quantile(found[toxic], np.arange(1, LEVELS) / LEVELS) if toxic.any() else np.zeros(LEVELS - 1)
     return np.where(toxic, 1 + np.searchsorted(edges, found, side="left"), 0)
 
 
 def fit(texts: list[str | None], grades: list | None = None, toxic: list | None = None) -> OrdinalModel:
-    """Penalised maximum likelihood; thresholds are a first one and positive gaps. Grades, or labels to make them of."""
-    positive = np.array(grades if grades is not None else toxic, int) > 0
+    """A model of texts that are at hand, with grades, or with labels to make grades of."""
+    rows = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in texts]
+    names = sorted({f for r in rows for f in r})
+    index = {f: i for i, f in enumerate(names)}
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
+    col = np.array([index[f] for r in rows for f in r], np.int64)
+    given = grades if grades is not None else toxic
+    return fit_sparse(at, col, names, np.array(given, int), given is grades)
+
+
+def fit_sparse(at: np.ndarray, col: np.ndarray, names: list[str], y: np.ndarray, graded: bool) -> OrdinalModel:
+    """Penalised maximum likelihood; thresholds are a first one and positive gaps. Row at[i] has feature col[i]."""
+    positive = y > 0
     if not positive.any() or positive.all():
         return OrdinalModel({}, [30.0])
-    rows = [{f for w in words_of(t) for f in features_of(w)} for t in texts]
-    names = screen(rows, positive)
-    y = np.array(grades, int) if grades is not None else grades_of(rows, positive, names)
-    index = {f: i for i, f in enumerate(names)}
-    cols = [sorted(index[f] for f in r if f in index) for r in rows]
-    at = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
-    col = np.array([i for c in cols for i in c], np.int64)
+    use = screen(at, col, names, positive)
+    place = np.full(len(names), -1)
+    place[use] = np.arange(len(use))
+    at, col = at[place[col] >= 0], place[col[place[col] >= 0]]
+    names = [names[i] for i in use]
+    if not graded:
+        y = grades_of(np.bincount(at, minlength=len(y)), positive)
     y = np.unique(y, return_inverse=True)[1]  # grades that occur, from 0
     top = int(y.max())
     share = np.clip([(y > j).mean() for j in range(top)], 1e-4, 1 - 1e-4)
@@ -182,8 +187,8 @@ def _descend(loss, x: np.ndarray, steps: int = 200, memory: int = 10) -> np.ndar
     return x
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[list, list]:
-    """At most `rows` labelled documents (the bound keeps what reaches the driver fixed)."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(doc_id, text, toxic) of at most `rows` labelled documents."""
     picked = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -191,11 +196,50 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         .orderBy(F.xxhash64("id"), "id")
         .limit(rows)
     )
-    found = docs.select(F.col("doc_id").cast("long"), "text").join(
+    # picked: 12 bytes a row, at most `rows` rows
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(
         F.broadcast(picked), F.col("doc_id") == F.col("id")
-    )  # picked: 12 bytes a row, at most `rows` rows
-    got = sorted((r[0], r[1] or "", r[2]) for r in found.select("doc_id", "text", "toxic").limit(rows).collect())
-    return [r[1] for r in got], [r[2] for r in got]
+    )
+    return found.drop("id").dropDuplicates(["doc_id"])
+
+
+def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
+    """A model of the labelled sample. Texts stay on the executors; the driver gets numbers of features.
+
+    Candidates are the features that toxic documents share most, at most CANDIDATES.
+    """
+    sample = materialize(labelled_sample(docs, labels, rows), "labelled")
+
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                counts.update({f for w in words_of(text) for f in features_of(w)})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"]
+        )
+
+    counted = map_batches(sample.where("toxic > 0").select("text"), features, "feature string, n long")
+    common = counted.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
+    names = sorted(r[0] for r in common.orderBy(F.desc("n"), "feature").limit(CANDIDATES).select("feature").collect())
+    shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most CANDIDATES
+
+    def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            found = [
+                sorted({index[f] for w in words_of(t) for f in features_of(w) if f in index}) for t in batch.column(1).to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"]
+            )
+
+    table = map_batches(sample.select("doc_id", "text", "toxic"), numbers, "doc_id long, toxic int, features array<int>").toArrow()
+    table = table.combine_chunks().sort_by("doc_id")
+    found = table["features"].combine_chunks()
+    lengths = np.diff(found.offsets.to_numpy()) if len(table) else np.zeros(0, np.int64)
+    col = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    return fit_sparse(np.repeat(np.arange(len(table)), lengths), col, names, table["toxic"].to_numpy(), False)
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
@@ -217,11 +261,13 @@ def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
                 names=["doc_id", "p_toxic", "severity", "grade", "toxic"],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, p_toxic double, severity double, grade int, toxic boolean"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        run,
+        "doc_id long, p_toxic double, severity double, grade int, toxic boolean",
     )
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    texts, toxic = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, fit(texts, toxic=toxic))
+    return score(docs, fit_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))

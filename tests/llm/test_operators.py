@@ -338,14 +338,18 @@ def test_toxicity_on_held_out_rows(spark):
         rows.append((i, " ".join(words) + ".", None, "s", 1))
     df = spark.createDataFrame([*rows, (700, None, None, "s", 1), (701, "", None, "s", 1)], SCHEMA)
     labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(0, 400)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
-    texts, toxic = toxicity.labelled_sample(df, labels)
-    assert len(texts) == 400 and len(toxicity.labelled_sample(df, labels, 50)[0]) == 50
-    got = {r["doc_id"]: r for r in toxicity.score(df, toxicity.fit(texts, toxic=toxic)).collect()}
+    assert toxicity.labelled_sample(df, labels).count() == 400 and toxicity.labelled_sample(df, labels, 50).count() == 50
+    model = toxicity.fit_documents(df, labels)
+    texts = [r[1] for r in rows[:400]]
+    same = toxicity.fit(texts, toxic=[int(i % 6 == 0) for i in range(400)])
+    assert set(model.weights) == set(same.weights) and np.allclose(model.thresholds, same.thresholds)
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
     held = [(got[i]["toxic"], i % 6 == 0) for i in range(400, 600)]
     assert sum(a == b for a, b in held) > 0.97 * len(held)
     assert not got[700]["toxic"] and not got[701]["toxic"]
     none = toxicity.fit([], toxic=[])
     assert none.above("anything")[0] < 1e-6 and toxicity.score(empty(spark), none).count() == 0
+    assert not toxicity.fit_documents(df, labels.limit(0)).weights and not toxicity.fit_documents(empty(spark), labels).weights
 
 
 def test_ordinal_thresholds_are_ordered_and_monotone():
