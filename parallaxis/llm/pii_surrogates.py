@@ -46,26 +46,29 @@ _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
 #: Alternatives in order of preference at one position.
 PATTERN = "|".join(
     (
-        r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9_%+\-][A-Za-z0-9._%+\-]{0,63}+@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-        rf"{_BEFORE}\p{{L}}{{2,64}}+\.[0-9]{{1,8}}@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}",
+        r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{N}_%+\-][\p{L}\p{M}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}",
+        r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+        r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![0-9A-Fa-f:])",
         rf"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
         rf"{_BEFORE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_AFTER}",
+        r"(?<![\p{L}\p{N}_+])\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}(?![0-9])",
+        r"(?<![\p{L}\p{N}_+])\+[0-9]{8,15}(?![0-9])",
+        r"(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .\-][0-9]{1,4}[ .\-](?:[0-9]{5,8}|[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,4})(?![0-9])",
         r"(?<![\p{L}\p{N}_+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,4}(?:[ .\-][0-9]{2,4}){1,4}(?![0-9])",
         rf"(?<![\p{{L}}\p{{N}}_])\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-][0-9]{{4}}{_AFTER}",
         rf"{_BEFORE}[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}{_AFTER}",
+        rf"{_BEFORE}3[47][0-9]{{2}}[ \-]?[0-9]{{6}}[ \-]?[0-9]{{5}}{_AFTER}",
         rf"{_BEFORE}[0-9]{{4}}(?:[ \-]?[0-9]{{4}}){{2}}[ \-]?[0-9]{{1,7}}{_AFTER}",
         rf"{_BEFORE}[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{3,7}}(?: ?[A-Z0-9]{{1,3}})?{_AFTER}",
         rf"(?<![\p{{L}}\p{{N}}_])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}+",
     )
 )
 
-_FINISH = r"[.,;:!?)]"
-
-
 def kind_of(e: Column) -> Column:
     return (
         F.when(F.contains(e, F.lit("@")), "email")
         .when(e.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
+        .when(F.contains(e, F.lit(":")), "ipv6")
         .when(e.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(e.rlike(r"^[+(]|^[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}$"), "phone")
         .when(e.rlike(r"^[0-9]"), "card")
@@ -134,6 +137,7 @@ def surrogate(e: Column, round_: Column | int = 0, key: str = KEY) -> Column:
         F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: F.concat(body, d.cast("string"))), lambda x: _luhn(x) == 0
     )
     card = F.when(_luhn(e) == 0, F.get(last, 0)).otherwise(card)
+    groups = F.transform(F.split(e, ":"), lambda g, i: F.when(g == "", g).otherwise(F.lower(F.hex(_byte(digest, i)))))
     title = F.regexp_extract(e, r"^(.*) ", 1)
     cyrillic = e.rlike(r"\p{IsCyrillic}$")
     male = F.regexp_replace(title, r"\.", "").isin(*MALE_TITLES)
@@ -156,6 +160,7 @@ def surrogate(e: Column, round_: Column | int = 0, key: str = KEY) -> Column:
     made = (
         F.when(kind == "email", mail)
         .when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "ipv6", F.array_join(groups, ":"))
         .when(kind == "phone", _swap(e, digest, code))
         .when(kind == "card", card)
         .when(kind == "account", _swap(e, digest, F.lit(2)))
