@@ -132,8 +132,7 @@ def fit(docs: DataFrame) -> DataFrame:
             )
 
     cells = (
-        map_batches(training_rows(docs)
-        , count, "lang string, cell int, n long")
+        map_batches(training_rows(docs), count, "lang string, cell int, n long")
         .groupBy("lang", "cell")
         .agg(F.sum("n").alias("n"))
     )

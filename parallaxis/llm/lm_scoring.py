@@ -300,7 +300,9 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run,
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        run,
         "block long, words array<binary>, counts array<long>, "
         "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, tokens: binary>>",
     )

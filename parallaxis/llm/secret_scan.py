@@ -171,7 +171,10 @@ def scan(docs: DataFrame, rules=RULES, text: str = "text") -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=["doc_id", "text", "spans"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")), run, "doc_id long, text string, spans array<struct<start: long, end: long, kind: string>>"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")),
+        run,
+        "doc_id long, text string, spans array<struct<start: long, end: long, kind: string>>",
     )
 
 
@@ -200,7 +203,10 @@ def digest(docs: DataFrame, rules=RULES) -> DataFrame:
                 names=["doc_id", *(f"n_{k}" for k in base), "base_sha256", "spans"],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        run,
+        "doc_id long, " + "".join(f"n_{k} long, " for k in base) + "base_sha256 string, spans string",
     )
 
 
