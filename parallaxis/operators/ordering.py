@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timeparts
+from ..sources import scratch
 
 
 def seeded(seed: int, *parts: Column | str) -> Column:
@@ -39,13 +40,23 @@ def round_robin(rows: DataFrame, bucket: Column, key: Column, seed: int = 42) ->
 
 
 def positions(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
-    """0, 1, 2, ... in an order: range partitions, numbered inside and shifted by the sizes before them."""
-    parts = rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("__part", F.spark_partition_id())
-    parts = parts.withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    """0, 1, 2, ... in an order: range partitions, numbered inside and shifted by the sizes of those before.
+
+    The partitions are written to a scratch table first: their bounds come from samples, and must be
+    the same for the sizes and for the rows. No task sees more than its own range.
+    """
+    spark = rows.sparkSession
+    path = scratch.folder(spark, "ranges")
+    dealt = rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("__part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    parts = spark.read.schema(dealt.schema).parquet(path)
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    # as many rows as there are partitions
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
-    return parts.join(shifts, "__part").withColumn(name, F.col("__at") + F.col("__shift") - 1).drop("__part", "__at", "__shift")
+    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    numbered = parts.withColumn("__at", place).join(shifts, "__part")
+    return numbered.withColumn(name, F.col("__at") + F.col("__shift") - 1).drop("__part", "__at", "__shift")
 
 
 def balanced_pairs(pairs: DataFrame, time_filters=(), seed: int = 42) -> DataFrame:

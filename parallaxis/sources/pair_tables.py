@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import file_stem, first_value
+from ..operators.ordering import positions
 
 # The names under which a column may come.
 SIDES = {
@@ -48,9 +49,9 @@ def _wanted(table: DataFrame, indices: list | None) -> DataFrame:
 def explicit_pairs(table: DataFrame, order: str, indices: list | None = None) -> DataFrame:
     """One pair a row. Missing ids come from the file's stem, missing indexes from the row's number.
 
-    Row numbers are dealt by range partitions and their sizes, not in one task.
+    Row numbers are dealt by range partitions, not in one task.
     """
-    rows = _numbered(_wanted(table, indices), order)
+    rows = positions(_wanted(table, indices), order, name="__n").withColumn("__n", F.col("__n") + 1)
 
     def side(name: str) -> Column:
         return first_value(*(F.col(c) for c in SIDES[name] if c in table.columns), F.lit(None))
@@ -76,20 +77,6 @@ def explicit_pairs(table: DataFrame, order: str, indices: list | None = None) ->
     )
 
 
-def _numbered(table: DataFrame, order: str) -> DataFrame:
-    """Column __n: 1, 2, ... in order. Ranges are numbered inside, then shifted by the sizes of those before."""
-    parts = (
-        table.repartitionByRange(F.col(order))
-        .withColumn("__part", F.spark_partition_id())
-        .withColumn("__at", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    )
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    # as many rows as there are partitions
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
-    return parts.join(shifts, "__part").withColumn("__n", F.col("__at") + F.col("__shift"))
-
-
 def grouped_pairs(table: DataFrame, order: str, indices: list | None = None, most: int | None = None) -> DataFrame:
     """All pairs inside each index in row order, at most `most` of an index (first ones first)."""
     lacking = {"index", "id", "filename"} - set(table.columns)
