@@ -102,6 +102,32 @@ def crop_boxes(points: DataFrame, x: str, y: str, width: int, height: int, paddi
     return box.withColumn("fraction", area / F.lit(width * height))
 
 
+def fov_crops(matches: DataFrame, width: int, height: int, padding: float = 0.02) -> DataFrame:
+    """(pair_id, left and right crop fractions): boxes of the matches that are plausible in both images.
+
+    Pairs with fewer than four such matches stay whole, with fractions of 1.
+    """
+    kept = fenced(matches, ["lx", "ly", "rx", "ry"], least_range=1e-6, fall_back=False)
+    enough = kept.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("pair_id")
+    use = kept.join(enough, "pair_id", "left_semi")
+    sides = [
+        crop_boxes(use, f"{s}x", f"{s}y", width, height, padding).select("pair_id", F.col("fraction").alias(f"fov_{name}_retained_fraction"))
+        for s, name in (("l", "left"), ("r", "right"))
+    ]
+    out = matches.select("pair_id").distinct()
+    for side in sides:
+        out = out.join(side, "pair_id", "left")
+    left, right = (F.coalesce(f"fov_{s}_retained_fraction", F.lit(1.0)) for s in ("left", "right"))
+    return out.select(
+        "pair_id",
+        F.least(left, right).alias("fov_crop_fraction"),
+        left.alias("fov_left_retained_fraction"),
+        right.alias("fov_right_retained_fraction"),
+        (1 - left).alias("fov_left_cropped_fraction"),
+        (1 - right).alias("fov_right_cropped_fraction"),
+    )
+
+
 def yaw_votes(matches: DataFrame, width: float, yaw_step: float = 10, min_support: int = 8, min_ratio: float = 0.25) -> DataFrame:
     """One row for each pair with matches: total, support, and yaw with concentration where support is enough, else null.
 

@@ -150,3 +150,25 @@ def area_summary(images: DataFrame) -> DataFrame:
         F.min("captured_at").alias("first_ms"),
         F.max("captured_at").alias("last_ms"),
     )
+
+
+def describe(time_filters: Sequence[str], group_left: Sequence[int] = (), group_right: Sequence[int] = ()) -> str:
+    """The pairing rules in words."""
+    words = {
+        "year": "different years",
+        "month": "different year and month",
+        "season": "different seasons",
+        "same-season": "same season of different years",
+        "time": "one by day and one by night",
+    }
+    parts = [words[f] for f in dict.fromkeys(time_filters) if f != "any"] or ["any time"]
+    if group_left and group_right:
+        years = [", ".join(map(str, sorted(g))) for g in (group_left, group_right)]
+        parts.append(f"years {years[0]} against {years[1]}")
+    return "; ".join(parts)
+
+
+def capture_range(images: DataFrame) -> DataFrame:
+    """One row: first and last capture date in UTC, null without any."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(timeparts.millis() / timeparts.DAY_MS).cast("int"))
+    return images.agg(F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"))

@@ -192,6 +192,10 @@ def area_summary(spark, sf):
     return pairing.area_summary(_images(spark, sf))
 
 
+def capture_range(spark, sf):
+    return pairing.capture_range(_images(spark, sf))
+
+
 def resume_anti_join(spark, sf):
     """Every third pair is done, half of those the other way round."""
     pairs = _ids(pairing.area_pairs(_images(spark, sf), order="k"))
@@ -362,6 +366,11 @@ QUERIES = {
         area_summary,
         f"WITH {fx.IMAGES} SELECT count(*) AS images, count(*) FILTER (is_pano) AS panoramas, count(*) FILTER (NOT is_pano) AS flat, min(captured_at) AS first_ms, max(captured_at) AS last_ms FROM images",
     ),
+    "capture_range": (
+        capture_range,
+        f"""WITH {fx.IMAGES} SELECT CAST(min(CAST(make_timestamp(captured_at * 1000) AS DATE)) AS VARCHAR) AS first_day,
+        CAST(max(CAST(make_timestamp(captured_at * 1000) AS DATE)) AS VARCHAR) AS last_day FROM images""",
+    ),
     "resume_anti_join": (resume_anti_join, f"WITH {_pairs(fx.IMAGES)}, ids AS ({_IDS}) SELECT * FROM ids WHERE NOT ({_DONE})"),
     "manifest_anti_join": (
         manifest_anti_join,

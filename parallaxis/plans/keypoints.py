@@ -58,6 +58,13 @@ def fov_crop(spark, sf):
     return _rounded(m.crop_boxes(kept, "lx", "ly", W, H), 8, "fraction")
 
 
+def fov_pair_crops(spark, sf):
+    """Some pairs have too few matches for a crop."""
+    rows = fx.matches(spark, sf).where("pair_id % 3 <> 0 or l_linenumber = 1 and kp % 5 = 0")
+    columns = [f"fov_{c}_fraction" for c in ("crop", "left_retained", "right_retained", "left_cropped", "right_cropped")]
+    return _rounded(m.fov_crops(rows, W, H), 8, *columns)
+
+
 def yaw_vote(spark, sf):
     return _rounded(m.yaw_votes(fx.matches(spark, sf), W, 10), 6, "yaw", "concentration")
 
@@ -217,6 +224,17 @@ kept AS (SELECT * FROM counted WHERE ok OR n < 4 OR good < 4)"""
 _AXIS = "({c}h - {c}l <= 1e-6 OR {c} BETWEEN {c}l - 1.5 * ({c}h - {c}l) AND {c}h + 1.5 * ({c}h - {c}l))"
 _QUARTERS = ", ".join(f"quantile_cont({c}, 0.25) AS {c}l, quantile_cont({c}, 0.75) AS {c}h" for c in ("lx", "ly", "rx", "ry"))
 
+
+
+def _fraction(s: str) -> str:
+    """A side's box with padding, clamped, as a share of the frame; the boxes here are never empty."""
+    x, y = f"{s}x", f"{s}y"
+    return (
+        f"(least(1024, ceil({x}1 + greatest(1, ({x}1 - {x}0) * 0.02))) - greatest(0, floor({x}0 - greatest(1, ({x}1 - {x}0) * 0.02))))"
+        f" * (least(512, ceil({y}1 + greatest(1, ({y}1 - {y}0) * 0.02))) - greatest(0, floor({y}0 - greatest(1, ({y}1 - {y}0) * 0.02)))) / (1024 * 512)"
+    )
+
+
 _pixel_iou = _iou(f"SELECT * FROM pixels WHERE NOT {_TEMP}")
 
 QUERIES = {
@@ -256,6 +274,17 @@ QUERIES = {
           CAST(least(1024, ceil(b + greatest(1, (b - a) * 0.02))) AS INTEGER) AS x2, CAST(least(512, ceil(d + greatest(1, (d - c) * 0.02))) AS INTEGER) AS y2 FROM e)
         SELECT *, round((x2 - x1) * (y2 - y1) / (1024 * 512), 8) AS fraction FROM box""",
     ),
+    "fov_pair_crops": (
+        fov_pair_crops,
+        f"""WITH {fx.MATCHES}, use AS (SELECT * FROM matches WHERE pair_id % 3 <> 0 OR l_linenumber = 1 AND kp % 5 = 0),
+        q AS (SELECT pair_id, count(*) AS n, {_QUARTERS} FROM use GROUP BY 1),
+        kept AS (SELECT use.* FROM use JOIN q USING (pair_id) WHERE q.n < 4 OR ({" AND ".join(_AXIS.format(c=c) for c in ("lx", "ly", "rx", "ry"))})),
+        e AS (SELECT pair_id, {", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in ("lx", "ly", "rx", "ry"))} FROM kept GROUP BY 1 HAVING count(*) >= 4),
+        f AS (SELECT pair_id, {_fraction("l")} AS l, {_fraction("r")} AS r FROM e),
+        g AS (SELECT pair_id, coalesce(l, 1) AS l, coalesce(r, 1) AS r FROM (SELECT DISTINCT pair_id FROM use) LEFT JOIN f USING (pair_id))
+        SELECT pair_id, round(least(l, r), 8) AS fov_crop_fraction, round(l, 8) AS fov_left_retained_fraction, round(r, 8) AS fov_right_retained_fraction,
+               round(1 - l, 8) AS fov_left_cropped_fraction, round(1 - r, 8) AS fov_right_cropped_fraction FROM g""",
+    ),
     "yaw_vote": (yaw_vote, f"WITH {_votes('true')} SELECT * FROM votes"),
     "yaw_vote_weak": (yaw_vote_weak, f"WITH {_votes('l_linenumber = 1')} SELECT * FROM votes"),
     "yaw_one_shot": (

@@ -337,3 +337,42 @@ def test_model_interfaces(spark):
     wide = sampler_fields(props, {0: "Road", 7: "big tree"})
     assert wide.columns == ["id", "prop_000_road", "no_temp_prop_000_road", "prop_007_big_tree", "no_temp_prop_007_big_tree"]
     assert wide.first()["prop_000_road"] == 0.5
+
+
+def test_rules_in_words():
+    assert pairing.describe(["any"]) == "any time"
+    assert pairing.describe(["year", "season", "year"], [2020], [2023, 2021]) == "different years; different seasons; years 2020 against 2021, 2023"
+
+
+def test_fetching_keeps_failures_as_rows(spark):
+    def get(id_):
+        if id_ == "b":
+            raise OSError("gone")
+        return id_.encode() if id_ != "c" else None
+
+    from parallaxis.sources import fetch
+
+    ids = spark.createDataFrame([("a",), ("b",), ("c",), ("a",)], "id string")
+    got = {r["id"]: r for r in fetch.fetch(ids, get).collect()}
+    assert bytes(got["a"]["data"]) == b"a" and got["b"]["error"] == "OSError: gone" and got["c"]["error"] == "empty"
+    stored = spark.createDataFrame([("a", bytearray(b"x"), None), ("b", None, "old")], fetch.SCHEMA)
+    assert {r["id"] for r in fetch.fetch_missing(ids, stored, get).collect()} == {"b", "c"}
+    pairs = spark.createDataFrame([("a", "a"), ("a", "b")], "id_left string, id_right string")
+    assert fetch.ready_pairs(pairs, stored).count() == 1
+    assert fetch.pair_folder(pairs, "out").first()["folder"] == "out/a/a_a"
+
+
+def test_fov_rows_show_whole_image_coverage(spark):
+    names = [c for c in results.FEATURE if "coverage" in c or "hull" in c]
+    df = spark.range(1).select(*(F.lit(0.1).alias(c) for c in names), *(F.lit(0.9).alias(f"orig_{c}") for c in names))
+    assert results.with_original_coverage(df, "fov").first()[names[0]] == 0.9
+    assert results.with_original_coverage(df, "plain").first()[names[0]] == 0.1
+
+
+def test_leveled_view_has_a_level_horizon():
+    gray = np.zeros((120, 200), np.uint8)
+    for x in range(200):
+        gray[60 + round(np.tan(np.radians(6)) * (x - 100)) :, x] = 200
+    turned, angle = raster.leveled(gray)
+    assert abs(angle - 6) < 1.5 and abs(raster.horizon_angle(turned[20:100, 30:170])) < 2
+    assert raster.colored(np.array([[13]], np.uint8), {k: c for k, (_, c) in masks.STREET_CLASSES.items()}).tolist() == [[[0, 0, 142]]]
