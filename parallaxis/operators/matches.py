@@ -58,6 +58,14 @@ def metrics(matches: DataFrame, counts: DataFrame, width: float, height: float)
     )
 
 
+def together(rows: DataFrame) -> DataFrame:
+    """Rows of a pair in one partition, once: what is grouped and joined by pair after that moves nothing more.
+
+    A pair has a few thousand keypoints at most, so no pair is large.
+    """
+    return rows.repartition("pair_id")
+
+
 def _inside(value: str, q: Column, least_range: float) -> Column:
     low, high = F.get(q, 0), F.get(q, 1)
     spread = high - low
@@ -70,6 +78,7 @@ def fenced(points: DataFrame, axes: Sequence[str], least_points: int = 4, least_
     Fences come from all points of a pair. With fall_back, pairs that would keep fewer than
     least_points keep all; pairs with fewer points keep all, too.
     """
+    points = together(points)
     quartiles = [F.percentile(a, F.array(F.lit(0.25), F.lit(0.75))).alias(f"__q_{a}") for a in axes]
     fences = points.groupBy("pair_id").agg(F.count(F.lit(1)).alias("__n"), *quartiles)
     ok = F.col("__n") < least_points
@@ -137,8 +146,8 @@ def yaw_votes(matches: DataFrame, width: float, yaw_step: float = 10, min_suppor
     offset = F.pmod((F.col("rx") - F.col("lx")) / width * 360.0, F.lit(360.0))
     bins = int(-(-(360.0 + bin_width) // bin_width)) - 1
     # the last bin is closed on the right, too
-    bin_ = F.least(F.floor(offset / bin_width), F.lit(bins - 1)).cast("int")
-    marked = matches.select("pair_id", offset.alias("offset"), bin_.alias("bin"))
+    bin_ = F.least(F.floor(F.col("offset") / bin_width), F.lit(bins - 1)).cast("int")
+    marked = together(matches.select("pair_id", offset.alias("offset"))).withColumn("bin", bin_)
     counts = marked.groupBy("pair_id", "bin").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("pair_id").agg(F.sum("n").alias("total"), F.max_by("bin", F.struct(F.col("n"), -F.col("bin"))).alias("best"))
     centre = F.pmod((F.col("best") + 0.5) * bin_width, F.lit(360.0))
