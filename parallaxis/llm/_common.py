@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +58,28 @@ BATCH_BYTES = "4m"
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with batches bounded by bytes, not by rows alone, whatever the length of the texts."""
+    """mapInArrow with batches bounded by bytes, not by rows alone, whatever the length of the texts.
+
+    A task gives its freed memory back to the system, because Python workers outlive their tasks.
+    """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(whole, schema)
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def id_bucket(column: str, modulus: int):
