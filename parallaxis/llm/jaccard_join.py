@@ -48,8 +48,10 @@ LONG_LIST = 64
 SKETCH_WORDS = 16
 #: Rows of a list or a subset that one comparison in a list is worth.
 LIST_COST = 8
-#: Sets and elements that one block brings together at most.
+#: Sets and elements of one part of a group at most; a block brings two parts together.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
+#: Groups above LEAST_PART sets are dealt into this many parts or more, so that a large one fills several tasks.
+PARTS, LEAST_PART = 8, 256
 #: Class ids up to which they are sent to all tasks that read texts again (8 bytes each); else a join.
 BROADCAST_IDS = 500_000
 CACHE_WORDS = 250_000
@@ -146,7 +148,10 @@ def _sets(docs: DataFrame, words: int, threshold: Threshold, extended: float) ->
                 names=["doc_id", "n", "digest", "first", "sketch"],
             )
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, n long, digest binary, first array<long>, sketch array<long>"
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
+        run,
+        "doc_id long, n long, digest binary, first array<long>, sketch array<long>",
     )
 
 
@@ -322,9 +327,8 @@ def _list_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     """Verified edges inside candidate groups."""
     members = materialize(groups.join(nodes.select("node", "doc_id", "digest", "n"), "node"), "members")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("elements"))
-    blocks = F.greatest(
-        F.ceil(F.col("sets") / F.lit(BLOCK_SETS)), F.ceil(F.col("elements") / F.lit(BLOCK_ELEMENTS)), F.lit(1)
-    )
+    size = F.least(F.lit(BLOCK_SETS), F.greatest(F.lit(min(LEAST_PART, BLOCK_SETS)), F.ceil(F.col("sets") / PARTS)))
+    blocks = F.greatest(F.ceil(F.col("sets") / size), F.ceil(F.col("elements") / F.lit(BLOCK_ELEMENTS)), F.lit(1))
     placed = members.join(sizes.select("label", blocks.cast("int").alias("blocks")), "label").withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
