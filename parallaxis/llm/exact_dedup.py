@@ -98,10 +98,12 @@ def deduplicate(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
     """One row per row: doc_id, keep_id, group_size, kept, text_sha256."""
     listed = recipes(docs, hash_of).withColumn("recipe_hash", F.xxhash64("recipe"))
     rows = listed.groupBy("recipe_hash", "recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
-    classes = (
+    # written, so that both sides of the join come straight from a shuffle, which can split a hot group
+    classes = materialize(
         rows.groupBy("recipe_hash", "recipe")
         .agg(F.min("doc_id").alias("keep_id"), F.sum("repeats").alias("group_size"))
-        .where("group_size > 1")
+        .where("group_size > 1"),
+        "classes",
     )
     found = rows.join(classes, ["recipe_hash", "recipe"], "left")
     alone = F.col("group_size").isNull()
