@@ -13,7 +13,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links the larger neighbours of every node to its smallest neighbour, then the
     smaller ones, until the table is a set of stars. A node's neighbours are never gathered:
-    minima are partial sums, and rows meet them in joins that Spark can split.
+    minima are partial sums, and written before rows meet them, so that Spark can split the joins.
     Nulls and loops are ignored.
     """
     stars = materialize(
@@ -23,12 +23,14 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = materialize(least, "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        discard(least)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = materialize(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        discard(large, stars)
+        discard(large, stars, least)
         stars, before = new, mark
         mark = _checksum(stars)
         if mark == before:

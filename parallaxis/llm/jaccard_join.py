@@ -368,7 +368,7 @@ def link(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extende
     """One row per row: doc_id, n_shingles, component_id (smallest doc_id that links reach)."""
     threshold = Threshold(num, den)
     rows = materialize(_sets(docs, words, threshold, extended), "sets")
-    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = rows.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     nodes = materialize(
         rows.join(classes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("rep")))
         .dropDuplicates(["digest", "doc_id"])
@@ -385,12 +385,17 @@ def link(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extende
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     moved = materialize(named.join(lowest, "label").select("digest", "component_id"), "components")
     discard(listed, groups)
-    all_classes = classes.join(moved, "digest", "left").select(
-        "digest", F.coalesce("component_id", "rep").alias("component_id")
+    # classes of one row that links nothing need no name; written, so that a hot class can be split in the join
+    shared = classes.where("copies > 1").select("digest", "rep").join(moved, "digest", "full")
+    shared = materialize(shared.select("digest", F.coalesce("component_id", "rep").alias("component_id")), "shared")
+    named_rows = rows.select("doc_id", "n", "digest").join(
+        shared.withColumn("in_class", F.lit(True)), "digest", "left"
     )
-    empty = F.col("n") == 0
-    return rows.select("doc_id", "n", "digest").join(all_classes, "digest", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    own = (F.col("n") == 0) | F.col("in_class").isNull()
+    return named_rows.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
 
 
