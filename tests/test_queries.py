@@ -45,3 +45,10 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ("hull_coverage", "homography_ransac", "keypoint_mask_join_all", "yaw_search_all", "result_table_all"))
+def test_keypoint_queries_take_all_pairs(spark, name):
+    sf = SF.replace("0.001", "0.01")
+    pairs = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert pairs > 1000 and registry.queries()[name](spark, sf).count() == pairs
