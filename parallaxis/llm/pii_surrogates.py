@@ -41,20 +41,22 @@ NAMES = {
 }
 
 _TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
-#: Letters of an address: ASCII, and the ranges of other scripts without their punctuation. Ranges match faster than properties.
-_LETTERS = r"A-Za-zÀ-῿぀-퟿"
-_LOCAL = rf"{_LETTERS}0-9_%+\-"
+#: Letters, marks and digits of all scripts, for use in a class. Properties are asked beyond ASCII only, which is faster.
+_LETTERS = r"A-Za-z[[^\x00-\x7F]&&[\p{L}]]"
+_LETTERS_DIGITS = r"A-Za-z0-9[[^\x00-\x7F]&&[\p{L}\p{N}]]"
+_INNER = r"A-Za-z0-9._%+\-[[^\x00-\x7F]&&[\p{L}\p{M}\p{N}]]"
 _END = r"(?![\p{L}\p{N}_])"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _HEX = "[0-9A-Fa-f]{1,4}"
 
-_MAIL = rf"(?<![{_LOCAL}.])[{_LOCAL}][{_LOCAL}.]{{0,63}}+@(?:[{_LETTERS}0-9\-]{{1,63}}\.){{1,8}}[{_LETTERS}]{{2,24}}"
+_MAIL = rf"(?<![{_INNER}])[_%+\-{_LETTERS_DIGITS}][{_INNER}]{{0,63}}+@(?:[\-{_LETTERS_DIGITS}]{{1,63}}\.){{1,8}}[{_LETTERS}]{{2,24}}"
+#: Letters may stand right before it.
+_IPV4 = rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])"
 _TITLED = rf"(?<![\p{{L}}\p{{N}}_])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}{{1,30}}+"
 #: Alternatives in order of preference at one position. Each group begins with what its members share, so
 #: that most positions of a text are done after one look at a character.
 _NUMBERS = "|".join(
     (
-        rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
         rf"[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
         rf"[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}{_END}",
         rf"3[47][0-9]{{2}}[ \-]?[0-9]{{6}}[ \-]?[0-9]{{5}}{_END}",
@@ -73,6 +75,7 @@ PATTERN = "|".join(
     (
         _MAIL,
         rf"(?=[0-9A-Fa-f]{{1,4}}:)(?<![0-9A-Fa-f:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}})(?![0-9A-Fa-f:])",
+        _IPV4,
         rf"(?=[0-9])(?<![\p{{L}}\p{{N}}_])(?:{_NUMBERS})",
         rf"(?=\+[0-9])(?<![\p{{L}}\p{{N}}_+])(?:{_PLUS})",
         rf"(?=\([0-9])(?<![\p{{L}}\p{{N}}_])\([0-9]{{3}}\)[ .\-]?[0-9]{{3}}[ .\-][0-9]{{4}}{_END}",

@@ -395,6 +395,23 @@ def test_surrogates_keep_type_and_identity(spark):
     assert pii_surrogates.replace(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_entities_beside_letters_and_of_all_scripts(spark):
+    """Addresses right after a letter, and those with letters and digits of the upper planes, as the plain properties find them."""
+    plain = (
+        r"(?<![\p{L}\p{M}\p{N}._%+\-])[\p{L}\p{N}_%+\-][\p{L}\p{M}\p{N}._%+\-]{0,63}+@(?:[\p{L}\p{N}\-]{1,63}\.){1,8}\p{L}{2,24}"
+        r"|(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
+    )
+    want = {
+        "IP192.168.0.1 up": ["192.168.0.1"], "host_10.1.2.3, ok": ["10.1.2.3"], "地址10.1.2.3。": ["10.1.2.3"], "1.2.3.4.5 and 1.10.1.2.3": [],
+        "to ａｎｎ１@ｍａｉｌ.com": ["ａｎｎ１@ｍａｉｌ.com"], "𝒂𝒃9@x.org;": ["𝒂𝒃9@x.org"], "ⰰⰱ@佐々木.jp": ["ⰰⰱ@佐々木.jp"],
+        "é.ü@bücher.de×a@b.com": ["é.ü@bücher.de", "a@b.com"], "a.b-c%d+e@f-g.co.uk.": ["a.b-c%d+e@f-g.co.uk"],
+    }
+    rows = spark.createDataFrame([(t,) for t in want], "text string")
+    found = rows.select("text", pii_surrogates.entities().alias("new"), F.regexp_extract_all("text", F.lit(plain), F.lit(0)).alias("old")).collect()
+    for r in found:
+        assert r["new"] == r["old"] == want[r["text"]], r
+
+
 def test_surrogates_of_a_small_space_stay_distinct(spark, monkeypatch):
     """All 2 ** 7 surrogates that the first rounds can draw collide at once; the checks still keep entities apart."""
     real = pii_surrogates.surrogate
