@@ -112,14 +112,21 @@ def tile_list(spark, sf):
     return scans.tiles(spark, AREA)
 
 
-def dedup_images(spark, sf):
-    """Each image comes twice, the copy further east; the first in tile order stays."""
-    one = _images(spark, sf).where("k % 2 = 0")
+def _dedup(one):
     two = one.withColumn("lon", F.col("lon") + 0.05)
     blank = one.limit(0).unionByName(one.withColumn("id", F.lit("")))
     return scans.first_by_id(scans.tiled(one.unionByName(two).unionByName(blank)), "lat", "lon").select("id", "lon", "tile_x")
 
 
+def dedup_images(spark, sf):
+    """Each image comes twice, the copy further east; the first in tile order stays."""
+    return _dedup(_images(spark, sf).where("k % 2 = 0"))
+
+
+def dedup_images_all(spark, sf):
+    return _dedup(_images(spark, sf))
+
+
 def image_types(spark, sf):
     rows = _images(spark, sf).withColumn("is_pano", F.expr("case when k % 7 = 0 then null else is_pano end"))
     parts = [scans.of_type(rows, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("type"), "n") for t in ("all", "panorama", "flat")]
@@ -167,6 +174,10 @@ def time_daynight(spark, sf):
     return _ids(pairing.area_pairs(fx.events(spark, sf).where("k % 10 = 0"), 5.0, time_filters=["time"], order="k"))
 
 
+def time_daynight_all(spark, sf):
+    return _ids(pairing.area_pairs(fx.events(spark, sf), 5.0, time_filters=["time"], order="k"))
+
+
 def daytime_rows(spark, sf):
     rows = fx.events(spark, sf)
     return rows.select("id", timeparts.daytime(F.col("captured_at"), F.col("lat"), F.col("lon")).alias("daytime"))
@@ -325,6 +336,7 @@ QUERIES = {
         FROM ends, range(x0, x1 + 1) AS a(x), range(y0, y1 + 1) AS b(y)""",
     ),
     "dedup_images": (dedup_images, f"WITH {fx.IMAGES} SELECT id, lon, {_TILE_X} AS tile_x FROM images WHERE k % 2 = 0"),
+    "dedup_images_all": (dedup_images_all, f"WITH {fx.IMAGES} SELECT id, lon, {_TILE_X} AS tile_x FROM images"),
     "image_types": (
         image_types,
         f"""WITH {fx.IMAGES} SELECT 'all' AS type, count(*) AS n FROM images
@@ -351,6 +363,10 @@ QUERIES = {
         time_daynight,
         f"WITH {_pairs(fx.EVENTS, 'WHERE k % 10 = 0', 5.0)} {_IDS} WHERE {_MID_DAY} <> {_MID_DAY2}",
     ),
+    "time_daynight_all": (
+        time_daynight_all,
+        f"WITH {_pairs(fx.EVENTS, '', 5.0)} {_IDS} WHERE {_MID_DAY} <> {_MID_DAY2}",
+    ),
     "daytime_rows": (daytime_rows, f"WITH {fx.EVENTS} SELECT id, {_daytime('captured_at', 'lat', 'lon')} AS daytime FROM images"),
     "capture_parts": (
         capture_parts,
