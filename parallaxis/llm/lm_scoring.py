@@ -15,13 +15,13 @@ predicted from counts that leave out the occurrence at hand, then the weights mo
 What a token's spelling costs does not depend on its neighbours. So the corpus is
 reduced to distinct tokens with counts (a table that grows with the input), the model
 learns from all training tokens through that table, each distinct token is scored
-once, and a document's score is a sum over its tokens. Whole beginnings are noted for
-the most frequent tokens, as many as half fill their cells: beginnings of rare tokens
-would only blur them, and shorter contexts know those as well. The same table gives the base
+once, and a document's score is a sum over its tokens. The same table gives the base
 score. Blocks of documents hold token numbers; only distinct tokens of a block travel.
 
-Learning is spread over shards of the token table. Context counts are sums in
-a fixed number of cells for each predictor, whatever the input, and are added up exactly;
+Learning is spread over shards of the token table. Whole beginnings are counted exactly and
+for every training token: the table is sorted and cut into chunks, so a beginning lies
+within one chunk, or is shared by the tokens at a chunk's border, and those few are added
+up over all chunks. The other contexts' counts are sums in a fixed number of cells;
 mixers of shards are averaged by weight of evidence, maps are added up.
 
 Null text counts as empty: one token, the end. A row with a null id is held out (its
@@ -45,14 +45,16 @@ from pyspark.sql import functions as F
 from ._common import discard, documents, map_batches, materialize
 
 FOLDS, HELD_OUT = 7, 2
-#: Cells of the contexts: position, last one, two, three and four bytes, whole beginning.
-TABLE_BITS = (12, 16, 20, 20, 21, 21)
-CONTEXTS = len(TABLE_BITS)
+#: Cells of the contexts: position, last one, two, three and four bytes.
+TABLE_BITS = (12, 16, 20, 20, 21)
+#: And the whole beginning, which has exact counts.
+CONTEXTS = len(TABLE_BITS) + 1
 #: Characters of text that one block of documents holds about.
 BLOCK_CHARS = 24_000_000
 #: Distinct tokens that one shard learns from about.
 SHARD_TOKENS = 750_000
 CHUNK = 4096
+CHUNK_BYTES = 1 << 20
 KNOWN_CLASSES = 4
 GATES = KNOWN_CLASSES * KNOWN_CLASSES
 #: Depths of a decision that have mixers and maps of their own.
@@ -113,9 +115,9 @@ class Spelling:
             state[alive] = (state[alive] ^ flat[at]) * np.uint64(0x100000001B3)
         return out * _MIX + np.uint64(9)
 
-    def bits(self, code: "Code") -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """(depth, which bytes, their bits, cell of each context) for the decisions of all bytes."""
-        alive = np.arange(len(self.flat))
+    def bits(self, code: "Code", only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
+        """(depth, which bytes, their bits, cell of each context, key of the beginning) for the decisions of all bytes, or of some."""
+        alive = np.arange(len(self.flat)) if only is None else only
         for depth in range(code.longest):
             alive = alive[code.lengths[self.flat[alive]] > depth]
             path = code.paths[self.flat[alive]]
@@ -124,9 +126,9 @@ class Spelling:
             mark = so_far * np.uint64(0xD6E8FEB86659FD93)
             cells = [
                 (((c[alive] ^ mark) * _MIX) >> np.uint64(64 - width)).astype(np.int64)
-                for c, width in zip(self.contexts, TABLE_BITS, strict=True)
+                for c, width in zip(self.contexts[:-1], TABLE_BITS, strict=True)
             ]
-            yield min(depth, DEPTHS - 1), alive, bit.astype(np.int64), cells
+            yield min(depth, DEPTHS - 1), alive, bit.astype(np.int64), cells, (self.contexts[-1][alive] ^ mark) * _MIX
 
 
 class Code:
@@ -159,25 +161,24 @@ class Model:
     """Predictions by cell, weights[mixer, context + 1] and refine[depth, bucket, (ones, all)].
 
     least: tokens with fewer occurrences have no part in the counts of whole beginnings.
-    learning: tables without the occurrence at hand are made, too.
+    learning: tables without the occurrence at hand are made, not the plain ones.
+    shared: sorted keys of beginnings that several chunks have, and their counts.
     """
 
-    def __init__(self, counts: list, code: Code, least: int, weights=None, refine=None, learning: bool = False):
+    def __init__(self, counts: list, code: Code, least: int, weights=None, refine=None, learning: bool = False, shared=None):
         self.code, self.least = code, least
+        self.shared = shared or (np.zeros(0, np.uint64), np.zeros((0, 2)))
         self.plain, self.left_out, self.known, self.known_left_out = [], [], [], []
         for k, table in enumerate(counts):
             zeros, ones = table[:, 0], table[:, 1]
-            last = k == CONTEXTS - 1
-            if last or not learning:
+            if not learning:
                 self.plain.append(_evidence(zeros, ones))
-            else:
-                self.plain.append(None)
             if learning:
                 without = np.empty((len(table), 2), np.float32)
                 without[:, 0] = _evidence(np.maximum(zeros - 1, 0), ones)
                 without[:, 1] = _evidence(zeros, np.maximum(ones - 1, 0))
                 self.left_out.append(without.ravel())
-            if k >= CONTEXTS - 2:
+            if k == CONTEXTS - 2:
                 self.known.append(_known(zeros + ones))
                 if learning:
                     self.known_left_out.append(_known(zeros + ones - 1))
@@ -188,6 +189,17 @@ class Model:
         self.refine = np.zeros((DEPTHS, MAP_BUCKETS, 2)) if refine is None else refine
         self.curve = np.tile(np.eye(CONTEXTS + 1) * CURVE_PRIOR, (MIXERS, 1, 1))
 
+    def _begun(self, keys: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones after each key: those of the chunk, or of all chunks if shared."""
+        found, at = np.unique(keys, return_inverse=True)
+        sums = np.column_stack([np.bincount(at, weight * (bit == b), len(found)) for b in (0, 1)])
+        ours, counts = self.shared
+        if len(ours):
+            where = np.minimum(np.searchsorted(ours, found), len(ours) - 1)
+            hit = ours[where] == found
+            sums[hit] = counts[where[hit]]
+        return sums[at, 0], sums[at, 1]
+
     @staticmethod
     def _buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = (x + 12) * ((MAP_BUCKETS - 1) / 24)
@@ -208,19 +220,18 @@ class Model:
         """
         spelling = Spelling(tokens)
         weights = counts[spelling.owner].astype(np.float64)
-        for depth, alive, bit, cells in spelling.bits(self.code):
+        for depth, alive, bit, cells, keys in spelling.bits(self.code):
             weight = weights[alive]
             noted = weight >= self.least
-            last = cells[-1]
-            gate = self.known_left_out[0][cells[-2]] * KNOWN_CLASSES + np.where(
-                noted, self.known_left_out[1][last], self.known[1][last]
-            )
+            zeros, ones = self._begun(keys, bit, weight * noted)
+            zeros, ones = np.maximum(zeros - (noted & (bit == 0)), 0), np.maximum(ones - (noted & (bit == 1)), 0)
+            gate = self.known_left_out[0][cells[-1]] * KNOWN_CLASSES + _known(zeros + ones)
             order = np.argsort(gate, kind="stable")
-            gate, weight, bit, noted = gate[order], weight[order], bit[order], noted[order]
+            gate, weight, bit = gate[order], weight[order], bit[order]
             inputs = np.empty((len(order), CONTEXTS + 1))
             for k, cell in enumerate(cells):
                 inputs[:, k] = self.left_out[k][(cell[order] << 1) | bit]
-            inputs[~noted, CONTEXTS - 1] = self.plain[-1][last[order][~noted]]
+            inputs[:, CONTEXTS - 1] = _evidence(zeros, ones)[order]
             inputs[:, -1] = 0.25
             for mixer, rows in self._by_gate(depth, gate):
                 part, w, y = inputs[rows], weight[rows], bit[rows]
@@ -234,16 +245,19 @@ class Model:
                 moved = self.weights[mixer] + np.linalg.solve(self.curve[mixer], part.T @ ((y - p) * w))
                 self.weights[mixer] = np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
 
-    def log10(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 probability of each token's spelling."""
+    def log10(self, tokens: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each token's spelling; counts: of the chunk's tokens in training documents."""
         spelling = Spelling(tokens)
+        weights = np.zeros(len(spelling.flat)) if counts is None else counts[spelling.owner].astype(np.float64)
         ones, seen = self.refine[..., 0], self.refine[..., 1]
         refined = (ones + 4 * _squash(np.linspace(-12, 12, MAP_BUCKETS))) / (seen + 4)
         total = np.zeros(spelling.n)
-        for depth, alive, bit, cells in spelling.bits(self.code):
-            gate = self.known[0][cells[-2]] * KNOWN_CLASSES + self.known[1][cells[-1]]
+        for depth, alive, bit, cells, keys in spelling.bits(self.code):
+            weight = weights[alive]
+            zeros, begun = self._begun(keys, bit, weight * (weight >= self.least))
+            gate = self.known[0][cells[-1]] * KNOWN_CLASSES + _known(zeros + begun)
             w = self.weights[depth * GATES : (depth + 1) * GATES]
-            x = 0.25 * w[gate, -1]
+            x = 0.25 * w[gate, -1] + w[gate, CONTEXTS - 1] * _evidence(zeros, begun)
             for k, cell in enumerate(cells):
                 x += w[gate, k] * self.plain[k][cell]
             np.clip(x, -12, 12, out=x)
@@ -308,36 +322,77 @@ def _blocks(docs: DataFrame) -> DataFrame:
     )
 
 
-def _least_noted(words: DataFrame) -> int:
-    """The least count of tokens whose whole beginnings are noted: they half fill the cells.
+def _packed(words: DataFrame, shards: int) -> DataFrame:
+    """One row per chunk of sorted tokens: its tokens and their counts. The chunks are dealt out evenly."""
 
-    Bits by count, a partial sum; counts above the cells' number need no row of their own.
-    """
-    room = 1 << (TABLE_BITS[-1] - 1)
-    top = F.least(F.col("count"), F.lit(room))
-    bits = words.where("count > 0").groupBy(top.alias("c")).agg(F.sum((F.octet_length("word") + 1) * 8).alias("bits"))
-    above = 0
-    least = room + 1
-    for c, n in bits.orderBy(F.desc("c")).limit(room).toLocalIterator():
-        above += n
-        if above > room:
-            break
-        least = c
-    return least
-
-
-def _note(counts: list, tokens: list[bytes], occurrences: np.ndarray, code: Code, least: int) -> None:
-    """Add tokens to the flat tables of counts (cell * 2 + bit)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens: list[bytes] = []
+        counts: list[int] = []
+        held = 0
+
+        def chunk() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([tokens], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names=["words", "counts"])
+
+        for batch in batches:
+            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                tokens.append(token)
+                counts.append(n)
+                held += len(token)
+                if len(tokens) >= CHUNK or held >= CHUNK_BYTES:
+                    yield chunk()
+                    tokens, counts, held = [], [], 0
+        if tokens:
+            yield chunk()
+
+    ordered = words.select("word", "count").repartitionByRange(shards, "word").sortWithinPartitions("word")
+    return map_batches(ordered, run, "words array<binary>, counts array<long>").repartition(shards)
+
+
+def _borders(chunks: DataFrame) -> np.ndarray:
+    """Hashes of the beginnings that tokens on both sides of a chunk's border have; two tokens a chunk tell."""
+    ends = chunks.select(F.get("words", F.lit(0)).alias("first"), F.element_at("words", -1).alias("last"))
+    shared, before = {b""}, None
+    for first, last in sorted((bytes(a), bytes(b)) for a, b in ends.toLocalIterator()):
+        if before is not None:
+            n = next((k for k, (x, y) in enumerate(zip(before, first)) if x != y), min(len(before), len(first)))
+            shared.update(first[:k] for k in range(n + 1))
+        before = last
+    longest = sorted(shared)
+    spelling = Spelling(longest)
+    closing = np.cumsum(np.bincount(spelling.owner, minlength=len(longest))) - 1
+    return np.unique(spelling.contexts[-1][closing])
+
+
+def _shared_counts(chunks: DataFrame, borders: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the decisions after the borders' beginnings, and their counts over all chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, occurrences in _chunks(batches, training=True):
+            spelling = Spelling(tokens)
+            begun = spelling.contexts[-1]
+            at = np.minimum(np.searchsorted(borders, begun), len(borders) - 1)
+            for _, alive, bit, _, keys in spelling.bits(code, np.flatnonzero(borders[at] == begun)):
+                if not len(alive):
+                    continue
+                found, which = np.unique(keys, return_inverse=True)
+                weight = occurrences[spelling.owner[alive]].astype(np.float64)
+                sums = [pa.array(np.bincount(which, weight * (bit == b), len(found))) for b in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sums], names=["key", "zeros", "ones"])
+
+    sums = map_batches(chunks, run, "key long, zeros double, ones double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"))
+    rows = list(sums.toLocalIterator())
+    keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], np.array([r[1:] for r in rows], np.float64).reshape(-1, 2)[order]
+
+
+def _note(counts: list, tokens: list[bytes], occurrences: np.ndarray, code: Code, least: int = 1) -> None:
+    """Add tokens with at least so many occurrences to the flat tables of counts (cell * 2 + bit)."""
     spelling = Spelling(tokens)
-    weights = occurrences[spelling.owner].astype(np.float32)
-    for _, alive, bit, cells in spelling.bits(code):
-        weight = weights[alive]
+    weights = np.where(occurrences >= least, occurrences, 0)[spelling.owner].astype(np.float32)
+    for _, alive, bit, cells, _ in spelling.bits(code):
         for k, cell in enumerate(cells):
-            at, amount = (cell << 1) | bit, weight
-            if k == CONTEXTS - 1:
-                noted = weight >= least
-                at, amount = at[noted], weight[noted]
-            np.add.at(counts[k], at, amount)
+            np.add.at(counts[k], (cell << 1) | bit, weights[alive])
 
 
 def _byte_counts(shards: DataFrame) -> np.ndarray:
@@ -345,7 +400,7 @@ def _byte_counts(shards: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
-        for tokens, _ in _chunks(batches):
+        for tokens, _ in _chunks(batches, training=True):
             total += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
 
@@ -360,13 +415,13 @@ def _tables() -> list[np.ndarray]:
     return [np.zeros(2 << width, np.float32) for width in TABLE_BITS]
 
 
-def _context_counts(shards: DataFrame, code: Code, least: int) -> list[np.ndarray]:
+def _context_counts(shards: DataFrame, code: Code) -> list[np.ndarray]:
     """Exact sums over all training tokens; a fixed number of cells, whatever the input."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables()
-        for tokens, occurrences in _chunks(batches):
-            _note(tables, tokens, occurrences, code, least)
+        for tokens, occurrences in _chunks(batches, training=True):
+            _note(tables, tokens, occurrences, code)
         for k, table in enumerate(tables):
             for part in range(0, len(table), CHUNK):
                 piece = table[part : part + CHUNK]
@@ -390,19 +445,24 @@ def _context_counts(shards: DataFrame, code: Code, least: int) -> list[np.ndarra
     return tables
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+def _chunks(batches: Iterator[pa.RecordBatch], training: bool = False) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Tokens and counts of each chunk, or of its training tokens."""
     for batch in batches:
-        for at in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(at, CHUNK)
-            yield part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False)
+        for tokens, counts in zip(batch.column(0), batch.column(1), strict=True):
+            tokens, counts = tokens.as_py(), np.array(counts.as_py(), np.int64)
+            if training:
+                tokens, counts = [t for t, n in zip(tokens, counts, strict=True) if n], counts[counts > 0]
+            if tokens:
+                yield tokens, counts
 
 
-def _mixer(shards: DataFrame, shared, code: Code, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _mixer(shards: DataFrame, shared, code: Code) -> tuple[np.ndarray, np.ndarray]:
     """Every shard learns online from all its tokens; one small row a shard is combined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, seen = Model(shared.value, code, least, learning=True), 0
-        for tokens, counts in _chunks(batches):
+        counts_, begun = shared.value
+        model, seen = Model(counts_, code, 1, learning=True, shared=begun), 0
+        for tokens, counts in _chunks(batches, training=True):
             model.learn(tokens, counts)
             seen += int(counts.sum())
         if seen:
@@ -424,7 +484,7 @@ def _mixer(shards: DataFrame, shared, code: Code, least: int) -> tuple[np.ndarra
         .select(F.lit("w").alias("kind"), "at", "value")
     )
     sums = rows.select(F.posexplode("refine").alias("at", "r")).groupBy("at").agg(F.sum("r").alias("value"))
-    model = Model([], code, least)
+    model = Model([], code, 1)
     weights, refine = model.weights.ravel().copy(), model.refine.ravel().copy()
     for kind, at, value in means.unionByName(sums.select(F.lit("r").alias("kind"), "at", "value")).collect():
         (weights if kind == "w" else refine)[at] = value
@@ -447,31 +507,29 @@ def score(docs: DataFrame) -> DataFrame:
     train_tokens, known_words, distinct = facts[0] + ends, facts[1] + (ends > 0), facts[2]
 
     shards = max(spark.sparkContext.defaultParallelism, -(-distinct // SHARD_TOKENS))
-    # dealt once, and read by each pass
-    dealt = materialize(words.select("word", "count").repartition(shards, "word"), "tokens")
-    learnt = dealt.where("count > 0")
-    least = _least_noted(words)
-    code = Code(_byte_counts(learnt))
-    tables = _context_counts(learnt, code, least)
-    if ends:
-        _note(tables, [b""], np.array([ends]), code, least)
-    counts = [t.reshape(-1, 2) for t in tables]
-    shared = spark.sparkContext.broadcast(counts)  # sum of 2**TABLE_BITS cells: 50 MB, whatever the input
-    weights, refine = _mixer(learnt, shared, code, least)
+    # with the end, a token without letters; dealt once, and read by each pass
+    end = spark.range(1).select(F.lit(b"").alias("word"), F.lit(ends).cast("long").alias("count"))
+    dealt = materialize(_packed(words.select("word", "count").unionByName(end), shards), "tokens")
+    code = Code(_byte_counts(dealt))
+    counts = [t.reshape(-1, 2) for t in _context_counts(dealt, code)]
+    begun = _shared_counts(dealt, _borders(dealt), code)
+    # sums of 2**TABLE_BITS cells, 33 MB whatever the input, and a few beginnings for each chunk
+    shared = spark.sparkContext.broadcast((counts, begun))
+    weights, refine = _mixer(dealt, shared, code)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value, code, least, weights, refine)
-        for batch in batches:
-            rated = [model.log10(tokens) for tokens, _ in _chunks([batch])]
-            out = np.concatenate(rated) if rated else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=["word", "count", "model"])
+        model = Model(shared.value[0], code, 1, weights, refine, shared=shared.value[1])
+        for tokens, n in _chunks(batches):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens, pa.binary()), pa.array(n), pa.array(model.log10(tokens, n))], names=["word", "count", "model"]
+            )
 
     rated = materialize(
         map_batches(dealt, rate, "word binary, count long, model double"),
         "rated",
     )
     discard(words)
-    end_model = float(Model(counts, code, least, weights, refine).log10([b""])[0])
+    end_model = float(rated.where(F.octet_length("word") == 0).first()["model"])
     base = (F.col("count") + 1) / F.lit(float(train_tokens + known_words + 1))
     back = (
         spelt.select("block", "number", "word")

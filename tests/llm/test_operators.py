@@ -280,6 +280,29 @@ def test_lm_base_scores_and_sums(docs, spark):
     assert lm_scoring.score(empty(spark)).count() == 0
 
 
+def test_lm_beginnings_of_all_training_tokens(spark, monkeypatch):
+    """Rare tokens count as well, and chunks of any size give the same counts."""
+    words = sorted({bytes(97 + (i * k) % 7 for k in range(1, 5 + i % 3)) for i in range(300)})
+    n = np.array([1 + i % 3 for i in range(len(words))])
+    table = spark.createDataFrame([(w, int(c)) for w, c in zip(words, n, strict=True)], "word binary, count long")
+    code = lm_scoring.Code(np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256))
+    want = {}
+    for _, alive, bit, _, keys in (spelling := lm_scoring.Spelling(words)).bits(code):
+        for key, b, w in zip(keys, bit, n[spelling.owner[alive]], strict=True):
+            want.setdefault(int(key), [0, 0])[b] += int(w)
+    for size in (5, 4096):
+        monkeypatch.setattr(lm_scoring, "CHUNK", size)
+        chunks = lm_scoring._packed(table, 3).persist()
+        begun = lm_scoring._shared_counts(chunks, lm_scoring._borders(chunks), code)
+        model = lm_scoring.Model([], code, 1, shared=begun)
+        rows = [(list(map(bytes, r[0])), np.array(r[1])) for r in chunks.collect()]
+        assert sum(len(t) for t, _ in rows) == len(words) and (len(rows) > 3) == (size == 5)
+        for tokens, c in rows:
+            for _, alive, bit, _, keys in (spelling := lm_scoring.Spelling(tokens)).bits(code):
+                zeros, ones = model._begun(keys, bit, c[spelling.owner[alive]].astype(float))
+                assert all(want[int(k)] == [z, o] for k, z, o in zip(keys, zeros, ones, strict=True))
+
+
 def test_lm_is_a_distribution():
     """Over a short alphabet the probabilities of all spellings of up to three bytes add up to less than one, and to most of it."""
     tokens = [b"a", b"b", b"ab", b"ba", b"aab"]
