@@ -376,3 +376,15 @@ def test_leveled_view_has_a_level_horizon():
     turned, angle = raster.leveled(gray)
     assert abs(angle - 6) < 1.5 and abs(raster.horizon_angle(turned[20:100, 30:170])) < 2
     assert raster.colored(np.array([[13]], np.uint8), {k: c for k, (_, c) in masks.STREET_CLASSES.items()}).tolist() == [[[0, 0, 142]]]
+
+
+def test_homography_of_few_inliers():
+    """A fifth of the matches is right, at random places; most such pairs are found."""
+    h, found = np.array([[1.02, 0.01, 20], [0.01, 0.98, 5], [1e-5, 1e-5, 1]]), 0
+    for seed in range(40):
+        rng = np.random.default_rng(seed)
+        src, dst = rng.random((100, 2)) * [1024, 512], rng.random((100, 2)) * [1024, 512]
+        right = rng.permutation(100)[:20]
+        dst[right] = raster.apply_homography(h, src[right])
+        found += raster.homography_support(src, dst)[0] >= 20
+    assert found >= 35, found
