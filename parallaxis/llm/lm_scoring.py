@@ -1,37 +1,39 @@
 """Language-model scores by online logistic context mixing.
 
-A text is the sequence of its lower-cased words (A-Z only), then an end. Each is spelt
-as bytes with a closing blank (the end is a blank alone), so a score is the sum over
-tokens of log10 probabilities of their spellings. A byte is spelt by the binary
-decisions of a Huffman code of the training tokens' bytes, fewer than eight on average.
-
-Several predictors each give a bit's probability from counts in a hashed context: the
-position, the last one, two, three and four bytes, and the whole beginning of the
-token. A gated mixer combines them in the logistic domain, its weights chosen by the
-depth of the decision in its byte and by how well the longest contexts are known; an
-adaptive probability map then refines the mix. Mixer and map learn online: a bit is
-predicted from counts that leave out the occurrence at hand, then the weights move.
-
-What a token's spelling costs does not depend on its neighbours. So the corpus is
-reduced to distinct tokens with counts (a table that grows with the input), the model
-learns from all training tokens through that table, each distinct token is scored
-once, and a document's score is a sum over its tokens. The same table gives the base
-score. Blocks of documents hold token numbers; only distinct tokens of a block travel.
-
-Learning is spread over shards of the token table. Whole beginnings are counted exactly and
-for every training token: the table is sorted and cut into chunks, so a beginning lies
-within one chunk, or is shared by the tokens at a chunk's border, and those few are added
-up over all chunks. The other contexts' counts are sums in a fixed number of cells;
-mixers of shards are averaged by weight of evidence, maps are added up.
+A text is the sequence of its lower-cased words (A-Z only), then an end. A score is the
+sum over tokens, in text order, of log10 probabilities of binary decisions, which
+`mixing` predicts from several hashed contexts with gated weights and an adaptive map.
+
+A token is coded in two steps. Its class comes first: each of the TOP most frequent
+training words is a class of its own, the others share classes by form (first and last
+two bytes) and frequency; there is one class for words without training occurrences, one
+for the end, and one for other words that the document has had before. The class is
+spelt by a Huffman code, and the contexts of its decisions are earlier tokens of the
+document: none, the last class, the last two classes, the last frequent word, the last
+two frequent words. Inside a class a known word has its share of the class' occurrences,
+and a word that comes again an equal share of those that the document has had. An
+unknown word is spelt in bytes with a closing blank; contexts there are the position and
+the last one to five bytes of the word, learnt from the distinct training words. A
+training document's own occurrences are left out of the counts that score it: a word
+that no other training document has is unknown to it.
+
+Counts of words are exact and grow with the input (a table of distinct words). Contexts'
+counts are exact sums over all training documents in a fixed number of cells, which
+contexts share by hash. Mixers and maps of classes learn online in text order: documents
+are dealt by hash into segments of about SEGMENT_TOKENS tokens, and each segment learns
+from its training documents as it goes; steps of STEP tokens. Segments, shards and steps
+follow from the data alone, so a score does not depend on the number of cores.
+
+Blocks of documents hold token numbers; only the distinct words of a block travel.
 
 Null text counts as empty: one token, the end. A row with a null id is held out (its
 remainder is unknown). Repeated rows count each. Without training tokens every bit is
-even and the base score uses N = V = 0. Any length of text is scored whole.
+even and the base score uses N = V = 0; an empty table has no rows. Any length of text
+is scored whole. Columns other than doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -42,239 +44,106 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import mixing
 from ._common import discard, documents, map_batches, materialize
 
 FOLDS, HELD_OUT = 7, 2
-#: Cells of the contexts: position, last one, two, three and four bytes.
-TABLE_BITS = (12, 16, 20, 20, 21)
-#: And the whole beginning, which has exact counts.
-CONTEXTS = len(TABLE_BITS) + 1
+#: Words with a class of their own (short ones, so that the list is small), forms and frequencies of the other classes.
+TOP, TOP_BYTES, FORMS, BANDS = 254, 64, 64, 16
+UNKNOWN, END, AGAIN = 0, 1, 2
+OTHERS = 3 + TOP
+CLASSES = OTHERS + FORMS * BANDS
+#: Bits of the contexts of classes: none, last class, last two, last frequent word, last two; of bytes: position, last one to five.
+CLASS_BITS, CLASS_GATES = (0, 18, 20, 18, 20), (2, 4)
+BYTE_BITS, BYTE_GATES = (11, 16, 18, 20, 20, 20), (3, 5)
 #: Characters of text that one block of documents holds about.
 BLOCK_CHARS = 24_000_000
-#: Distinct tokens that one shard learns from about.
-SHARD_TOKENS = 750_000
-CHUNK = 4096
-CHUNK_BYTES = 1 << 20
-KNOWN_CLASSES = 4
-GATES = KNOWN_CLASSES * KNOWN_CLASSES
-#: Depths of a decision that have mixers and maps of their own.
-DEPTHS = 8
-MIXERS = DEPTHS * GATES
-MAP_BUCKETS = 33
-#: Curvature that the first weights are worth.
-CURVE_PRIOR = 50.0
-MOST_WEIGHT = 3.0
-PRIOR = 0.4
-
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Distinct words that one shard learns spelling from about, and tokens of a segment; symbols of a step.
+SHARD_WORDS, SEGMENT_TOKENS, STEP = 150_000, 1_000_000, 1 << 15
+#: Entries of the cells that travel together.
+PIECE = 1 << 13
+#: Words of a block that one packed row holds at most.
+PACKED = 1 << 20
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-def _squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+# ------------------------------------------------------------------ classes
+
+
+def form_of(word: bytes) -> int:
+    return zlib.crc32(word[:2] + b"|" + word[-2:]) % FORMS
+
+
+def class_of(place: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Class of words seen so often; place: form, or -1 - rank of a top word."""
+    band = np.minimum(np.frexp(np.maximum(count, 1))[1] - 1, BANDS - 1)
+    known = np.where(place < 0, AGAIN - place, OTHERS + place * BANDS + band)
+    return np.where(count > 0, known, UNKNOWN)
+
+
+def share_of(place: np.ndarray, count: np.ndarray, masses: np.ndarray) -> np.ndarray:
+    """log10 of a known word's share of its class; 0 for the others."""
+    seen = np.maximum(count, 1).astype(np.float64)
+    inside = (place >= 0) & (count > 0)
+    return np.where(inside, np.log10(seen / np.maximum(seen, masses[class_of(place, count)])), 0.0)
+
+
+def class_contexts(classes: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
+    """Hashed contexts of the tokens of some documents, laid in line; starts: of each document."""
+    at = np.arange(len(classes), dtype=np.int64)
+    begin = np.repeat(starts, np.diff(np.append(starts, len(classes))))
+
+    def there(place: np.ndarray) -> np.ndarray:
+        return np.where(place >= begin, classes[np.maximum(place, 0)], CLASSES)
+
+    frequent = (classes > AGAIN) & (classes < OTHERS)
+    last = np.concatenate([[-1], np.maximum.accumulate(np.where(frequent, at, -1))[:-1]]) if len(classes) else at
+    before = np.where(last >= begin, last[np.maximum(last, 0)], -1)
+    one, two, near, far = there(at - 1), there(at - 2), there(last), there(before)
+    none = np.zeros(len(classes), np.uint32)
+    return [none, mixing.hashed(one), mixing.hashed(one, two) + np.uint32(1), mixing.hashed(near) + np.uint32(5), mixing.hashed(near, far) + np.uint32(7)]
+
+
+# ------------------------------------------------------------------ spelling
 
 
 class Spelling:
-    """All bits of some tokens, as arrays: token number, bit, depth and one cell for each context."""
-
-    def __init__(self, tokens: list[bytes]):
-        closed = [t + b" " for t in tokens]
-        lengths = np.array([len(t) for t in closed], np.int64)
-        flat = np.frombuffer(b"".join(closed), np.uint8).astype(np.uint64)
-        starts = np.cumsum(lengths) - lengths
-        owner = np.repeat(np.arange(len(tokens)), lengths)
-        place = np.arange(len(flat)) - starts[owner]
-        previous = []
-        for k in range(1, 5):
-            shifted = np.zeros(len(flat), np.uint64)
-            shifted[k:] = flat[:-k] + np.uint64(1)
-            shifted[place < k] = 0
-            previous.append(shifted)
-        contexts = [np.minimum(place, 7).astype(np.uint64)]
-        running = np.full(len(flat), 7, np.uint64)
-        for k in range(4):
-            running = (running * np.uint64(0x100000001B3)) ^ previous[k]
-            contexts.append(running * _MIX + np.uint64(k))
-        contexts.append(self._beginnings(flat, starts, lengths, place))
-        self.owner, self.flat, self.contexts, self.n = owner, flat, contexts, len(tokens)
-
-    @staticmethod
-    def _beginnings(flat, starts, lengths, place) -> np.ndarray:
-        """A hash of the token's bytes before each byte."""
-        out = np.zeros(len(flat), np.uint64)
-        order = np.argsort(-lengths, kind="stable")
-        state = np.full(len(starts), 0xCBF29CE484222325, np.uint64)
-        sorted_lengths = -lengths[order]
-        for k in range(int(lengths.max()) if len(lengths) else 0):
-            alive = order[: np.searchsorted(sorted_lengths, -k, side="left")]
-            at = starts[alive] + k
-            out[at] = state[alive]
-            state[alive] = (state[alive] ^ flat[at]) * np.uint64(0x100000001B3)
-        return out * _MIX + np.uint64(9)
-
-    def bits(self, code: "Code", only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]]:
-        """(depth, which bytes, their bits, cell of each context, key of the beginning) for the decisions of all bytes, or of some."""
-        alive = np.arange(len(self.flat)) if only is None else only
-        for depth in range(code.longest):
-            alive = alive[code.lengths[self.flat[alive]] > depth]
-            path = code.paths[self.flat[alive]]
-            bit = (path >> np.uint64(depth)) & np.uint64(1)
-            so_far = (path & np.uint64((1 << depth) - 1)) | np.uint64(1 << depth)
-            mark = so_far * np.uint64(0xD6E8FEB86659FD93)
-            cells = [
-                (((c[alive] ^ mark) * _MIX) >> np.uint64(64 - width)).astype(np.int64)
-                for c, width in zip(self.contexts[:-1], TABLE_BITS, strict=True)
-            ]
-            yield min(depth, DEPTHS - 1), alive, bit.astype(np.int64), cells, (self.contexts[-1][alive] ^ mark) * _MIX
-
-
-class Code:
-    """A Huffman code of bytes; paths hold a byte's decisions, the first one lowest."""
-
-    def __init__(self, counts: np.ndarray):
-        heap = [(int(c) + 1, b, (b,)) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        self.lengths, self.paths = np.zeros(256, np.int64), np.zeros(256, np.uint64)
-        while len(heap) > 1:
-            one, other = heapq.heappop(heap), heapq.heappop(heap)
-            for bit, (_, _, members) in enumerate((one, other)):
-                for b in members:
-                    self.paths[b] = (int(self.paths[b]) << 1) | bit
-                    self.lengths[b] += 1
-            heapq.heappush(heap, (one[0] + other[0], min(one[1], other[1]), one[2] + other[2]))
-        self.longest = int(self.lengths.max())
-
-
-def _known(n: np.ndarray) -> np.ndarray:
-    """Class of the evidence in a cell: none, one, few, many."""
-    return ((n > 0.5).astype(np.uint8) + (n > 1.5) + (n > 7.5)).astype(np.uint8)
-
-
-def _evidence(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    return np.clip(np.log((ones + PRIOR) / (zeros + PRIOR)), -9, 9).astype(np.float32)
-
-
-class Model:
-    """Predictions by cell, weights[mixer, context + 1] and refine[depth, bucket, (ones, all)].
-
-    least: tokens with fewer occurrences have no part in the counts of whole beginnings.
-    learning: tables without the occurrence at hand are made, not the plain ones.
-    shared: sorted keys of beginnings that several chunks have, and their counts.
-    """
+    """Words in line as bytes with closing blanks: symbols, their word's number and their contexts."""
 
-    def __init__(self, counts: list, code: Code, least: int, weights=None, refine=None, learning: bool = False, shared=None):
-        self.code, self.least = code, least
-        self.shared = shared or (np.zeros(0, np.uint64), np.zeros((0, 2)))
-        self.plain, self.left_out, self.known, self.known_left_out = [], [], [], []
-        for k, table in enumerate(counts):
-            zeros, ones = table[:, 0], table[:, 1]
-            if not learning:
-                self.plain.append(_evidence(zeros, ones))
-            if learning:
-                without = np.empty((len(table), 2), np.float32)
-                without[:, 0] = _evidence(np.maximum(zeros - 1, 0), ones)
-                without[:, 1] = _evidence(zeros, np.maximum(ones - 1, 0))
-                self.left_out.append(without.ravel())
-            if k == CONTEXTS - 2:
-                self.known.append(_known(zeros + ones))
-                if learning:
-                    self.known_left_out.append(_known(zeros + ones - 1))
-        if weights is None:
-            weights = np.full((MIXERS, CONTEXTS + 1), 0.3)
-            weights[:, -1] = 0
-        self.weights = weights
-        self.refine = np.zeros((DEPTHS, MAP_BUCKETS, 2)) if refine is None else refine
-        self.curve = np.tile(np.eye(CONTEXTS + 1) * CURVE_PRIOR, (MIXERS, 1, 1))
-
-    def _begun(self, keys: np.ndarray, bit: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones after each key: those of the chunk, or of all chunks if shared."""
-        found, at = np.unique(keys, return_inverse=True)
-        sums = np.column_stack([np.bincount(at, weight * (bit == b), len(found)) for b in (0, 1)])
-        ours, counts = self.shared
-        if len(ours):
-            where = np.minimum(np.searchsorted(ours, found), len(ours) - 1)
-            hit = ours[where] == found
-            sums[hit] = counts[where[hit]]
-        return sums[at, 0], sums[at, 1]
-
-    @staticmethod
-    def _buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = (x + 12) * ((MAP_BUCKETS - 1) / 24)
-        low = np.minimum(where.astype(np.int64), MAP_BUCKETS - 2)
-        return low, where - low
-
-    def _by_gate(self, depth: int, gate: np.ndarray) -> Iterator[tuple[int, slice]]:
-        """Slices of rows that are sorted by gate."""
-        edges = np.searchsorted(gate, np.arange(GATES + 1))
-        for g in range(GATES):
-            if edges[g] < edges[g + 1]:
-                yield depth * GATES + g, slice(edges[g], edges[g + 1])
-
-    def learn(self, tokens: list[bytes], counts: np.ndarray) -> None:
-        """Online: predict each bit without the occurrence at hand, note it in the map, move the mixer.
-
-        A mixer moves by the gradient over the curvature gathered so far, an online Newton step.
-        """
-        spelling = Spelling(tokens)
-        weights = counts[spelling.owner].astype(np.float64)
-        for depth, alive, bit, cells, keys in spelling.bits(self.code):
-            weight = weights[alive]
-            noted = weight >= self.least
-            zeros, ones = self._begun(keys, bit, weight * noted)
-            zeros, ones = np.maximum(zeros - (noted & (bit == 0)), 0), np.maximum(ones - (noted & (bit == 1)), 0)
-            gate = self.known_left_out[0][cells[-1]] * KNOWN_CLASSES + _known(zeros + ones)
-            order = np.argsort(gate, kind="stable")
-            gate, weight, bit = gate[order], weight[order], bit[order]
-            inputs = np.empty((len(order), CONTEXTS + 1))
-            for k, cell in enumerate(cells):
-                inputs[:, k] = self.left_out[k][(cell[order] << 1) | bit]
-            inputs[:, CONTEXTS - 1] = _evidence(zeros, ones)[order]
-            inputs[:, -1] = 0.25
-            for mixer, rows in self._by_gate(depth, gate):
-                part, w, y = inputs[rows], weight[rows], bit[rows]
-                x = np.clip(part @ self.weights[mixer], -12, 12)
-                low, upper = self._buckets(x)
-                for bucket, share in ((low, (1 - upper) * w), (low + 1, upper * w)):
-                    self.refine[depth, :, 1] += np.bincount(bucket, share, MAP_BUCKETS)
-                    self.refine[depth, :, 0] += np.bincount(bucket, share * y, MAP_BUCKETS)
-                p = _squash(x)
-                self.curve[mixer] += (part * (p * (1 - p) * w)[:, None]).T @ part
-                moved = self.weights[mixer] + np.linalg.solve(self.curve[mixer], part.T @ ((y - p) * w))
-                self.weights[mixer] = np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
-
-    def log10(self, tokens: list[bytes], counts: np.ndarray | None = None) -> np.ndarray:
-        """log10 probability of each token's spelling; counts: of the chunk's tokens in training documents."""
-        spelling = Spelling(tokens)
-        weights = np.zeros(len(spelling.flat)) if counts is None else counts[spelling.owner].astype(np.float64)
-        ones, seen = self.refine[..., 0], self.refine[..., 1]
-        refined = (ones + 4 * _squash(np.linspace(-12, 12, MAP_BUCKETS))) / (seen + 4)
-        total = np.zeros(spelling.n)
-        for depth, alive, bit, cells, keys in spelling.bits(self.code):
-            weight = weights[alive]
-            zeros, begun = self._begun(keys, bit, weight * (weight >= self.least))
-            gate = self.known[0][cells[-1]] * KNOWN_CLASSES + _known(zeros + begun)
-            w = self.weights[depth * GATES : (depth + 1) * GATES]
-            x = 0.25 * w[gate, -1] + w[gate, CONTEXTS - 1] * _evidence(zeros, begun)
-            for k, cell in enumerate(cells):
-                x += w[gate, k] * self.plain[k][cell]
-            np.clip(x, -12, 12, out=x)
-            low, upper = self._buckets(x)
-            mapped = refined[depth, low] * (1 - upper) + refined[depth, low + 1] * upper
-            p = np.clip((_squash(x) + mapped) / 2, 1e-6, 1 - 1e-6)
-            total += np.bincount(spelling.owner[alive], np.log10(np.where(bit == 1, p, 1 - p)), spelling.n)
-        return total
+    def __init__(self, words: list[bytes]):
+        closed = [w + b" " for w in words]
+        lengths = np.array([len(w) for w in closed], np.int64)
+        self.symbols = np.frombuffer(b"".join(closed), np.uint8).astype(np.int64)
+        self.word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(len(self.symbols)) - (np.cumsum(lengths) - lengths)[self.word]
+        self.contexts, running = [mixing.hashed(np.minimum(place, 7))], np.zeros(len(place), np.uint32)
+        for k in range(1, len(BYTE_BITS)):
+            earlier = np.zeros(len(place), np.uint32)
+            earlier[k:] = self.symbols[:-k] + 1
+            earlier[place < k] = 0
+            running = mixing.hashed(running, earlier)
+            self.contexts.append(running)
+
+    def steps(self, counted: np.ndarray, learnt: np.ndarray) -> Iterator[tuple]:
+        for at in range(0, len(self.symbols), STEP):
+            rows = slice(at, at + STEP)
+            word = self.word[rows]
+            yield self.symbols[rows], [c[rows] for c in self.contexts], counted[word], learnt[word]
+
+
+# ------------------------------------------------------------------ tables
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """One row per block: its distinct tokens, their counts in training documents, and its documents as token numbers.
+    """One row per block: its distinct words, their counts in training documents, and its documents as token numbers.
 
     A block takes documents of one task until it holds BLOCK_CHARS.
     """
     document = pa.struct(
-        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("tokens", pa.binary())]
+        [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64()), ("tokens", pa.binary())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +174,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 if not held_out:
                     learnt.append(ids)
                 planes = ids.view(np.uint8).reshape(-1, 4).T.tobytes()
-                rows.append({"doc_id": doc, "held_out": held_out, "n_tokens": len(words) + 1, "tokens": zlib.compress(planes, 1)})
+                n_bytes = sum(map(len, words)) + len(words)
+                rows.append({"doc_id": doc, "held_out": held_out, "n_tokens": len(words) + 1, "n_bytes": n_bytes, "tokens": zlib.compress(planes, 1)})
                 chars += len(text or "")
                 if chars >= BLOCK_CHARS:
                     yield block()
@@ -318,165 +188,110 @@ def _blocks(docs: DataFrame) -> DataFrame:
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")),
         run,
         "block long, words array<binary>, counts array<long>, "
-        "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, tokens: binary>>",
+        "docs array<struct<doc_id: long, held_out: boolean, n_tokens: long, n_bytes: long, tokens: binary>>",
     )
 
 
-def _packed(words: DataFrame, shards: int) -> DataFrame:
-    """One row per chunk of sorted tokens: its tokens and their counts. The chunks are dealt out evenly."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: list[bytes] = []
-        counts: list[int] = []
-        held = 0
-
-        def chunk() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([tokens], pa.list_(pa.binary())), pa.array([counts], pa.list_(pa.int64()))], names=["words", "counts"])
-
-        for batch in batches:
-            for token, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tokens.append(token)
-                counts.append(n)
-                held += len(token)
-                if len(tokens) >= CHUNK or held >= CHUNK_BYTES:
-                    yield chunk()
-                    tokens, counts, held = [], [], 0
-        if tokens:
-            yield chunk()
-
-    ordered = words.select("word", "count").repartitionByRange(shards, "word").sortWithinPartitions("word")
-    return map_batches(ordered, run, "words array<binary>, counts array<long>").repartition(shards)
-
-
-def _borders(chunks: DataFrame) -> np.ndarray:
-    """Hashes of the beginnings that tokens on both sides of a chunk's border have; two tokens a chunk tell."""
-    ends = chunks.select(F.get("words", F.lit(0)).alias("first"), F.element_at("words", -1).alias("last"))
-    shared, before = {b""}, None
-    for first, last in sorted((bytes(a), bytes(b)) for a, b in ends.toLocalIterator()):
-        if before is not None:
-            n = next((k for k, (x, y) in enumerate(zip(before, first)) if x != y), min(len(before), len(first)))
-            shared.update(first[:k] for k in range(n + 1))
-        before = last
-    longest = sorted(shared)
-    spelling = Spelling(longest)
-    closing = np.cumsum(np.bincount(spelling.owner, minlength=len(longest))) - 1
-    return np.unique(spelling.contexts[-1][closing])
-
-
-def _shared_counts(chunks: DataFrame, borders: np.ndarray, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the decisions after the borders' beginnings, and their counts over all chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens, occurrences in _chunks(batches, training=True):
-            spelling = Spelling(tokens)
-            begun = spelling.contexts[-1]
-            at = np.minimum(np.searchsorted(borders, begun), len(borders) - 1)
-            for _, alive, bit, _, keys in spelling.bits(code, np.flatnonzero(borders[at] == begun)):
-                if not len(alive):
-                    continue
-                found, which = np.unique(keys, return_inverse=True)
-                weight = occurrences[spelling.owner[alive]].astype(np.float64)
-                sums = [pa.array(np.bincount(which, weight * (bit == b), len(found))) for b in (0, 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), *sums], names=["key", "zeros", "ones"])
-
-    sums = map_batches(chunks, run, "key long, zeros double, ones double").groupBy("key").agg(F.sum("zeros"), F.sum("ones"))
-    rows = list(sums.toLocalIterator())
-    keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.array([r[1:] for r in rows], np.float64).reshape(-1, 2)[order]
-
-
-def _note(counts: list, tokens: list[bytes], occurrences: np.ndarray, code: Code, least: int = 1) -> None:
-    """Add tokens with at least so many occurrences to the flat tables of counts (cell * 2 + bit)."""
-    spelling = Spelling(tokens)
-    weights = np.where(occurrences >= least, occurrences, 0)[spelling.owner].astype(np.float32)
-    for _, alive, bit, cells, _ in spelling.bits(code):
-        for k, cell in enumerate(cells):
-            np.add.at(counts[k], (cell << 1) | bit, weights[alive])
-
-
-def _byte_counts(shards: DataFrame) -> np.ndarray:
-    """How often each byte spells a distinct training token; 256 sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
-        for tokens, _ in _chunks(batches, training=True):
-            total += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
-
-    sums = map_batches(shards, run, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n"))
-    counts = np.zeros(256, np.int64)
-    for byte, n in sums.collect():
-        counts[byte] = n
-    return counts
+def _pieces(counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A task's tables of counts, in parts that are not all zero."""
+    for k, table in enumerate(counts):
+        for part in range(0, len(table), PIECE):
+            piece = table[part : part + PIECE]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)])],
+                    names=["context", "part", "cells"],
+                )
 
 
-def _tables() -> list[np.ndarray]:
-    return [np.zeros(2 << width, np.float32) for width in TABLE_BITS]
+_PIECES = "context int, part int, cells binary"
 
 
-def _context_counts(shards: DataFrame, code: Code) -> list[np.ndarray]:
-    """Exact sums over all training tokens; a fixed number of cells, whatever the input."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables()
-        for tokens, occurrences in _chunks(batches, training=True):
-            _note(tables, tokens, occurrences, code)
-        for k, table in enumerate(tables):
-            for part in range(0, len(table), CHUNK):
-                piece = table[part : part + CHUNK]
-                if piece.any():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([k], pa.int32()), pa.array([part], pa.int32()), pa.array([zlib.compress(piece.tobytes(), 1)])],
-                        names=["context", "part", "cells"],
-                    )
+def _summed(pieces: DataFrame, tables: mixing.Tables) -> list[np.ndarray]:
+    """Whole-number sums over all tasks; a fixed number of cells, whatever the input."""
 
     def add(key: tuple, table: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.float32).astype(np.float64) for x in table["cells"])
-        packed = zlib.compress(total.astype(np.float32).tobytes(), 1)
-        return pd.DataFrame({"context": [key[0]], "part": [key[1]], "cells": [packed]})
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in table["cells"])
+        return pd.DataFrame({"context": [key[0]], "part": [key[1]], "cells": [zlib.compress(total.tobytes(), 1)]})
 
-    schema = "context int, part int, cells binary"
-    sums = map_batches(shards, run, schema).groupBy("context", "part").applyInPandas(add, schema)
-    tables = _tables()
-    for k, part, cells in sums.toLocalIterator():
-        piece = np.frombuffer(zlib.decompress(cells), np.float32)
-        tables[k][part : part + len(piece)] = piece
-    return tables
+    counts = tables.empty()
+    for k, part, cells in pieces.groupBy("context", "part").applyInPandas(add, _PIECES).toLocalIterator():
+        piece = np.frombuffer(zlib.decompress(cells), np.int64)
+        counts[k][part : part + len(piece)] = piece
+    return [c.astype(np.float32) for c in counts]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], training: bool = False) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Tokens and counts of each chunk, or of its training tokens."""
+def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for batch in batches:
-        for tokens, counts in zip(batch.column(0), batch.column(1), strict=True):
-            tokens, counts = tokens.as_py(), np.array(counts.as_py(), np.int64)
-            if training:
-                tokens, counts = [t for t, n in zip(tokens, counts, strict=True) if n], counts[counts > 0]
-            if tokens:
-                yield tokens, counts
+        if batch.num_rows:
+            yield batch.column(0).to_pylist(), batch.column(1).to_numpy()
 
 
-def _mixer(shards: DataFrame, shared, code: Code) -> tuple[np.ndarray, np.ndarray]:
-    """Every shard learns online from all its tokens; one small row a shard is combined."""
+def _byte_code(words: DataFrame) -> mixing.Code:
+    """From how often each byte spells a distinct training word; 256 sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts_, begun = shared.value
-        model, seen = Model(counts_, code, 1, learning=True, shared=begun), 0
-        for tokens, counts in _chunks(batches, training=True):
-            model.learn(tokens, counts)
-            seen += int(counts.sum())
+        total = np.zeros(256, np.int64)
+        for tokens, _ in _words_of(batches):
+            total += np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(256), pa.int32()), pa.array(total)], names=["byte", "n"])
+
+    masses = np.zeros(256, np.int64)
+    for byte, n in map_batches(words, run, "byte int, n long").groupBy("byte").agg(F.sum("n")).collect():
+        masses[byte] = n
+    return mixing.Code(masses)
+
+
+def _spelling_model(words: DataFrame, distinct: int) -> tuple[mixing.Code, list[np.ndarray], mixing.Mixer]:
+    """Counts over all distinct training words, and the mean of the shards' mixers by weight of evidence."""
+    shards = max(1, -(-distinct // SHARD_WORDS))
+    training = words.where("count > 0").select("word", "count")
+    dealt = materialize(training.repartition(shards, "word").sortWithinPartitions("word"), "training")
+    code = _byte_code(dealt)
+    tables = mixing.Tables(code, BYTE_BITS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = tables.empty()
+        for tokens, _ in _words_of(batches):
+            every = np.ones(len(tokens), bool)
+            for symbols, contexts, _, _ in Spelling(tokens).steps(every, every):
+                tables.note(counts, tables.decisions(symbols, contexts))
+        yield from _pieces(counts)
+
+    counts = _summed(map_batches(dealt, count, _PIECES), tables)
+    # sums of 2**BYTE_BITS cells, 28 MB whatever the input
+    shared = words.sparkSession.sparkContext.broadcast(counts)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, seen, held = mixing.Predictor(tables, shared.value, BYTE_GATES), 0, []
+
+        def steps() -> None:
+            every = np.ones(len(held), bool)
+            for _ in model.run(Spelling(held).steps(every, every)):
+                pass
+
+        for tokens, _ in _words_of(batches):  # in equal lots, whatever the batches
+            seen += len(tokens)
+            held += tokens
+            while len(held) >= STEP:
+                held, rest = held[:STEP], held[STEP:]
+                steps()
+                held = rest
+        if held:
+            steps()
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([seen], pa.int64()),
-                    pa.array([model.weights.ravel()], pa.list_(pa.float64())),
-                    pa.array([model.refine.ravel()], pa.list_(pa.float64())),
+                    pa.array([model.mixer.weights.ravel().astype(np.float64)], pa.list_(pa.float64())),
+                    pa.array([model.mixer.refine.ravel()], pa.list_(pa.float64())),
                 ],
                 names=["seen", "weights", "refine"],
             )
 
-    # a few thousand numbers a shard, written so that the shards learn once
-    rows = materialize(map_batches(shards, run, "seen long, weights array<double>, refine array<double>"), "mixers")
+    # a shard for each task, read as it was dealt
+    whole = dealt.repartition(shards, "word").sortWithinPartitions("word")
+    rows = materialize(map_batches(whole, learn, "seen long, weights array<double>, refine array<double>"), "mixers")
     means = (
         rows.select("seen", F.posexplode("weights").alias("at", "w"))
         .groupBy("at")
@@ -484,98 +299,271 @@ def _mixer(shards: DataFrame, shared, code: Code) -> tuple[np.ndarray, np.ndarra
         .select(F.lit("w").alias("kind"), "at", "value")
     )
     sums = rows.select(F.posexplode("refine").alias("at", "r")).groupBy("at").agg(F.sum("r").alias("value"))
-    model = Model([], code, 1)
-    weights, refine = model.weights.ravel().copy(), model.refine.ravel().copy()
+    mixer = mixing.Mixer(len(BYTE_BITS))
+    weights, refine = mixer.weights.ravel(), mixer.refine.ravel()
     for kind, at, value in means.unionByName(sums.select(F.lit("r").alias("kind"), "at", "value")).collect():
-        (weights if kind == "w" else refine)[at] = value
-    return weights.reshape(MIXERS, -1), refine.reshape(DEPTHS, MAP_BUCKETS, 2)
+        (weights if kind == "w" else refine)[at] = np.float32(value)
+    discard(dealt, rows)
+    return code, counts, mixer
+
+
+def _placed(words: DataFrame, distinct: int, top: dict[bytes, int]) -> DataFrame:
+    """(word, count, place, spelt): where a word belongs, and log10 of its spelling for documents that do not know it."""
+    code, counts, mixer = _spelling_model(words, distinct)
+    tables = mixing.Tables(code, BYTE_BITS)
+    shared = words.sparkSession.sparkContext.broadcast((counts, mixer, top))  # bounded as above, and TOP words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts_, mixer_, top_ = shared.value
+        model = mixing.Predictor(tables, counts_, BYTE_GATES, mixer_)
+        for tokens, n in _words_of(batches):
+            spelling = Spelling(tokens)
+            cost = np.concatenate([*model.run(spelling.steps(n > 0, np.zeros(len(tokens), bool)))])
+            spelt = np.bincount(spelling.word, cost, len(tokens))
+            place = [-1 - top_[w] if w in top_ else form_of(w) for w in tokens]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tokens, pa.binary()), pa.array(n), pa.array(place, pa.int32()), pa.array(spelt.astype(np.float32))],
+                names=["word", "count", "place", "spelt"],
+            )
+
+    return materialize(map_batches(words.select("word", "count"), run, "word binary, count long, place int, spelt float"), "placed")
+
+
+def _masses(placed: DataFrame) -> np.ndarray:
+    """Training occurrences of the words of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            n, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            np.add.at(total, class_of(place, n), n)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total)], names=["class", "n"])
+
+    masses = np.zeros(CLASSES, np.int64)
+    for at, n in map_batches(placed.select("count", "place"), run, "class int, n long").groupBy("class").agg(F.sum("n")).collect():
+        masses[at] = n
+    return masses
+
+
+def _frequencies(coded: DataFrame) -> np.ndarray:
+    """How often training documents have each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES, np.int64)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                total += np.bincount(_classes(data), minlength=CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(total)], names=["class", "n"])
+
+    out = np.zeros(CLASSES, np.int64)
+    training = coded.where(~F.col("held_out")).select("classes")
+    for at, n in map_batches(training, run, "class int, n long").groupBy("class").agg(F.sum("n")).collect():
+        out[at] = n
+    return out
+
+
+def _packed(back: DataFrame) -> DataFrame:
+    """(block, words): what a task has of a block's words (number, place, count, spelt), packed by columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        n = 0
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            block, number, place, count, spelt = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((number, block))
+            block = block[order]
+            columns = [number[order].astype("<u4"), place[order].astype("<i2"), count[order].astype("<i8"), spelt[order].astype("<f4")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]])
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                steps = np.diff(columns[0][low:high], prepend=np.uint32(0))
+                parts = [steps, *(c[low:high] for c in columns[1:])]
+                planes = b"".join(p.view(np.uint8).reshape(len(p), -1).T.tobytes() for p in parts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block[low]], pa.int64()), pa.array([int(high - low)], pa.int64()), pa.array([zlib.compress(planes, 1)])],
+                    names=["at", "n", "words"],
+                )
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append([batch.column(k).to_numpy() for k in range(5)])
+                n += batch.num_rows
+            if n >= PACKED:
+                yield from rows()
+                held, n = [], 0
+        if held:
+            yield from rows()
+
+    return map_batches(back, run, "at long, n long, words binary")
+
+
+def _unpacked(n: int, data: bytes) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(zlib.decompress(data), np.uint8), [], 0
+    for kind in ("<u4", "<i2", "<i8", "<f4"):
+        size = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(raw[at : at + n * size].reshape(size, n).T).view(kind).ravel())
+        at += n * size
+    out[0] = np.cumsum(out[0], dtype=np.uint32)
+    return out
+
+
+_CODED = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, inside double, classes binary"
+
+
+def coded_words(ids: np.ndarray, training: bool, place: np.ndarray, count: np.ndarray, spelt: np.ndarray, masses: np.ndarray):
+    """Class of each word of a document, and the sum of what its words cost beyond their classes."""
+    unique, first, inverse, own = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
+    where, seen = place[unique], count[unique] - (own if training else 0)
+    classes = class_of(where, seen)[inverse]
+    inside = np.where(seen > 0, share_of(where, seen, masses), spelt[unique])[inverse]
+    other = (where >= 0)[inverse]
+    again = other & (first[inverse] != np.arange(len(ids)))
+    classes[again] = AGAIN
+    inside[again] = -np.log10(np.cumsum(other & ~again)[again])
+    return classes, float(inside.sum())
+
+
+def _coded(blocks: DataFrame, packed: DataFrame, masses: np.ndarray, ends: int, train_tokens: int, known_words: int) -> DataFrame:
+    """Documents as classes, with the sums that need no context."""
+    total = train_tokens + known_words + 1
+    last = (np.log10((ends + 1) / total), int(ends > 0))
+
+    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
+        parts = [_unpacked(n, data) for n, data in zip(words["n"].to_pylist(), words["words"].to_pylist(), strict=True)]
+        size = sum(len(p[0]) for p in parts)
+        place, count, spelt = np.zeros(size, np.int16), np.zeros(size, np.int64), np.zeros(size, np.float32)
+        for number, *values in parts:
+            for whole, value in zip((place, count, spelt), values, strict=True):
+                whole[number] = value
+        base, known = np.log10((count + 1) / total), count > 0
+        sums: list[list] = [[], [], [], []]
+        for packed_, held_out in zip(docs["tokens"].to_pylist(), docs["held_out"].to_pylist(), strict=True):
+            planes = np.frombuffer(zlib.decompress(packed_), np.uint8).reshape(4, -1)
+            ids = np.ascontiguousarray(planes.T).view("<u4").ravel()
+            classes, inside = coded_words(ids, not held_out, place, count, spelt, masses)
+            sums[0].append(int(known[ids].sum()) + last[1])
+            sums[1].append(float(base[ids].sum()) + last[0])
+            sums[2].append(inside)
+            sums[3].append(zlib.compress(np.append(classes, END).astype("<u2").tobytes(), 1))
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        found = dict(zip(("n_known", "base_score", "inside", "classes"), map(pa.array, sums, kinds), strict=True))
+        return pa.table({**{c: docs[c] for c in ("doc_id", "held_out", "n_tokens", "n_bytes")}, **found})
+
+    documents_ = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.*")
+    return documents_.groupBy("block").cogroup(packed.groupBy("at")).applyInArrow(run, _CODED)
+
+
+def _classes(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<u2").astype(np.int64)
+
+
+def _class_counts(coded: DataFrame, tables: mixing.Tables) -> list[np.ndarray]:
+    """Of all tokens of training documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = tables.empty()
+        for lot in _lots((d,) for batch in batches for d in batch.column(0).to_pylist()):
+            symbols, _, contexts = lot
+            for at in range(0, len(symbols), STEP):
+                rows = slice(at, at + STEP)
+                tables.note(counts, tables.decisions(symbols[rows], [c[rows] for c in contexts]))
+        yield from _pieces(counts)
+
+    training = coded.where(~F.col("held_out")).select("classes")
+    return _summed(map_batches(training, run, _PIECES), tables)
+
+
+def _lots(rows: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Documents in line, STEP tokens or more: classes, where each document starts, contexts."""
+    held, n = [], 0
+
+    def lot():
+        lengths = np.array([len(h) for h in held])
+        starts, symbols = np.cumsum(lengths) - lengths, np.concatenate(held)
+        return symbols, starts, class_contexts(symbols, starts)
+
+    for (data,) in rows:
+        held.append(_classes(data))
+        n += len(held[-1])
+        if n >= STEP:
+            yield lot()
+            held, n = [], 0
+    if held:
+        yield lot()
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+    """One row per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
+
+    n_bytes: words and a blank after each; bits_per_byte: null without a word.
+    """
     blocks = materialize(_blocks(docs), "blocks")
     spelt = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("number", "x")).select(
         "block", "number", F.col("x.words").alias("word"), F.col("x.counts").alias("count")
     )
     words = materialize(spelt.groupBy("word").agg(F.sum("count").alias("count")), "words")
-    facts = words.agg(
-        F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1)), F.count(F.lit(1))
-    ).first()
+    facts = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.when(F.col("count") > 0, 1)), F.count(F.lit(1))).first()
     training = F.size(F.filter("docs", lambda d: ~d["held_out"]))
-    ends = blocks.agg(F.coalesce(F.sum(training), F.lit(0))).first()[0]
+    tokens = F.aggregate("docs", F.lit(0).cast("long"), lambda n, d: n + d["n_tokens"])
+    ends, all_tokens = blocks.agg(F.coalesce(F.sum(training), F.lit(0)), F.coalesce(F.sum(tokens), F.lit(0))).first()
     train_tokens, known_words, distinct = facts[0] + ends, facts[1] + (ends > 0), facts[2]
-
-    shards = max(spark.sparkContext.defaultParallelism, -(-distinct // SHARD_TOKENS))
-    # with the end, a token without letters; dealt once, and read by each pass
-    end = spark.range(1).select(F.lit(b"").alias("word"), F.lit(ends).cast("long").alias("count"))
-    dealt = materialize(_packed(words.select("word", "count").unionByName(end), shards), "tokens")
-    code = Code(_byte_counts(dealt))
-    counts = [t.reshape(-1, 2) for t in _context_counts(dealt, code)]
-    begun = _shared_counts(dealt, _borders(dealt), code)
-    # sums of 2**TABLE_BITS cells, 33 MB whatever the input, and a few beginnings for each chunk
-    shared = spark.sparkContext.broadcast((counts, begun))
-    weights, refine = _mixer(dealt, shared, code)
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(shared.value[0], code, 1, weights, refine, shared=shared.value[1])
-        for tokens, n in _chunks(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(tokens, pa.binary()), pa.array(n), pa.array(model.log10(tokens, n))], names=["word", "count", "model"]
-            )
-
-    rated = materialize(
-        map_batches(dealt, rate, "word binary, count long, model double"),
-        "rated",
-    )
+    short = words.where((F.col("count") > 0) & (F.octet_length("word") <= TOP_BYTES))
+    top = {bytes(r[0]): i for i, r in enumerate(short.orderBy(F.desc("count"), "word").limit(TOP).select("word").collect())}
+    placed = _placed(words, distinct, top)
     discard(words)
-    end_model = float(rated.where(F.octet_length("word") == 0).first()["model"])
-    base = (F.col("count") + 1) / F.lit(float(train_tokens + known_words + 1))
-    back = (
-        spelt.select("block", "number", "word")
-        .join(rated, "word")
-        .select(F.col("block").alias("at"), "number", F.log10(base).alias("base"), "model", (F.col("count") > 0).alias("known"))
-    )
-    tail = (float(np.log10((ends + 1) / (train_tokens + known_words + 1))), end_model, int(ends > 0))
-    documents_ = blocks.select("block", F.explode("docs").alias("d")).select("block", "d.*")
-    summed = (
-        documents_.groupBy("block")
-        .cogroup(back.groupBy("at"))
-        .applyInArrow(
-            _sum_block(train_tokens, tail),
-            "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
-        )
-    )
-    return summed
-
+    masses = _masses(placed)
+    back = spelt.select("block", "number", "word").join(placed, "word").select("block", "number", "place", "count", "spelt")
+    coded = materialize(_coded(blocks, _packed(back), masses, ends, train_tokens, known_words), "coded")
+    discard(blocks, placed)
+    tables = mixing.Tables(mixing.Code(_frequencies(coded)), CLASS_BITS)
+    # sums of 2**CLASS_BITS cells, 21 MB whatever the input
+    shared = docs.sparkSession.sparkContext.broadcast(_class_counts(coded, tables))
 
-def _sum_block(train_tokens: int, tail: tuple):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        n = words.num_rows
-        at = words["number"].to_numpy()
-        base, model, known = np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
-        base[at], model[at] = words["base"].to_numpy(), words["model"].to_numpy()
-        known[at] = words["known"].to_numpy(zero_copy_only=False)
-        sums: list[list] = [[], [], []]
-        for packed in docs["tokens"].to_pylist():
-            planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
-            ids = np.ascontiguousarray(planes.T).view("<u4").ravel()
-            sums[0].append(int(known[ids].sum()) + tail[2])
-            sums[1].append(float(base[ids].sum()) + tail[0])
-            sums[2].append(float(model[ids].sum()) + tail[1])
-        return pa.table(
-            {
-                "doc_id": docs["doc_id"],
-                "held_out": docs["held_out"],
-                "n_tokens": docs["n_tokens"],
-                "n_known": pa.array(sums[0], pa.int64()),
-                "train_tokens": pa.array([train_tokens] * docs.num_rows, pa.int64()),
-                "base_score": pa.array(sums[1], pa.float64()),
-                "score": pa.array(sums[2], pa.float64()),
-            }
-        )
-
-    return run
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = mixing.Predictor(tables, shared.value, CLASS_GATES)
+        held: list[pa.RecordBatch] = []
+        n = 0
+
+        def rated() -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held)
+            rows = [_classes(d) for d in table["classes"].to_pylist()]
+            lengths = np.array([len(r) for r in rows])
+            starts, symbols = np.cumsum(lengths) - lengths, np.concatenate(rows)
+            contexts = class_contexts(symbols, starts)
+            learnt = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False), lengths)
+            steps = [slice(at, at + STEP) for at in range(0, len(symbols), STEP)]
+            cost = np.concatenate([*model.run((symbols[s], [c[s] for c in contexts], learnt[s], learnt[s]) for s in steps)])
+            total = np.add.reduceat(cost, starts) + table["inside"].to_numpy()
+            size = table["n_bytes"].to_numpy()
+            bits = np.where(size > 0, -total / np.log10(2) / np.maximum(size, 1), np.nan)
+            columns = [table[c].combine_chunks() for c in ("doc_id", "held_out", "n_tokens", "n_known")]
+            columns += [pa.array([train_tokens] * len(rows), pa.int64()), table["base_score"].combine_chunks(), pa.array(total)]
+            columns += [table["n_bytes"].combine_chunks(), pa.array(bits, pa.float64(), from_pandas=True)]
+            names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
+            yield from pa.table(columns, names=names).to_batches()
+
+        for batch in batches:  # in lots that the documents alone decide
+            ends_ = np.cumsum(batch.column(2).to_numpy())
+            low = 0
+            while low < batch.num_rows:
+                high = int(np.searchsorted(ends_, STEP - n + (ends_[low - 1] if low else 0))) + 1
+                held.append(batch.slice(low, min(high, batch.num_rows) - low))
+                n += int(ends_[min(high, batch.num_rows) - 1] - (ends_[low - 1] if low else 0))
+                low = high
+                if n >= STEP:
+                    yield from rated()
+                    held, n = [], 0
+        if held:
+            yield from rated()
+
+    segments = max(1, -(-all_tokens // SEGMENT_TOKENS))
+    dealt = coded.repartition(segments, F.xxhash64("doc_id", "classes")).sortWithinPartitions("doc_id", "classes")
+    return map_batches(
+        dealt,
+        run,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
+        "n_bytes long, bits_per_byte double",
+    )
 
 
 def op5_lm_scoring(spark, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from parallaxis.llm import (
     jaccard_join,
     language_id,
     lm_scoring,
+    mixing,
     packing,
     pii_surrogates,
     quality_rules,
@@ -280,47 +281,196 @@ def test_lm_base_scores_and_sums(docs, spark):
     assert lm_scoring.score(empty(spark)).count() == 0
 
 
-def test_lm_beginnings_of_all_training_tokens(spark, monkeypatch):
-    """Rare tokens count as well, and chunks of any size give the same counts."""
-    words = sorted({bytes(97 + (i * k) % 7 for k in range(1, 5 + i % 3)) for i in range(300)})
-    n = np.array([1 + i % 3 for i in range(len(words))])
-    table = spark.createDataFrame([(w, int(c)) for w, c in zip(words, n, strict=True)], "word binary, count long")
-    code = lm_scoring.Code(np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256))
-    want = {}
-    for _, alive, bit, _, keys in (spelling := lm_scoring.Spelling(words)).bits(code):
-        for key, b, w in zip(keys, bit, n[spelling.owner[alive]], strict=True):
-            want.setdefault(int(key), [0, 0])[b] += int(w)
-    for size in (5, 4096):
-        monkeypatch.setattr(lm_scoring, "CHUNK", size)
-        chunks = lm_scoring._packed(table, 3).persist()
-        begun = lm_scoring._shared_counts(chunks, lm_scoring._borders(chunks), code)
-        model = lm_scoring.Model([], code, 1, shared=begun)
-        rows = [(list(map(bytes, r[0])), np.array(r[1])) for r in chunks.collect()]
-        assert sum(len(t) for t, _ in rows) == len(words) and (len(rows) > 3) == (size == 5)
-        for tokens, c in rows:
-            for _, alive, bit, _, keys in (spelling := lm_scoring.Spelling(tokens)).bits(code):
-                zeros, ones = model._begun(keys, bit, c[spelling.owner[alive]].astype(float))
-                assert all(want[int(k)] == [z, o] for k, z, o in zip(keys, zeros, ones, strict=True))
-
-
-def test_lm_is_a_distribution():
-    """Over a short alphabet the probabilities of all spellings of up to three bytes add up to less than one, and to most of it."""
-    tokens = [b"a", b"b", b"ab", b"ba", b"aab"]
-    counts = np.array([50, 20, 9, 5, 1])
-    code = lm_scoring.Code(np.bincount(np.frombuffer(b" ".join([*tokens, b""]), np.uint8), minlength=256))
+class SlowMixing:
+    """The mixing of `mixing`, one decision at a time, from tables that are dictionaries."""
+
+    def __init__(self, code, bits, gates):
+        self.code, self.bits, self.gates, self.counts = code, bits, gates, Counter()
+        self.mixer = mixing.Mixer(len(bits))
+
+    def decisions(self, symbol, contexts):
+        for k in range(self.code.lengths[symbol]):
+            at = self.code.starts[symbol] + k
+            mark = int(self.code.mark[at])
+            cells = [
+                (int(c) ^ mark) * 0x9E3779B1 % 2**32 >> (32 - b) if b else int(self.code.node[at])
+                for c, b in zip(contexts, self.bits, strict=True)
+            ]
+            yield int(self.code.depth[at]), int(self.code.bit[at]), cells
+
+    def note(self, symbol, contexts):
+        for _, bit, cells in self.decisions(symbol, contexts):
+            self.counts.update((i, c, bit) for i, c in enumerate(cells))
+
+    def lot(self, symbols, contexts, counted, learnt):
+        """log10 of each symbol; then the mixers learn, or before if nothing has been learnt."""
+        rows = []
+        for s, symbol in enumerate(symbols):
+            for depth, bit, cells in self.decisions(symbol, [c[s] for c in contexts]):
+                n = [[self.counts[i, c, b] - (counted[s] and b == bit) for b in (0, 1)] for i, c in enumerate(cells)]
+                odds = [np.clip(np.log((np.float32(o) + 0.4) / (np.float32(z) + 0.4)), -9, 9) for z, o in n]
+                inputs = np.array([*(np.rint(x * 14) / 14 for x in odds), 0.25], np.float32)
+                known = [(sum(n[g]) > 1.5) + 0 + (sum(n[g]) > 15.5) for g in self.gates]
+                rows.append((s, (depth * 3 + known[0]) * 3 + known[1], depth, bit, inputs, learnt[s]))
+        if fresh := not self.mixer.refine.any():
+            self.learn(rows)
+        out = np.zeros(len(symbols))
+        for s, m, depth, bit, inputs, _ in rows:
+            x = np.float32(np.clip(self.mixer.weights[m] @ inputs, -12, 12))
+            p = self.mixer.probability(np.array([depth]), np.array([x]))[0]
+            out[s] += math.log10(p if bit else 1 - p)
+        if not fresh:
+            self.learn(rows)
+        return out
+
+    def learn(self, rows):
+        slope = np.zeros((mixing.MIXERS, len(self.bits) + 1, 1))
+        old = self.mixer.weights
+        for _, m, depth, bit, inputs, learnt in rows:
+            if not learnt:
+                continue
+            x = float(np.clip(old[m] @ inputs, -12, 12))
+            p = 1 / (1 + math.exp(-x))
+            where = (x + 12) * 32 / 24
+            low = min(int(where), 31)
+            for bucket, share in ((low, 1 - where + low), (low + 1, where - low)):
+                self.mixer.refine[depth * 33 + bucket] += share * bit, share
+            self.mixer.curve[m] += np.outer(inputs, inputs) * p * (1 - p)
+            slope[m, :, 0] += inputs * (bit - p)
+        self.mixer.weights = np.clip(old + np.linalg.solve(self.mixer.curve, slope)[:, :, 0], -3, 3).astype(np.float32)
+
+
+def test_mixing_equals_one_decision_at_a_time():
+    rng = np.random.default_rng(3)
+    masses = np.array([40, 20, 9, 5, 3, 1, 0])
+    code, bits = mixing.Code(masses), (0, 6, 8)
     assert abs(sum(2.0 ** -int(n) for n in code.lengths) - 1) < 1e-12
-    tables = lm_scoring._tables()
-    lm_scoring._note(tables, tokens, counts, code, 1)
-    tables = [t.reshape(-1, 2) for t in tables]
-    model = lm_scoring.Model(tables, code, 1, learning=True)
+    tables, slow = mixing.Tables(code, bits), SlowMixing(code, bits, (1, 2))
+    counts, lots = tables.empty(), []
+    for _ in range(5):
+        symbols = rng.choice(7, 120, p=masses / masses.sum())
+        symbols[::10] = 6
+        before = np.concatenate([[7], symbols[:-1]])
+        contexts = [np.zeros(120, np.uint32), mixing.hashed(before), mixing.hashed(before, np.roll(before, 1))]
+        training = rng.random(120) < 0.8
+        tables.note(counts, tables.decisions(symbols[training], [c[training] for c in contexts]))
+        for s in np.flatnonzero(training):
+            slow.note(symbols[s], [c[s] for c in contexts])
+        lots.append((symbols, contexts, training, training))
+    assert all(table[2 * c + b] == slow.counts[k, c, b] for k, table in enumerate(counts) for c in range(len(table) // 2) for b in (0, 1))
+    for lot, got in zip(lots, mixing.Predictor(tables, counts, (1, 2)).run(lots), strict=True):
+        assert np.allclose(got, slow.lot(*lot), atol=2e-3)
+
+
+def brute_lm(rows):
+    """Classes of all tokens and the sums beyond classes, from plain loops; spellings given by a function."""
+    texts = [(d, lm_scoring.tokens_of(t), d is None or zlib.crc32(str(d).encode()) % 7 == 2) for d, t, *_ in rows]
+    count = Counter(w for _, t, out in texts if not out for w in t)
+    ranked = sorted((w for w in count if len(w) <= 64), key=lambda w: (-count[w], w))[: lm_scoring.TOP]
+    top = {w: i for i, w in enumerate(ranked)}
+
+    def of(word, n):
+        if n <= 0:
+            return 0
+        if word in top:
+            return 3 + top[word]
+        return 3 + lm_scoring.TOP + zlib.crc32(word[:2] + b"|" + word[-2:]) % 64 * 16 + min(n.bit_length() - 1, 15)
+
+    masses = Counter()
+    for w, n in count.items():
+        masses[of(w, n)] += n
+    out = []
+    for doc, words, held_out in texts:
+        had, classes, inside, spelt = set(), [], 0.0, []
+        for w in words:
+            n = count[w] - (0 if held_out else words.count(w))
+            if w in had:
+                classes.append(2)
+                inside -= math.log10(len(had))
+                continue
+            classes.append(of(w, n))
+            if n <= 0:
+                spelt.append(w)
+            elif w not in top:
+                inside += math.log10(n / max(n, masses[of(w, n)]))
+            if w not in top:
+                had.add(w)
+        out.append((doc, held_out, classes, inside, spelt))
+    return out, count, top
+
+
+def test_lm_classes_and_sums_equal_brute_force(docs, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TOP", 20)
+    monkeypatch.setattr(lm_scoring, "OTHERS", 23)
+    monkeypatch.setattr(lm_scoring, "CLASSES", 23 + 64 * 16)
+    rows = [r for r in corpus() if r[1] is None or len(r[1]) < 5000]
+    want, count, top = brute_lm(rows)
+    words = sorted({w for _, t, *_ in rows for w in lm_scoring.tokens_of(t)})
+    number = {w: i for i, w in enumerate(words)}
+    place = np.array([-1 - top[w] if w in top else lm_scoring.form_of(w) for w in words])
+    n = np.array([count[w] for w in words])
+    spelt = np.array([-1.0 - i / 7 for i in range(len(words))])
+    masses = np.bincount(lm_scoring.class_of(place, n), n, lm_scoring.CLASSES)
+    for (_, text, *_), (_, held_out, classes, inside, unknown) in zip(rows, want, strict=True):
+        ids = np.array([number[w] for w in lm_scoring.tokens_of(text)], np.int64)
+        got, total = lm_scoring.coded_words(ids, not held_out, place, n, spelt, masses)
+        again = Counter(unknown)
+        assert got.tolist() == classes
+        assert abs(total - inside - sum(spelt[number[w]] * k for w, k in again.items())) < 1e-9
+
+
+def test_lm_contexts_stay_in_their_document():
+    top = lm_scoring.OTHERS
+    classes = np.array([5, top + 3, 1, 6, 0, 7, top + 9, 1])
+    got = lm_scoring.class_contexts(classes, np.array([0, 3]))
+    none = lm_scoring.CLASSES
+    pairs = [(none, none), (5, none), (top + 3, 5), (none, none), (6, none), (0, 6), (7, 0), (top + 9, 7)]
+    frequent = [(none, none), (5, none), (5, none), (none, none), (6, none), (6, none), (7, 6), (7, 6)]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    c, d = (np.array(x) for x in zip(*frequent, strict=True))
+    want = [mixing.hashed(a), mixing.hashed(a, b) + np.uint32(1), mixing.hashed(c) + np.uint32(5), mixing.hashed(c, d) + np.uint32(7)]
+    assert not got[0].any() and all((x == y).all() for x, y in zip(got[1:], want, strict=True))
+
+
+def test_lm_hears_the_order_of_words_and_not_the_cores(spark, monkeypatch):
+    """Sentences of a fixed grammar cost less than the same words shuffled, and any partitioning gives the same scores."""
+    monkeypatch.setattr(lm_scoring, "SEGMENT_TOKENS", 4000)
+    monkeypatch.setattr(lm_scoring, "BLOCK_CHARS", 9000)
+    rng = random.Random(6)
+    parts = [["the", "a"], ["red", "old", "big"], ["dog", "cat", "bird"], ["sees", "likes"], ["no", "every"], ["tree", "house"]]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(p) for _ in range(12) for p in parts]
+        if i % 7 == 3:
+            rng.shuffle(words)
+        rows.append((i, " ".join(words), None, "s", 1))
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = {r["doc_id"]: r for r in lm_scoring.score(df.repartition(1)).collect()}
+    other = {r["doc_id"]: r for r in lm_scoring.score(df.repartition(5)).collect()}
+    assert all(abs(one[i]["score"] - other[i]["score"]) < 1e-6 for i in one)
+    held = [one[i] for i in range(400) if one[i]["held_out"]]
+    mean = [np.mean([r["score"] for r in held if (r["doc_id"] % 7 == 3) == s]) for s in (False, True)]
+    assert mean[0] > mean[1] * 0.7, mean
+    assert sum(r["score"] for r in held if r["doc_id"] % 7 != 3) > sum(r["base_score"] for r in held if r["doc_id"] % 7 != 3)
+    assert all(abs(r["bits_per_byte"] + r["score"] / math.log10(2) / r["n_bytes"]) < 1e-9 for r in held)
+
+
+def test_lm_spellings_are_a_distribution():
+    """Over a short alphabet the probabilities of all spellings of up to three bytes add up to less than one, and to most of it."""
+    words = [b"a", b"b", b"ab", b"ba", b"aab"]
+    code = mixing.Code(np.bincount(np.frombuffer(b" ".join([*words, b""]), np.uint8), minlength=256))
+    tables = mixing.Tables(code, lm_scoring.BYTE_BITS)
+    counts, every = tables.empty(), np.ones(len(words), bool)
+    for symbols, contexts, _, _ in lm_scoring.Spelling(words).steps(every, every):
+        tables.note(counts, tables.decisions(symbols, contexts))
+    counts = [c * 20 for c in counts]
+    model = mixing.Predictor(tables, counts, lm_scoring.BYTE_GATES)
     for _ in range(20):
-        model.learn(tokens, counts)
-    scored = lm_scoring.Model(tables, code, 1, model.weights, model.refine)
-    every = [bytes(x) for n in range(4) for x in np.ndindex(*[2] * n)]
-    every = [bytes(97 + b for b in x) for x in every]
-    total = (10 ** scored.log10(every)).sum()
-    assert 0.5 < total <= 1 + 1e-9
-    assert scored.log10([b"a"])[0] > scored.log10([b"aab"])[0] > scored.log10([b"zqzq"])[0]
+        list(model.run(lm_scoring.Spelling(words).steps(every, every)))
+    some = [bytes(97 + b for b in x) for n in range(4) for x in np.ndindex(*[2] * n)]
+    spelling, no = lm_scoring.Spelling(some), np.zeros(len(some), bool)
+    cost = np.bincount(spelling.word, np.concatenate([*model.run(spelling.steps(no, no))]), len(some))
+    assert 0.5 < (10**cost).sum() <= 1 + 1e-9
 
 
 # ---------------------------------------------------------------- language
