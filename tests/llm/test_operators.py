@@ -211,11 +211,12 @@ def test_bpe_equals_the_library(docs, clashing, spark):
 def test_packing_is_whole_and_tight(docs, spark):
     public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
     library = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    special = [(800, "a <|endoftext|> b", None, None, 1), (801, "<|endoftext|><|endoftext|>x <|endoftext", None, None, 1), (802, "𝒂 \u0378 é", None, None, 1)]
+    both = docs.unionByName(spark.createDataFrame(special, SCHEMA)).withColumns({"ids": F.lit(1), "length": F.lit("x"), "offset": F.lit(0)})
     with open(public.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-        rows = packing.pack(docs, f.read(), public.PATTERN).collect()
+        rows = packing.pack(both, f.read(), public.PATTERN).collect()
     want = Counter()
-    for doc, text, *_ in corpus():
+    for doc, text, *_ in [*corpus(), *special]:
         want[(doc, tuple(library.encode(text or "", add_special_tokens=False).ids) + (1,))] += 1
     # repeated rows may share (doc_id, start): compare what their ids add up to
     tokens = Counter()
