@@ -82,6 +82,14 @@ def release_memory() -> None:
         pass
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def id_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text modulo a number; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

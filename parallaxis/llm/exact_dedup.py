@@ -1,8 +1,9 @@
 """Exact deduplication by recipes of content-defined chunks, in DataFrame functions only.
 
 A normalised text (each run of white space is one space) is cut where its content says
-so: after LEAST_CHUNK characters at the next space that follows one of CUT_AFTER, or at
-MOST_CHUNK characters. A text's recipe is the ordered list of its chunks' identifiers.
+so, in any script: after LEAST_CHUNK characters behind the next doubled character or, in
+scripts of many characters, behind the next one of every 32nd part of the code points;
+or at MOST_CHUNK characters. A text's recipe is the ordered list of its chunks' identifiers.
 An identifier is the chunk's hash, verified: over all chunks, the least and the greatest
 content of a hash must be the same; where they differ, the contents of that hash are
 numbered and the number becomes part of the identifier. Contents cross the network
@@ -10,8 +11,9 @@ once, at most once per task and chunk; documents are then compared by recipe alo
 
 Null text counts as empty; empty texts equal each other. Of equal texts the row with
 the smallest doc_id stays (null ids come last); of rows that repeat that id with an
-equal text, one. Other columns play no part. A group may be any share of all rows:
-groups are counted by partial sums, and joined back with splittable joins.
+equal text, one. Other columns play no part, whatever their names; an empty table gives
+no rows. A group may be any share of all rows: groups are counted by partial sums, and
+joined back with splittable joins.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import documents, materialize
+from ._common import discard, documents, fresh, materialize
 
-LEAST_CHUNK, MOST_CHUNK = 256, 2048
-CUT_AFTER = "[aeiouyäöüéèêáíóñ.,]"
-_CHUNK = rf"(?s).{{{LEAST_CHUNK},{MOST_CHUNK}}}?(?<={CUT_AFTER}) |.{{1,{MOST_CHUNK}}}"
+LEAST_CHUNK, MOST_CHUNK = 192, 2048
+#: Eight of each 256 code points from U+3000 to U+D7FF.
+_SOME = "".join(f"\\u{block:02X}00-\\u{block:02X}07" for block in range(0x30, 0xD8))
+_CUT = rf"(?:(.)\1|(?=[^\x00-\u2FFF])[{_SOME}])"
+_CHUNK = rf"(?s).{{{LEAST_CHUNK},{MOST_CHUNK - 2}}}?{_CUT}|.{{1,{MOST_CHUNK}}}"
 #: Runs of white space other than one single space.
 _UNEVEN_SPACE = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
@@ -47,10 +51,15 @@ def _chunked(docs: DataFrame) -> DataFrame:
 
 
 def recipes(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
-    """doc_id, text_sha256, recipe array<string or long> of verified identifiers; one row per row."""
+    """row, doc_id, text_sha256, recipe array<long> of verified identifiers; one row per row, written."""
     cut = _chunked(docs)
     plain = materialize(
-        cut.select("doc_id", F.sha2("norm", 256).alias("text_sha256"), F.transform("chunks", lambda c: hash_of(c)).alias("recipe")),
+        cut.select(
+            F.monotonically_increasing_id().alias("row"),
+            "doc_id",
+            F.sha2("norm", 256).alias("text_sha256"),
+            F.transform("chunks", lambda c: hash_of(c)).alias("recipe"),
+        ),
         "recipes",
     )
     contents = cut.select(F.explode("chunks").alias("content")).withColumn("hash", hash_of(F.col("content")))
@@ -62,7 +71,9 @@ def recipes(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
         "doubtful",
     )
     if doubtful.isEmpty():
+        discard(doubtful)
         return plain
+    discard(plain)
     return _renumbered(docs, contents, doubtful, hash_of)
 
 
@@ -89,63 +100,61 @@ def _renumbered(docs: DataFrame, contents: DataFrame, doubtful: DataFrame, hash_
     recipe = F.flatten(
         F.transform(F.sort_array("parts"), lambda p: F.array(p["hash"].cast("long"), p["number"].cast("long")))
     )
-    return rows.join(listed, "row", "left").select(
-        "doc_id", "text_sha256", F.coalesce(recipe, F.array().cast("array<bigint>")).alias("recipe")
+    return materialize(
+        rows.join(listed, "row", "left").select(
+            "row", "doc_id", "text_sha256", F.coalesce(recipe, F.array().cast("array<bigint>")).alias("recipe")
+        ),
+        "recipes",
     )
 
 
 def deduplicate(docs: DataFrame, hash_of: Hash = F.xxhash64) -> DataFrame:
     """One row per row: doc_id, keep_id, group_size, kept, text_sha256."""
-    listed = recipes(docs, hash_of).withColumn("recipe_hash", F.xxhash64("recipe"))
-    rows = listed.groupBy("recipe_hash", "recipe", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("repeats"))
+    rows = recipes(docs, hash_of).withColumn("recipe_hash", F.xxhash64("recipe"))
     # written, so that both sides of the join come straight from a shuffle, which can split a hot group
     classes = materialize(
         rows.groupBy("recipe_hash", "recipe")
-        .agg(F.min("doc_id").alias("keep_id"), F.sum("repeats").alias("group_size"))
-        .where("group_size > 1"),
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first"), F.count(F.lit(1)).alias("group_size"))
+        .where("group_size > 1")
+        .select("recipe_hash", "recipe", F.col("first.doc_id").alias("keep_id"), F.col("first.row").alias("keep_row"), "group_size"),
         "classes",
     )
-    found = rows.join(classes, ["recipe_hash", "recipe"], "left")
     alone = F.col("group_size").isNull()
-    return found.select(
+    return rows.join(classes, ["recipe_hash", "recipe"], "left").select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))).alias("repeat"),
-        "text_sha256",
-    ).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("repeat") == 1)).alias("kept"),
+        (alone | (F.col("row") == F.col("keep_row"))).alias("kept"),
         "text_sha256",
     )
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that deduplicate() drops; all columns stay."""
+    """docs without the rows that deduplicate() drops; all columns stay, whatever their names."""
     verdicts = materialize(deduplicate(docs), "verdicts")
-    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias("__id"))
-    stays = verdicts.where("kept").select(F.col("doc_id").alias("__id"))
-    same = F.col("doc_id").cast("long") == F.col("__id")
+    own = fresh(docs, "id")
+    dropped = verdicts.where(~F.col("kept")).select(F.col("doc_id").alias(own))
+    stays = verdicts.where("kept").select(F.col("doc_id").alias(own))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own))
     # ids that repeat, with equal or other texts, and null ids: their rows need a look at the text
     both = materialize(
-        dropped.join(stays, "__id", "left_semi").unionByName(dropped.where("__id is null")).distinct(), "repeated"
+        dropped.join(stays, own, "left_semi").unionByName(dropped.where(F.col(own).isNull())).distinct(), "repeated"
     )
-    gone = materialize(dropped.join(both, "__id", "left_anti").where("__id is not null").distinct(), "dropped")
+    gone = materialize(dropped.join(both, own, "left_anti").where(F.col(own).isNotNull()).distinct(), "dropped")
     if both.isEmpty():
-        return docs.join(gone, same, "left_anti")
-    unsure = docs.join(both, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
-    sure = docs.join(gone.unionByName(both), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_anti")
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
+    unsure = docs.join(both, same, "left_semi")
+    sure = docs.join(gone.unionByName(both), same, "left_anti")
     return sure.unionByName(_pick(unsure, verdicts))
 
 
 def _pick(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Of rows that share an id, the kept texts, one row each; null ids stay only where no other id has the text."""
-    keyed = docs.withColumn("__sha", F.sha2(normalized(), 256)).dropDuplicates(["doc_id", "__sha"])
-    kept = verdicts.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha2"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__sha2"))
-    return keyed.join(kept, same, "left_semi").drop("__sha")
+    mark, own, theirs = fresh(docs, "sha"), fresh(docs, "id"), fresh(docs, "kept_sha")
+    keyed = docs.withColumn(mark, F.sha2(normalized(), 256)).dropDuplicates(["doc_id", mark])
+    kept = verdicts.where("kept").select(F.col("doc_id").alias(own), F.col("text_sha256").alias(theirs))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.col(mark) == F.col(theirs))
+    return keyed.join(kept, same, "left_semi").drop(mark)
 
 
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import discard, documents, map_batches, materialize
+from ._common import discard, documents, fresh, map_batches, materialize
 from .graph import components
 
 #: Sets up to this size are kept whole in the first table, so that they can enumerate subsets.
@@ -402,8 +402,9 @@ def link(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extende
 def keep_first(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, extended: float = 1.25) -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay, and so do null ids."""
     found = link(docs, words, num, den, extended)
-    gone = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias("__id")).distinct(), "dropped")
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__id"), "left_anti")
+    own = fresh(docs, "id")
+    gone = materialize(found.where("component_id < doc_id").select(F.col("doc_id").alias(own)).distinct(), "dropped")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

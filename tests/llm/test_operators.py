@@ -66,7 +66,7 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def clashing(docs):
     """Columns that operators use inside, already there."""
-    return docs.withColumns({c: F.lit(1) for c in ("kept", "score", "spans", "node", "digest", "word", "block", "lang_pred", "found", "ids")})
+    return docs.withColumns({c: F.lit(1) for c in ("kept", "score", "spans", "id", "__id", "ID_", "sha", "row", "node", "digest", "word", "block", "lang_pred", "found", "ids")})
 
 
 def empty(spark):
@@ -140,17 +140,28 @@ def test_exact_dedup_verifies_chunks_when_hashes_collide(docs):
     check_exact(exact_dedup.deduplicate(docs, lambda c: weak(c).cast("bigint")).collect(), corpus())
 
 
-def test_exact_dedup_cuts_where_content_says(spark):
-    text = " ".join("".join(random.Random(i).choices("abcde", k=6)) for i in range(3000))
-    df = spark.createDataFrame([(text,), ("new start " + text,)], "text string")
-    a, b = [r[0] for r in df.select(exact_dedup.chunks(F.col("text"))).collect()]
-    assert "".join(a) == text and len(set(a) & set(b)) > 0.8 * len(a)
-    assert max(map(len, a)) <= exact_dedup.MOST_CHUNK + 1
+@pytest.mark.parametrize("alphabet", ["abcde", "абвгдежзиклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "".join(map(chr, range(0x4E00, 0x9FA0))), "".join(map(chr, range(0xAC00, 0xD7A0)))])
+def test_exact_dedup_cuts_where_content_says(spark, alphabet):
+    blank = "" if alphabet[0] == "\u4e00" else " "
+    text = blank.join("".join(random.Random(i).choices(alphabet, k=6)) for i in range(6000))
+    rows = [(text,), (alphabet[1:7] + blank + text,), (text[:9000] + alphabet[2:9] + text[9000:],)]
+    a, *others = [r[0] for r in spark.createDataFrame(rows, "text string").select(exact_dedup.chunks(F.col("text"))).collect()]
+    assert "".join(a) == text and all(len(set(a) & set(b)) > 0.8 * len(a) for b in others)
+    assert max(map(len, a)) <= exact_dedup.MOST_CHUNK
 
 
-def test_keep_first_filters_rows(docs, spark):
+def test_exact_dedup_of_many_equal_rows(spark):
+    """One row is repeated more often than all others together."""
+    rows = [(7, "same row", "en", "s", 1)] * 3000 + [(i, f"text {i % 50}", "en", "s", 1) for i in range(500)]
+    check_exact(exact_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
+
+
+def test_keep_first_filters_rows(docs, clashing, spark):
     kept = exact_dedup.keep_first(docs)
     assert kept.columns == docs.columns
+    for keep in (exact_dedup.keep_first, jaccard_join.keep_first):
+        other = keep(clashing)
+        assert other.columns == clashing.columns and other.count() == keep(docs).count()
     want = {re.sub(r"[\x20\x09-\x0D]+", " ", r[1] or "") for r in corpus()}
     got = [re.sub(r"[\x20\x09-\x0D]+", " ", r["text"] or "") for r in kept.collect()]
     assert len(got) == len(want) and set(got) == want
@@ -627,6 +638,24 @@ def test_scanner_equals_the_expressions():
     for _ in range(4000):
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
         assert [x for x in scanner.spans(text) if x[2] in ("assign", "access", "hex")] == brute_spans(text), text
+
+    added = {
+        "github": re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), "slack": re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"),
+        "stripe": re.compile("[rs]k_live_[A-Za-z0-9]{16,}"), "google": re.compile("AIza[A-Za-z0-9_-]{35,}"),
+        "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+        "private_key": re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), "bearer": re.compile("bearer\x20+[A-Za-z0-9._+/=-]{20,}", re.I | re.A),
+    }
+    assert [r.kind for r in secret_scan.RULES if not r.base] == list(added)
+    parts = ["ghp_", "gho_", "xoxb-", "sk_live_", "rk_live_", "AIza", "eyJ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "Bearer ", "bearer", "  ",
+             "a1B2c3D4", "Zz9Yy8Xx7Ww6Vv5Uu4", "eyJhbGciOiJI.", "eyJzdWIiOiIx.", "0123456789abcdef", "_", "-", ".", " ", "é", "=", "token=", "AKIA"]
+    seen = Counter()
+    for _ in range(6000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 16)))
+        order = list(added)
+        want = sorted((m.start(), order.index(k), m.end(), k) for k, r in added.items() for m in r.finditer(text))
+        assert [x for x in scanner.spans(text) if x[2] in added] == [(s, e, k) for s, _, e, k in want], text
+        seen.update(k for *_, k in want)
+    assert set(seen) == set(added), seen
     key = "ghp_" + "a1B2" * 10
     assert scanner.spans(f"é {key}") == [(2, 2 + len(key), "github")]
     assert (0, 31, "private_key") in scanner.spans("-----BEGIN RSA PRIVATE KEY-----")
