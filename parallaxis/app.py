@@ -32,7 +32,7 @@ def area_pairs(images: DataFrame, s: Settings, done: DataFrame | None = None) ->
     inside = scans.scan_area(scans.tiled(scans.normalized(images)), s.area_wkt, s.image_type)
     used = pairing.in_years(inside, s.year_group_left, s.year_group_right)
     pairs = pairing.area_pairs(
-        used, s.max_distance, s.max_angle_diff, s.time_filter, s.year_group_left or None, s.year_group_right or None
+        used, s.max_distance, s.max_angle_diff, s.time_filter, s.year_group_left or None, s.year_group_right or None, distinct=True
     )
     ordered = ordering.balanced_pairs(pairing.with_metadata(pairs), s.time_filter, s.pair_random_seed)
     rows = ordering.positions(ordered, "turn", "turn_key", name="index").select(
@@ -68,7 +68,7 @@ def dry_run(images: DataFrame, s: Settings, done: DataFrame | None = None) -> di
     """Counts of what an area run would do."""
     inside = scans.scan_area(scans.tiled(scans.normalized(images)), s.area_wkt, s.image_type)
     used = pairing.in_years(inside, s.year_group_left, s.year_group_right)
-    base = pairing.area_pairs(used, s.max_distance, s.max_angle_diff)
+    base = pairing.area_pairs(used, s.max_distance, s.max_angle_diff, distinct=True)
     passing = area_pairs(images, s)
     left = area_pairs(images, s, done)
     return {"images": used.count(), "pairs": base.count(), "passing": passing.count(), "pending": left.count()}

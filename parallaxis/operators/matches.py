@@ -2,31 +2,57 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.geo import circular_distance, circular_mean
 
 FENCE = 1.5
 
 
+#: Places behind the point at which two products count as equal.
+PRODUCT_PLACES = 12
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """left, right (pair_id, kp, vector) to (pair_id, left_kp, right_kp, score): each other's best by dot product.
 
-    A stand-in for a learned matcher, which can be given instead as any table of matches.
-    Inside a pair all keypoints meet; a pair has at most a few thousand of them.
+    A stand-in for a learned matcher, which can be given instead as any table of matches. A pair's
+    keypoints come together once and meet in one matrix product; a pair has at most a few thousand
+    of them. Of equally good keypoints the smallest wins.
     """
-    r = right.select("pair_id", F.col("kp").alias("right_kp"), F.col("vector").alias("other"))
-    l_ = left.select("pair_id", F.col("kp").alias("left_kp"), "vector")
-    product = F.aggregate(
-        F.zip_with("vector", "other", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x
-    )
-    met = l_.join(r, "pair_id").select("pair_id", "left_kp", "right_kp", product.alias("score"))
-    for_left = met.groupBy("pair_id", "left_kp").agg(F.max_by("right_kp", F.struct("score", -F.col("right_kp"))).alias("right_kp"), F.max("score").alias("score"))
-    for_right = met.groupBy("pair_id", "right_kp").agg(F.max_by("left_kp", F.struct("score", -F.col("left_kp"))).alias("left_kp"))
-    return for_left.join(for_right, ["pair_id", "left_kp", "right_kp"])
+
+    def sided(table: pa.Table, side: int) -> tuple[pa.ChunkedArray, np.ndarray]:
+        table = table.filter(pa.compute.equal(table["side"], side)).sort_by("kp").combine_chunks()
+        if not table.num_rows:
+            return table["kp"], np.zeros((0, 0))
+        vectors = table["vector"].combine_chunks()
+        return table["kp"], vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(table.num_rows, -1)
+
+    def run(table: pa.Table) -> pa.Table:
+        (left_kp, a), (right_kp, b) = sided(table, 0), sided(table, 1)
+        if not len(a) or not len(b):
+            return kind.empty_table()
+        product = np.round(a @ b.T, PRODUCT_PLACES)
+        to_right, to_left = product.argmax(axis=1), product.argmax(axis=0)
+        mine = np.flatnonzero(to_left[to_right] == np.arange(len(a)))
+        theirs = to_right[mine]
+        pairs = table["pair_id"].take(pa.array(np.zeros(len(mine), np.int64)))
+        columns = [pairs, left_kp.take(pa.array(mine)), right_kp.take(pa.array(theirs)), pa.array(product[mine, theirs])]
+        return pa.table(dict(zip(kind.names, columns, strict=True))).cast(kind)
+
+    keypoint = left.schema["kp"].dataType
+    schema = T.StructType([left.schema["pair_id"], *(T.StructField(f"{s}_kp", keypoint) for s in ("left", "right")), T.StructField("score", T.DoubleType())])
+    kind = to_arrow_schema(schema)
+    sides = [t.select("pair_id", F.lit(i).alias("side"), F.col("kp").cast(keypoint).alias("kp"), "vector") for i, t in enumerate((left, right))]
+    return sides[0].unionByName(sides[1]).groupBy("pair_id").applyInArrow(run, schema)
 
 
 def allowed(points: DataFrame, mask: DataFrame, width: int, height: int, x: str = "x", y: str = "y") -> DataFrame:
@@ -188,32 +214,47 @@ def score_yaws(matches: DataFrame, width: int, candidates: DataFrame) -> DataFra
     )
 
 
+def _yaw_scores(points: np.ndarray, yaws: np.ndarray, width: int) -> np.ndarray:
+    """score_yaws' score of each yaw for one pair's matches, rows (lx, ly, rx, ry)."""
+    lx, ly, rx, ry = points[:, :, None]
+    turned = np.mod(rx - np.rint(np.mod(yaws, 360) / 360.0 * width), width)
+    return np.hypot(lx - turned, ly - ry).mean(axis=0) / (1 + 0.3 * np.log1p(points.shape[1]))
+
+
 def search_yaw(matches: DataFrame, width: int, yaw_step: int = 10) -> DataFrame:
     """(pair_id, best_yaw, method): the vote refined within two steps; without a vote a coarse round, then a fine one.
 
-    The first of equally good candidates wins.
+    The first of equally good candidates wins. A pair's matches (as many as an image has keypoints
+    at most) come together once, and each pair is searched where they are.
     """
     fine = max(1, yaw_step // 4)
-    votes = yaw_votes(matches, width, yaw_step)
-    steps = list(range(-2 * yaw_step, 2 * yaw_step + 1, fine))
-
-    def around(rows: DataFrame) -> DataFrame:
-        choice = F.array(*(F.struct(F.pmod(F.col("centre") + d, F.lit(360)).alias("yaw"), F.lit(i).alias("o")) for i, d in enumerate(steps)))
-        return rows.select("pair_id", F.explode(choice).alias("c")).select("pair_id", "c.yaw", "c.o")
-
-    def best(scored: DataFrame) -> DataFrame:
-        return scored.groupBy("pair_id").agg(F.min_by(F.struct("yaw", "score"), F.struct("score", "o")).alias("b"))
-
-    voted = votes.where("yaw is not null").select("pair_id", F.rint("yaw").cast("int").alias("centre"))
-    refined = best(score_yaws(matches, width, around(voted))).select("pair_id", "b.yaw", F.lit("keypoint_one_shot_refine").alias("method"))
-    rest = votes.where("yaw is null").select("pair_id")
-    coarse_yaws = F.array(*(F.struct(F.lit(y).alias("yaw"), F.lit(i).alias("o")) for i, y in enumerate(range(0, 360, yaw_step))))
-    coarse = score_yaws(matches, width, rest.select("pair_id", F.explode(coarse_yaws).alias("c")).select("pair_id", "c.yaw", "c.o"))
-    centres = best(coarse).select("pair_id", F.col("b.yaw").alias("centre"))
-    # coarse ones come first, so that they win ties; a yaw scored twice scores the same
-    later = score_yaws(matches, width, around(centres)).withColumn("o", F.col("o") + 360)
-    searched = best(coarse.unionByName(later)).select("pair_id", "b.yaw", F.lit("coarse_fine_search").alias("method"))
-    return refined.unionByName(searched).select("pair_id", F.col("yaw").cast("int").alias("best_yaw"), "method")
+    steps, coarse = np.arange(-2 * yaw_step, 2 * yaw_step + 1, fine), np.arange(0, 360, yaw_step)
+    votes = yaw_votes(matches, width, yaw_step).select("pair_id", F.rint("yaw").cast("int").alias("centre"))
+    point = F.struct(*(F.col(c).cast("double").alias(c) for c in ("lx", "ly", "rx", "ry")))
+    gathered = matches.groupBy("pair_id").agg(F.collect_list(point).alias("points")).join(votes, "pair_id")
+
+    def best(points: np.ndarray, centre: int | None) -> int:
+        if centre is not None:
+            tried = (centre + steps) % 360
+        else:
+            first = coarse[_yaw_scores(points, coarse, width).argmin()]
+            tried = np.concatenate([coarse, (first + steps) % 360])
+        return int(tried[_yaw_scores(points, tried, width).argmin()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, lists, centres = batch.columns
+            flat = np.stack([c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()])
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            centres = centres.to_pylist()
+            found = [best(flat[:, i:j], c) for i, j, c in zip(edges[:-1], edges[1:], centres, strict=True)]
+            names = ["coarse_fine_search" if c is None else "keypoint_one_shot_refine" for c in centres]
+            yield pa.RecordBatch.from_arrays(
+                [pairs, pa.array(found, pa.int32()), pa.array(names, pa.string())], names=["pair_id", "best_yaw", "method"]
+            )
+
+    kind = T.StructType([matches.schema["pair_id"], T.StructField("best_yaw", T.IntegerType()), T.StructField("method", T.StringType())])
+    return gathered.mapInArrow(run, kind)
 
 
 def distortion_score(h: Sequence[Column], width: Column, height: Column, valid_fraction: Column) -> Column:
@@ -250,8 +291,3 @@ def weighted_horizon(lines: DataFrame) -> DataFrame:
     level = F.degrees(angle).between(-20, 20)
     weight = F.when(level, length)
     return lines.groupBy("image_id").agg(F.degrees(F.sum(F.when(level, angle * length)) / F.sum(weight)).alias("horizon_angle"))
-
-
-def caps(rows: DataFrame, group: str, order: Column, n: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn("__n", place).where(F.col("__n") <= n).drop("__n")

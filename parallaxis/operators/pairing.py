@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, timeparts
+from ..sources import scratch
 
 TIME_FILTERS = ("any", "year", "month", "season", "same-season", "time")
 
@@ -74,27 +75,49 @@ def year_groups_ok(
     return F.coalesce((a.isin(one) & b.isin(other)) | (a.isin(other) & b.isin(one)), F.lit(False))
 
 
-def nearby_pairs(images: DataFrame, most_m: float = 2.5, order: str = "id", extra: Column | None = None) -> DataFrame:
+#: Cells are at least so wide, in metres, whatever the distance.
+LEAST_CELL = 0.01
+
+
+def numbered(images: DataFrame, name: str) -> DataFrame:
+    """Images with a number each, written, so that every reader sees the same numbers."""
+    path = scratch.folder(images.sparkSession, "numbered")
+    rows = images.withColumn(name, F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    return images.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def nearby_pairs(
+    images: DataFrame, most_m: float = 2.5, order: str = "id", extra: Column | None = None, distinct: bool = False
+) -> DataFrame:
     """(l, r) structs of unordered pairs at most `most_m` metres apart on the plane; l comes first in `order`.
 
+    Every two rows make a pair, also where they share an order value or have none (nulls come
+    first): then rows are numbered first. `distinct` says that each row has an order value of its
+    own, which saves that. A distance of 0 pairs rows of the same place; a negative one, none.
+
     Images fall into square cells as wide as the distance. A cell meets itself and four of
     its neighbours, so each pair meets once, in an equi-join that Spark hashes, sorts or
     splits as it sees fit; the exact distance and all other conditions are its residual.
     """
-    cells = planar(images).withColumns({"cx": F.floor(F.col("x") / most_m), "cy": F.floor(F.col("y") / most_m)})
     row = F.struct(*images.columns)
-    home = cells.select(row.alias("l"), "x", "y", "cx", "cy")
+    if distinct:
+        cells, rank = planar(images), F.struct(F.col(order))
+    else:
+        cells, rank = planar(numbered(images, "__number")), F.struct(F.col(order), F.col("__number"))
+    width = max(most_m, LEAST_CELL)
+    cells = cells.withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
+    home = cells.select(row.alias("l"), rank.alias("before"), "x", "y", "cx", "cy")
     steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, -1), (1, 0), (1, 1), (0, 1))))
-    away = cells.select(row.alias("r"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(steps).alias("s"))
-    away = away.select("r", "x2", "y2", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"),
+    away = cells.select(row.alias("r"), rank.alias("after"), F.col("x").alias("x2"), F.col("y").alias("y2"), "cx", "cy", F.explode(steps).alias("s"))
+    away = away.select("r", "after", "x2", "y2", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"),
                        ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("same"))
-    before, after = F.col(f"l.{order}"), F.col(f"r.{order}")
+    turn = F.col("before") > F.col("after")
     dx, dy = F.col("x2") - F.col("x"), F.col("y2") - F.col("y")
     met = home.join(away, ["cx", "cy"]).where(
-        (~F.col("same") | (before < after)) & (F.sqrt(dx * dx + dy * dy) <= most_m)
+        (~F.col("same") | (F.col("before") < F.col("after"))) & (F.sqrt(dx * dx + dy * dy) <= most_m)
     )
     # a neighbouring cell's pair comes either way round
-    turn = before > after
     pairs = met.select(F.when(turn, F.col("r")).otherwise(F.col("l")).alias("l"), F.when(turn, F.col("l")).otherwise(F.col("r")).alias("r"))
     return pairs if extra is None else pairs.where(extra)
 
@@ -107,12 +130,13 @@ def area_pairs(
     year_group_left: Sequence[int] | None = None,
     year_group_right: Sequence[int] | None = None,
     order: str = "id",
+    distinct: bool = False,
 ) -> DataFrame:
-    """Pairs under all predicates: cheap ones in order, the sun's position last."""
+    """Pairs under all predicates: cheap ones in order, the sun's position last. See nearby_pairs."""
     conditions = (
         angle_ok(most_angle) & year_groups_ok(year_group_left, year_group_right) & time_ok(time_filters)
     )
-    return nearby_pairs(images, most_m, order, conditions)
+    return nearby_pairs(images, most_m, order, conditions, distinct)
 
 
 def with_metadata(pairs: DataFrame) -> DataFrame:

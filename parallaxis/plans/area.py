@@ -112,21 +112,14 @@ def tile_list(spark, sf):
     return scans.tiles(spark, AREA)
 
 
-def _dedup(one):
+def dedup_images(spark, sf):
+    """Each image comes twice, the copy further east; the first in tile order stays."""
+    one = _images(spark, sf)
     two = one.withColumn("lon", F.col("lon") + 0.05)
     blank = one.limit(0).unionByName(one.withColumn("id", F.lit("")))
     return scans.first_by_id(scans.tiled(one.unionByName(two).unionByName(blank)), "lat", "lon").select("id", "lon", "tile_x")
 
 
-def dedup_images(spark, sf):
-    """Each image comes twice, the copy further east; the first in tile order stays."""
-    return _dedup(_images(spark, sf).where("k % 2 = 0"))
-
-
-def dedup_images_all(spark, sf):
-    return _dedup(_images(spark, sf))
-
-
 def image_types(spark, sf):
     rows = _images(spark, sf).withColumn("is_pano", F.expr("case when k % 7 = 0 then null else is_pano end"))
     parts = [scans.of_type(rows, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("type"), "n") for t in ("all", "panorama", "flat")]
@@ -134,15 +127,27 @@ def image_types(spark, sf):
 
 
 def pair_proximity(spark, sf):
-    return _ids(pairing.area_pairs(_images(spark, sf), order="k"))
+    return _ids(pairing.area_pairs(_images(spark, sf), order="k", distinct=True))
+
+
+def pair_duplicates(spark, sf):
+    """Ids come twice or not at all: rows are paired by place in the table, not by id."""
+    rows = _images(spark, sf).withColumn("id", F.expr("case when k % 5 > 0 then cast(k div 2 as string) end"))
+    return _ids(pairing.area_pairs(rows))
+
+
+def pair_same_place(spark, sf):
+    """Each image comes twice, and only pairs of the same place count."""
+    rows = _images(spark, sf)
+    return _ids(pairing.area_pairs(rows.unionByName(rows.withColumn("id", F.concat("id", F.lit("b")))), 0.0))
 
 
 def pair_angle(spark, sf):
-    return _ids(pairing.area_pairs(_images(spark, sf), most_angle=30, order="k"))
+    return _ids(pairing.area_pairs(_images(spark, sf), most_angle=30, order="k", distinct=True))
 
 
 def pair_metadata(spark, sf):
-    pairs = pairing.with_metadata(pairing.area_pairs(_images(spark, sf), order="k"))
+    pairs = pairing.with_metadata(pairing.area_pairs(_images(spark, sf), order="k", distinct=True))
     return pairs.select(
         F.col("l.id").alias("id_left"), F.col("r.id").alias("id_right"), "dist_m", "angle_diff_deg",
         F.col("l.is_pano").alias("is_pano_left"), F.col("r.is_pano").alias("is_pano_right"),
@@ -152,7 +157,7 @@ def pair_metadata(spark, sf):
 
 def pair_flagship(spark, sf):
     rows = pairing.in_years(_images(spark, sf), OLD, NEW)
-    pairs = pairing.area_pairs(rows, most_angle=30, year_group_left=OLD, year_group_right=NEW, order="k")
+    pairs = pairing.area_pairs(rows, most_angle=30, year_group_left=OLD, year_group_right=NEW, order="k", distinct=True)
     return pairing.with_metadata(pairs).select(
         F.col("l.id").alias("id_left"), F.col("r.id").alias("id_right"), "dist_m", "angle_diff_deg"
     )
@@ -160,7 +165,7 @@ def pair_flagship(spark, sf):
 
 def _time(*rules):
     def query(spark, sf):
-        return _ids(pairing.area_pairs(_images(spark, sf), time_filters=rules, order="k"))
+        return _ids(pairing.area_pairs(_images(spark, sf), time_filters=rules, order="k", distinct=True))
 
     return query
 
@@ -171,11 +176,7 @@ def _time_sql(*conditions: str) -> str:
 
 
 def time_daynight(spark, sf):
-    return _ids(pairing.area_pairs(fx.events(spark, sf).where("k % 10 = 0"), 5.0, time_filters=["time"], order="k"))
-
-
-def time_daynight_all(spark, sf):
-    return _ids(pairing.area_pairs(fx.events(spark, sf), 5.0, time_filters=["time"], order="k"))
+    return _ids(pairing.area_pairs(fx.events(spark, sf), 5.0, time_filters=["time"], order="k", distinct=True))
 
 
 def daytime_rows(spark, sf):
@@ -192,7 +193,7 @@ def capture_parts(spark, sf):
 
 
 def year_groups(spark, sf):
-    return _ids(pairing.area_pairs(_images(spark, sf), year_group_left=OLD, year_group_right=NEW, order="k"))
+    return _ids(pairing.area_pairs(_images(spark, sf), year_group_left=OLD, year_group_right=NEW, order="k", distinct=True))
 
 
 def year_prefilter_counts(spark, sf):
@@ -209,7 +210,7 @@ def capture_range(spark, sf):
 
 def resume_anti_join(spark, sf):
     """Every third pair is done, half of those the other way round."""
-    pairs = _ids(pairing.area_pairs(_images(spark, sf), order="k"))
+    pairs = _ids(pairing.area_pairs(_images(spark, sf), order="k", distinct=True))
     left = F.col("id_left").cast("long")
     done = pairs.where(left % 3 == 0).select(
         F.when(left % 2 == 0, F.col("id_left")).otherwise(F.col("id_right")).alias("id_left"),
@@ -220,7 +221,7 @@ def resume_anti_join(spark, sf):
 
 def manifest_anti_join(spark, sf):
     """Done pairs count one way round only."""
-    pairs = _ids(pairing.area_pairs(_images(spark, sf), order="k"))
+    pairs = _ids(pairing.area_pairs(_images(spark, sf), order="k", distinct=True))
     left = F.col("id_left").cast("long")
     done = pairs.where(left % 3 == 0).select(
         F.when(left % 2 == 0, F.col("id_left")).otherwise(F.col("id_right")).alias("id_left"),
@@ -237,14 +238,14 @@ def round_robin_order(spark, sf):
 
 def balanced_pairs(spark, sf):
     rows = scans.tiled(_images(spark, sf), 18)
-    pairs = pairing.area_pairs(rows, time_filters=["year"], order="k").where("l.captured_at is not null and r.captured_at is not null")
+    pairs = pairing.area_pairs(rows, time_filters=["year"], order="k", distinct=True).where("l.captured_at is not null and r.captured_at is not null")
     return ordering.balanced_pairs(pairs, ["year"]).groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
 
 
 def dry_run_counts(spark, sf):
     """Images, pairs, pairs that pass, done and pending, in one row."""
     rows = _images(spark, sf)
-    base = pairing.area_pairs(rows, order="k")
+    base = pairing.area_pairs(rows, order="k", distinct=True)
     passing = base.select("l", "r", (pairing.angle_ok(30) & pairing.time_ok(["year"])).alias("ok"))
     counts = passing.agg(
         F.count(F.lit(1)).alias("pairs"),
@@ -335,8 +336,7 @@ QUERIES = {
         SELECT 14 AS tile_z, CAST(x AS INTEGER) AS tile_x, CAST(y AS INTEGER) AS tile_y
         FROM ends, range(x0, x1 + 1) AS a(x), range(y0, y1 + 1) AS b(y)""",
     ),
-    "dedup_images": (dedup_images, f"WITH {fx.IMAGES} SELECT id, lon, {_TILE_X} AS tile_x FROM images WHERE k % 2 = 0"),
-    "dedup_images_all": (dedup_images_all, f"WITH {fx.IMAGES} SELECT id, lon, {_TILE_X} AS tile_x FROM images"),
+    "dedup_images": (dedup_images, f"WITH {fx.IMAGES} SELECT id, lon, {_TILE_X} AS tile_x FROM images"),
     "image_types": (
         image_types,
         f"""WITH {fx.IMAGES} SELECT 'all' AS type, count(*) AS n FROM images
@@ -344,6 +344,18 @@ QUERIES = {
         UNION ALL SELECT 'flat', count(*) FROM images WHERE NOT is_pano OR k % 7 = 0""",
     ),
     "pair_proximity": (pair_proximity, f"WITH {_pairs(fx.IMAGES)} {_IDS}"),
+    "pair_duplicates": (
+        pair_duplicates,
+        f"""WITH {_pairs(fx.IMAGES)}, named AS (
+          SELECT CASE WHEN l.k % 5 > 0 THEN CAST(l.k // 2 AS VARCHAR) END AS a, CASE WHEN r.k % 5 > 0 THEN CAST(r.k // 2 AS VARCHAR) END AS b FROM pairs)
+        SELECT CASE WHEN b IS NULL OR b < a THEN b ELSE a END AS id_left, CASE WHEN b IS NULL OR b < a THEN a ELSE b END AS id_right FROM named""",
+    ),
+    "pair_same_place": (
+        pair_same_place,
+        f"""WITH {fx.IMAGES}, both_ AS (SELECT id, lon, lat FROM images UNION ALL SELECT id || 'b', lon, lat FROM images)
+        SELECT least(l.id, r.id) AS id_left, greatest(l.id, r.id) AS id_right FROM both_ AS l JOIN both_ AS r
+        ON l.lon = r.lon AND l.lat = r.lat AND l.id < r.id""",
+    ),
     "pair_angle": (pair_angle, f"WITH {_pairs(fx.IMAGES)} {_IDS} WHERE {_ANGLE_OK}"),
     "pair_metadata": (
         pair_metadata,
@@ -361,10 +373,6 @@ QUERIES = {
     "time_year_and_season": (_time("any", "year", "season"), _time_sql(f"{_YL} <> {_YR}", f"{_SL} <> {_SR}")),
     "time_daynight": (
         time_daynight,
-        f"WITH {_pairs(fx.EVENTS, 'WHERE k % 10 = 0', 5.0)} {_IDS} WHERE {_MID_DAY} <> {_MID_DAY2}",
-    ),
-    "time_daynight_all": (
-        time_daynight_all,
         f"WITH {_pairs(fx.EVENTS, '', 5.0)} {_IDS} WHERE {_MID_DAY} <> {_MID_DAY2}",
     ),
     "daytime_rows": (daytime_rows, f"WITH {fx.EVENTS} SELECT id, {_daytime('captured_at', 'lat', 'lon')} AS daytime FROM images"),

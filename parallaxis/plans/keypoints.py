@@ -29,7 +29,9 @@ def match_metrics(spark, sf):
     return _rounded(m.metrics(rows, counts, W, H), 8, "match_ratio", "avg_distance")
 
 
-def _mask_join(rows):
+def keypoint_mask_join(spark, sf):
+    """Keypoints on a mask that blocks every seventh column and lacks some rows."""
+    rows = fx.matches(spark, sf)
     mask = rows.select("pair_id", F.rint("ly").cast("int").alias("y"), F.rint("lx").cast("int").alias("x")).distinct()
     mask = mask.where("y % 3 <> 0").withColumn("ok", F.col("x") % 7 != 0)
     return m.allowed(rows.select("pair_id", "kp", "lx", "ly"), mask, W, H, "lx", "ly").groupBy("pair_id").agg(
@@ -37,15 +39,6 @@ def _mask_join(rows):
     )
 
 
-def keypoint_mask_join(spark, sf):
-    """Keypoints on a mask that blocks every seventh column and lacks some rows."""
-    return _mask_join(fx.matches(spark, sf).where("pair_id <= 50"))
-
-
-def keypoint_mask_join_all(spark, sf):
-    return _mask_join(fx.matches(spark, sf))
-
-
 def robust_fence(spark, sf):
     """Left points inside their fences, one far point added to each pair."""
     rows = fx.matches(spark, sf).select("pair_id", "lx", "ly")
@@ -86,34 +79,23 @@ def yaw_one_shot(spark, sf):
 
 
 def yaw_search(spark, sf):
-    return m.search_yaw(fx.matches(spark, sf).where("l_linenumber = 1"), W, 10)
-
-
-def yaw_refine(spark, sf):
-    return m.search_yaw(fx.matches(spark, sf).where("pair_id <= 100"), W, 10)
+    return m.search_yaw(fx.matches(spark, sf), W, 10)
 
 
-def yaw_search_all(spark, sf):
-    return m.search_yaw(fx.matches(spark, sf), W, 10)
+def yaw_search_weak(spark, sf):
+    """One match of each order: most pairs have no vote and take the coarse round."""
+    return m.search_yaw(fx.matches(spark, sf).where("l_linenumber = 1"), W, 10)
 
 
-def _distortion(rows):
-    k = F.col("l_orderkey")
+def homography_distortion(spark, sf):
+    """Homographies near the identity, from lineitem's numbers."""
+    rows, k = fx.table(spark, sf, "lineitem"), F.col("l_orderkey")
     h = [1 + (k % 5) * 0.01, (k % 3) * 0.02, k % 7, (k % 2) * 0.01, 1 - (k % 4) * 0.02, k % 11, (k % 3) * 1e-5, (k % 5) * 1e-5, F.lit(1.0)]
     h = [x.cast("double") for x in h]
     score = m.distortion_score(h, F.lit(float(W)), F.lit(float(H)), F.col("l_discount"))
     return rows.select(k.alias("id"), F.round(score, 8).alias("score"))
 
 
-def homography_distortion(spark, sf):
-    """Homographies near the identity, from lineitem's numbers."""
-    return _distortion(fx.table(spark, sf, "lineitem").where("l_linenumber = 1"))
-
-
-def homography_distortion_all(spark, sf):
-    return _distortion(fx.table(spark, sf, "lineitem"))
-
-
 def warp_choice(spark, sf):
     """Of both directions, the lower score; the first if equal."""
     rows = fx.table(spark, sf, "lineitem").select("l_partkey", F.col("l_linenumber").alias("o"), F.round("l_tax", 2).alias("score"))
@@ -143,7 +125,9 @@ def hull_coverage(spark, sf):
     return raster.hulls_by_pair(fx.matches(spark, sf), H, W)
 
 
-def _result_rows(spark, sf, found):
+def result_table(spark, sf):
+    """All blocks of a result row, for all pairs; those without masks have no class overlap."""
+    found = fx.matches(spark, sf)
     counts = found.groupBy("pair_id").agg(F.count(F.lit(1)).alias("left_allowed"), (F.count(F.lit(1)) + 3).alias("right_allowed"))
     name = lambda c: F.concat(F.lit(c), F.col("pair_id").cast("string"))
     pairs = counts.select("pair_id", name("l").alias("id_left"), F.lit("N/A").alias("date_left"), name("r").alias("id_right"),
@@ -157,16 +141,6 @@ def _result_rows(spark, sf, found):
     )
 
 
-def result_table(spark, sf):
-    """All blocks of a result row, for pairs that have matches and masks."""
-    return _result_rows(spark, sf, fx.matches(spark, sf).where("pair_id <= 40"))
-
-
-def result_table_all(spark, sf):
-    """The same for all pairs; those without masks have no class overlap."""
-    return _result_rows(spark, sf, fx.matches(spark, sf))
-
-
 def homography_ransac(spark, sf):
     return raster.homographies_by_pair(fx.matches(spark, sf))
 
@@ -281,11 +255,6 @@ QUERIES = {
     "keypoint_mask_join": (
         keypoint_mask_join,
         f"""WITH {fx.MATCHES} SELECT pair_id, count(*) FILTER (CAST(ly AS INTEGER) % 3 = 0 OR CAST(lx AS INTEGER) % 7 <> 0) AS allowed, count(*) AS n
-        FROM matches WHERE pair_id <= 50 GROUP BY 1""",
-    ),
-    "keypoint_mask_join_all": (
-        keypoint_mask_join_all,
-        f"""WITH {fx.MATCHES} SELECT pair_id, count(*) FILTER (CAST(ly AS INTEGER) % 3 = 0 OR CAST(lx AS INTEGER) % 7 <> 0) AS allowed, count(*) AS n
         FROM matches GROUP BY 1""",
     ),
     "robust_fence": (
@@ -322,23 +291,10 @@ QUERIES = {
         yaw_one_shot,
         f"""WITH {_votes('l_linenumber <= 2')} SELECT CASE WHEN yaw IS NULL THEN 'keypoint_one_shot_failed_yaw0' ELSE 'keypoint_one_shot' END AS method, count(*) AS n FROM votes GROUP BY 1""",
     ),
-    "yaw_search": (yaw_search, _search("l_linenumber = 1")),
-    "yaw_refine": (yaw_refine, _search("pair_id <= 100")),
-    "yaw_search_all": (yaw_search_all, _search("true")),
+    "yaw_search": (yaw_search, _search("true")),
+    "yaw_search_weak": (yaw_search_weak, _search("l_linenumber = 1")),
     "homography_distortion": (
         homography_distortion,
-        """WITH h AS (
-          SELECT row_number() OVER () AS rid, l_orderkey AS id, l_discount AS v, 1 + (l_orderkey % 5) * 0.01::DOUBLE AS a, (l_orderkey % 3) * 0.02::DOUBLE AS b, (l_orderkey % 7)::DOUBLE AS c,
-            (l_orderkey % 2) * 0.01::DOUBLE AS d, 1 - (l_orderkey % 4) * 0.02::DOUBLE AS e, (l_orderkey % 11)::DOUBLE AS f, (l_orderkey % 3) * 1e-5::DOUBLE AS g, (l_orderkey % 5) * 1e-5::DOUBLE AS i
-          FROM lineitem WHERE l_linenumber = 1
-        ), p AS (SELECT rid, id, v, n, (a * x + b * y + c) / (g * x + i * y + 1) AS u, (d * x + e * y + f) / (g * x + i * y + 1) AS w
-          FROM h, (VALUES (0, 0, 0), (1, 1024, 0), (2, 1024, 512), (3, 0, 512)) AS t(n, x, y)
-        ), q AS (SELECT l.rid, l.id, l.v, l.u * r.w - r.u * l.w AS z, ln(sqrt(pow(r.u - l.u, 2) + pow(r.w - l.w, 2)) / CASE WHEN l.n % 2 = 0 THEN 1024 ELSE 512 END) AS g
-          FROM p AS l JOIN p AS r ON l.rid = r.rid AND r.n = (l.n + 1) % 4)
-        SELECT any_value(id) AS id, round(abs(ln(abs(sum(z)) / 2 / (1024 * 512))) + avg(abs(g)) + stddev_pop(g) + 0.25 * (1 - any_value(v)), 8) AS score FROM q GROUP BY rid""",
-    ),
-    "homography_distortion_all": (
-        homography_distortion_all,
         """WITH h AS (
           SELECT row_number() OVER () AS rid, l_orderkey AS id, l_discount AS v, 1 + (l_orderkey % 5) * 0.01::DOUBLE AS a, (l_orderkey % 3) * 0.02::DOUBLE AS b, (l_orderkey % 7)::DOUBLE AS c,
             (l_orderkey % 2) * 0.01::DOUBLE AS d, 1 - (l_orderkey % 4) * 0.02::DOUBLE AS e, (l_orderkey % 11)::DOUBLE AS f, (l_orderkey % 3) * 1e-5::DOUBLE AS g, (l_orderkey % 5) * 1e-5::DOUBLE AS i
@@ -366,15 +322,6 @@ QUERIES = {
     ),
     "result_table": (
         result_table,
-        f"""WITH {fx.MATCHES}, {_pixel_iou}, p AS (SELECT pair_id, avg(sqrt(pow(lx - rx, 2) + pow(ly - ry, 2))) AS d FROM matches WHERE pair_id <= 40 GROUP BY 1),
-        i AS (SELECT pair_id, round(avg(iou), 8) AS a, round(avg(iou) FILTER (class = 0), 8) AS b FROM iou GROUP BY 1),
-        t AS (SELECT pair_id, round(avg(CAST(left_label BETWEEN 11 AND 18 OR right_label BETWEEN 11 AND 18 AS DOUBLE)), 6) AS u FROM pixels GROUP BY 1)
-        SELECT 'l' || pair_id AS id_left, 'r' || pair_id AS id_right, CAST(pair_id AS VARCHAR) AS index, 1::DOUBLE AS lightglue_match_ratio,
-               round(d / sqrt(1024 * 1024 + 512 * 512), 8) AS lightglue_avg_distance, a AS seg_overlap_mean_iou, b AS seg_overlap_road_iou, u AS seg_temp_union_fraction
-        FROM p LEFT JOIN i USING (pair_id) LEFT JOIN t USING (pair_id)""",
-    ),
-    "result_table_all": (
-        result_table_all,
         f"""WITH {fx.MATCHES}, {_pixel_iou}, p AS (SELECT pair_id, avg(sqrt(pow(lx - rx, 2) + pow(ly - ry, 2))) AS d FROM matches GROUP BY 1),
         i AS (SELECT pair_id, round(avg(iou), 8) AS a, round(avg(iou) FILTER (class = 0), 8) AS b FROM iou GROUP BY 1),
         t AS (SELECT pair_id, round(avg(CAST(left_label BETWEEN 11 AND 18 OR right_label BETWEEN 11 AND 18 AS DOUBLE)), 6) AS u FROM pixels GROUP BY 1)

@@ -53,19 +53,10 @@ def seg_crop(spark, sf):
     return _rounded(masks.iou_summary(rows, fx.ROAD).drop("per_class_json"), "mean_iou", "road_iou")
 
 
-def _resized(pixels):
-    mask = pixels.groupBy("pair_id", "y", "x").agg(F.min("left_label").alias("label"))
-    return masks.resized(mask, 5, 100, 8, 64).groupBy("pair_id", "y", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("xs"))
-
-
 def seg_resize(spark, sf):
-    """Nearest neighbour from 8 x 64 to 5 x 100."""
-    return _resized(fx.pixels(spark, sf).where("x < 64"))
-
-
-def seg_resize_all(spark, sf):
-    """All pixels, folded into 64 columns."""
-    return _resized(fx.pixels(spark, sf).withColumn("x", F.col("x") % 64))
+    """Nearest neighbour from 8 x 64 to 5 x 100; all pixels, folded into 64 columns."""
+    mask = fx.pixels(spark, sf).groupBy("pair_id", "y", (F.col("x") % 64).alias("x")).agg(F.min("left_label").alias("label"))
+    return masks.resized(mask, 5, 100, 8, 64).groupBy("pair_id", "y", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("xs"))
 
 
 def class_sets(spark, sf):
@@ -159,12 +150,6 @@ QUERIES = {
     "seg_crop": (seg_crop, _summary("SELECT * FROM pixels WHERE y >= 2 AND y < 7")),
     "seg_resize": (
         seg_resize,
-        f"""WITH {fx.PIXELS}, mask AS (SELECT pair_id, y, x, min(left_label) AS label FROM pixels WHERE x < 64 GROUP BY ALL)
-        SELECT pair_id, CAST(ty AS INTEGER) AS y, label, count(*) AS n, CAST(sum(tx) AS BIGINT) AS xs FROM mask, range(5) AS a(ty), range(100) AS b(tx)
-        WHERE y = floor(ty * 8 / 5) AND x = floor(tx * 64 / 100) GROUP BY ALL""",
-    ),
-    "seg_resize_all": (
-        seg_resize_all,
         f"""WITH {fx.PIXELS}, mask AS (SELECT pair_id, y, x % 64 AS x, min(left_label) AS label FROM pixels GROUP BY ALL)
         SELECT pair_id, CAST(ty AS INTEGER) AS y, label, count(*) AS n, CAST(sum(tx) AS BIGINT) AS xs FROM mask, range(5) AS a(ty), range(100) AS b(tx)
         WHERE y = floor(ty * 8 / 5) AND x = floor(tx * 64 / 100) GROUP BY ALL""",

@@ -13,7 +13,7 @@ from .area import _DONE, _IDS, _ids, _pairs
 
 def stream_resume(spark, sf):
     """Pairs arrive as files, some were done before; a sink appends each of the others once."""
-    pairs = _ids(pairing.area_pairs(fx.images(spark, sf), order="k"))
+    pairs = _ids(pairing.area_pairs(fx.images(spark, sf), order="k", distinct=True))
     source, sink, checkpoint = (scratch.folder(spark, n) for n in ("pairs", "appended", "checkpoint"))
     pairs.repartition(3).write.parquet(source)
     # the second delivery repeats the first one

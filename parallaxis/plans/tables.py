@@ -35,22 +35,14 @@ def csv_indices(spark, sf):
     return pair_tables.load(_turns(spark, sf), "k", indices=[1, "2", 7]).groupBy("index").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _neighbours(orders):
-    points = orders.groupBy("o_custkey").agg(
+def adjacency_explode(spark, sf):
+    """Customers with their orders as neighbours."""
+    points = fx.table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.collect_list(F.struct(F.col("o_orderkey").alias("id"))).alias("conflicting_neighbors")
     ).select(F.struct(F.col("o_custkey").alias("id_left")).alias("point_info"), "conflicting_neighbors")
     return pair_tables.neighbour_pairs(points).select("id_left", "id_right")
 
 
-def adjacency_explode(spark, sf):
-    """Customers with their orders as neighbours."""
-    return _neighbours(fx.table(spark, sf, "orders").where("o_orderkey % 3 = 0"))
-
-
-def adjacency_explode_all(spark, sf):
-    return _neighbours(fx.table(spark, sf, "orders"))
-
-
 def resolve_files(spark, sf):
     """Names from customers against a listing with other cases and endings."""
     c = fx.table(spark, sf, "customer")
@@ -152,10 +144,6 @@ QUERIES = {
     "csv_indices": (csv_indices, f"WITH {_GROUPED} SELECT index, count(*) AS n FROM pairs WHERE index IN ('1', '2', '7') GROUP BY index"),
     "adjacency_explode": (
         adjacency_explode,
-        "SELECT CAST(o_custkey AS VARCHAR) AS id_left, CAST(o_orderkey AS VARCHAR) AS id_right FROM orders WHERE o_orderkey % 3 = 0",
-    ),
-    "adjacency_explode_all": (
-        adjacency_explode_all,
         "SELECT CAST(o_custkey AS VARCHAR) AS id_left, CAST(o_orderkey AS VARCHAR) AS id_right FROM orders",
     ),
     "resolve_files": (

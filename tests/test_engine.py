@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -103,6 +104,22 @@ def test_grid_pairs_equal_all_pairs(spark):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_pairs_of_equal_and_missing_ids(spark):
+    """Rows are paired by place, whatever their ids; identical rows as well."""
+    rows = [("a", 60.0, 24.0), ("a", 60.0, 24.0), (None, 60.0, 24.0), ("b", 60.0, 24.0), (None, 60.0, 24.0), ("c", 61.0, 24.0)]
+    df = spark.createDataFrame(rows, "id string, lat double, lon double").withColumns(
+        {"captured_at": F.lit(None).cast("long"), "compass_angle": F.lit(None).cast("double"), "is_pano": F.lit(False)}
+    )
+    got = Counter((r[0], r[1]) for r in pairing.area_pairs(df, 2.0).select("l.id", "r.id").collect())
+    assert got == {(None, "a"): 4, (None, "b"): 2, ("a", "a"): 1, (None, None): 1, ("a", "b"): 2}
+    assert pairing.area_pairs(df, 0.0).count() == 10 and pairing.area_pairs(df, -1.0).count() == 0
+    line = [("x", 60.0 + i * 1.8e-5, 24.0) for i in range(6)]
+    df = spark.createDataFrame(line, "id string, lat double, lon double").withColumns(
+        {"captured_at": F.lit(None).cast("long"), "compass_angle": F.lit(None).cast("double"), "is_pano": F.lit(False)}
+    )
+    assert pairing.area_pairs(df, 2.1).count() == 5
+
+
 def test_done_pairs_count_either_way_round(spark):
     pairs = spark.createDataFrame([("1", "2"), ("3", "4"), ("5", "6")], "id_left string, id_right string")
     done = spark.createDataFrame([("2", "1"), ("3", "4")], "id_left string, id_right string")
