@@ -49,21 +49,21 @@ from ._common import discard, documents, map_batches, materialize
 
 FOLDS, HELD_OUT = 7, 2
 #: Words with a class of their own (short ones, so that the list is small), forms and frequencies of the other classes.
-TOP, TOP_BYTES, FORMS, BANDS = 254, 64, 64, 16
+TOP, TOP_BYTES, FORMS, BANDS = 254, 64, 32, 16
 UNKNOWN, END, AGAIN = 0, 1, 2
 OTHERS = 3 + TOP
 CLASSES = OTHERS + FORMS * BANDS
-#: Bits of the contexts of classes: none, last class, last two, last frequent word, last two; of bytes: position, last one to five.
+#: Bits of the contexts of classes: none, last class, last two, last frequent word, last two; of bytes: position, last two to five.
 CLASS_BITS, CLASS_GATES = (0, 18, 20, 18, 20), (2, 4)
-BYTE_BITS, BYTE_GATES = (11, 16, 18, 20, 20, 20), (3, 5)
+BYTE_BITS, BYTE_GATES = (11, 18, 20, 20, 20), (2, 4)
 #: Characters of text that one block of documents holds about.
-BLOCK_CHARS = 24_000_000
+BLOCK_CHARS = 16_000_000
 #: Distinct words that one shard learns spelling from about, and tokens of a segment; symbols of a step.
 SHARD_WORDS, SEGMENT_TOKENS, STEP = 150_000, 1_000_000, 1 << 15
 #: Entries of the cells that travel together.
 PIECE = 1 << 13
-#: Words of a block that one packed row holds at most.
-PACKED = 1 << 20
+#: Words of a block that one packed row holds at most; words of documents that are coded together, or of one.
+PACKED, LOT = 1 << 20, 1 << 17
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -120,12 +120,13 @@ class Spelling:
         self.word = np.repeat(np.arange(len(words)), lengths)
         place = np.arange(len(self.symbols)) - (np.cumsum(lengths) - lengths)[self.word]
         self.contexts, running = [mixing.hashed(np.minimum(place, 7))], np.zeros(len(place), np.uint32)
-        for k in range(1, len(BYTE_BITS)):
+        for k in range(1, len(BYTE_BITS) + 1):
             earlier = np.zeros(len(place), np.uint32)
             earlier[k:] = self.symbols[:-k] + 1
             earlier[place < k] = 0
             running = mixing.hashed(running, earlier)
-            self.contexts.append(running)
+            if k > 1:
+                self.contexts.append(running)
 
     def steps(self, counted: np.ndarray, learnt: np.ndarray) -> Iterator[tuple]:
         for at in range(0, len(self.symbols), STEP):
@@ -410,17 +411,42 @@ def _unpacked(n: int, data: bytes) -> list[np.ndarray]:
 _CODED = "doc_id long, held_out boolean, n_tokens long, n_bytes long, n_known long, base_score double, inside double, classes binary"
 
 
-def coded_words(ids: np.ndarray, training: bool, place: np.ndarray, count: np.ndarray, spelt: np.ndarray, masses: np.ndarray):
-    """Class of each word of a document, and the sum of what its words cost beyond their classes."""
-    unique, first, inverse, own = np.unique(ids, return_index=True, return_inverse=True, return_counts=True)
-    where, seen = place[unique], count[unique] - (own if training else 0)
+def coded_words(ids: np.ndarray, lengths: np.ndarray, training: np.ndarray, place: np.ndarray, count: np.ndarray, spelt: np.ndarray, masses: np.ndarray):
+    """Class of each word of some documents in line, and what each word costs beyond its class."""
+    starts = np.cumsum(lengths) - lengths
+    document = np.repeat(np.arange(len(lengths)), lengths)
+    key = (document << 32) | ids
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(ids), bool)
+    new[1:] = np.diff(key[order]) != 0
+    first = order[new]  # of each word of each document
+    own = np.diff(np.append(np.flatnonzero(new), len(ids)))
+    word = ids[first]
+    where, seen = place[word], count[word] - own * training[document[first]]
+    inverse = np.empty(len(ids), np.int64)
+    inverse[order] = np.cumsum(new) - 1
     classes = class_of(where, seen)[inverse]
-    inside = np.where(seen > 0, share_of(where, seen, masses), spelt[unique])[inverse]
-    other = (where >= 0)[inverse]
-    again = other & (first[inverse] != np.arange(len(ids)))
+    inside = np.where(seen > 0, share_of(where, seen, masses), spelt[word])[inverse]
+    other, again = (where >= 0)[inverse], np.ones(len(ids), bool)
+    again[first] = False
+    again &= other
+    had = np.concatenate([[0], np.cumsum(other & ~again)])
+    had = had[1:] - had[starts[document]]
     classes[again] = AGAIN
-    inside[again] = -np.log10(np.cumsum(other & ~again)[again])
-    return classes, float(inside.sum())
+    inside[again] = -np.log10(had[again])
+    return classes, inside
+
+
+def _runs(lengths: np.ndarray, most: int) -> Iterator[slice]:
+    """Slices of neighbours that are `most` long together, or one alone."""
+    low, held = 0, 0
+    for at, n in enumerate(lengths.tolist()):
+        if held + n > most and at > low:
+            yield slice(low, at)
+            low, held = at, 0
+        held += n
+    if low < len(lengths):
+        yield slice(low, len(lengths))
 
 
 def _coded(blocks: DataFrame, packed: DataFrame, masses: np.ndarray, ends: int, train_tokens: int, known_words: int) -> DataFrame:
@@ -437,14 +463,24 @@ def _coded(blocks: DataFrame, packed: DataFrame, masses: np.ndarray, ends: int,
                 whole[number] = value
         base, known = np.log10((count + 1) / total), count > 0
         sums: list[list] = [[], [], [], []]
-        for packed_, held_out in zip(docs["tokens"].to_pylist(), docs["held_out"].to_pylist(), strict=True):
-            planes = np.frombuffer(zlib.decompress(packed_), np.uint8).reshape(4, -1)
-            ids = np.ascontiguousarray(planes.T).view("<u4").ravel()
-            classes, inside = coded_words(ids, not held_out, place, count, spelt, masses)
-            sums[0].append(int(known[ids].sum()) + last[1])
-            sums[1].append(float(base[ids].sum()) + last[0])
-            sums[2].append(inside)
-            sums[3].append(zlib.compress(np.append(classes, END).astype("<u2").tobytes(), 1))
+        held_out = docs["held_out"].to_numpy(zero_copy_only=False)
+        data, lengths = docs["tokens"].to_pylist(), docs["n_tokens"].to_numpy() - 1
+        for lot in _runs(lengths, LOT):
+            planes = [np.frombuffer(zlib.decompress(d), np.uint8).reshape(4, -1) for d in data[lot]]
+            ids = np.ascontiguousarray(np.concatenate(planes, axis=1).T).view("<u4").ravel().astype(np.int64)
+            size = lengths[lot]
+            classes, inside = coded_words(ids, size, ~held_out[lot], place, count, spelt, masses)
+            edges = np.append(np.cumsum(size) - size, len(ids))
+            for values, per_word in zip(sums, (known[ids], base[ids], inside), strict=False):
+                total_ = np.zeros(len(size))
+                if (some := size > 0).any():
+                    total_[some] = np.add.reduceat(per_word, edges[:-1][some], dtype=np.float64)
+                values.append(total_)
+            classes = classes.astype("<u2")
+            end = np.array([END], "<u2").tobytes()
+            sums[3] += [zlib.compress(classes[i:j].tobytes() + end, 1) for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        n_known, base_score, inside = (np.concatenate(x) for x in sums[:3])
+        sums = [n_known.astype(np.int64) + last[1], base_score + last[0], inside, sums[3]]
         kinds = (pa.int64(), pa.float64(), pa.float64(), pa.binary())
         found = dict(zip(("n_known", "base_score", "inside", "classes"), map(pa.array, sums, kinds), strict=True))
         return pa.table({**{c: docs[c] for c in ("doc_id", "held_out", "n_tokens", "n_bytes")}, **found})
