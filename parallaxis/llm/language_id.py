@@ -6,10 +6,12 @@ language's profile. A document's own most frequent n-grams are ranked in the sam
 way; each adds the difference of its two ranks, or the full profile length where the
 language's profile lacks it. The language with the smallest sum wins.
 
-n-grams are counted in 2**BITS hashed cells, the same cells everywhere, so counting is
-array work and memory is bounded for any text. Ties of count are ordered by cell,
-ties of distance by the language's name. Null text, or text without a letter, gets
-"und" with score 0. score is the winner's similarity, 1 - distance / largest distance.
+n-grams are exact: one number holds the code points of up to three letters. Ties of count
+are ordered by code points, ties of distance by the language's name. Null text, or text
+without a letter, gets "und" with score 0. score is the winner's similarity, 1 - distance
+/ largest distance. Any length of text is counted whole; repeated rows count each; an
+empty table, or one without labelled rows, teaches no language, and all texts get "und".
+A table's own columns keep their names, but for lang_pred and score in predict().
 """
 
 from __future__ import annotations
@@ -24,10 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._common import documents, id_bucket, map_batches
+from ._common import documents, fresh, id_bucket, map_batches
 
-BITS = 15
 PROFILE = 400
+#: Different n-grams of a language that a training task holds before it passes them on.
+HELD_GRAMS = 1 << 20
 FOLDS, HELD_OUT = 5, 0
 UNKNOWN = "und"
 
@@ -46,8 +49,11 @@ def _letters() -> np.ndarray:
     return _letter_cache[0]
 
 
-def cell_counts(text: str) -> np.ndarray | None:
-    """Counts of all cells for a whole text; None without a letter."""
+_BLANK, _WIDTH = np.uint64(32), np.uint64(21)
+
+
+def grams_of(text: str) -> tuple[np.ndarray, np.ndarray] | None:
+    """The different n-grams of a whole text, as numbers in order, and their counts; None without a letter."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
     letters = _letters()[points]
     inside = letters != 0
@@ -56,46 +62,49 @@ def cell_counts(text: str) -> np.ndarray | None:
     # one blank between words: drop every non-letter that follows a non-letter
     keep = inside.copy()
     keep[1:] |= inside[:-1]
-    line = np.concatenate(([np.uint32(0)], letters[keep], [np.uint32(0)])).astype(np.uint32)
-    one = line * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) + one[1:]
-    three = (two[:-1] ^ np.uint32(0x27D4EB2F)) * np.uint32(0x165667B1) + one[2:]
-    size = 1 << BITS
-    total = np.zeros(size, np.int64)
+    line = np.concatenate(([np.uint32(0)], letters[keep], [np.uint32(0)])).astype(np.uint64)
     blank = line == 0
-    for grams, drop in (
-        (one, blank),
-        (two, blank[:-1] & blank[1:]),
-        (three, blank[1:-1]),  # a blank inside would span two words
-    ):
-        mixed = grams[~drop]
-        mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        total += np.bincount(mixed >> np.uint32(32 - BITS), minlength=size)
-    return total
+    line[blank] = _BLANK
+    two = (line[:-1] << _WIDTH) | line[1:]
+    three = (two[:-1] << _WIDTH) | line[2:]
+    # a blank in the middle of three would span two words
+    every = np.concatenate((line[~blank], two[~(blank[:-1] & blank[1:])], three[~blank[1:-1]]))
+    return np.unique(every, return_counts=True)
+
 
+def spelt(gram: int) -> str:
+    """The letters of an n-gram's number."""
+    out = ""
+    while gram:
+        out, gram = chr(gram & 0x1FFFFF) + out, gram >> 21
+    return out
 
-def top_cells(counts: np.ndarray, k: int = PROFILE) -> np.ndarray:
-    """The most frequent cells, most frequent first, ties by cell."""
-    used = np.flatnonzero(counts)
-    order = np.argsort(-counts[used], kind="stable")[:k]
-    return used[order]
+
+def top_grams(grams: np.ndarray, counts: np.ndarray, k: int = PROFILE) -> np.ndarray:
+    """The most frequent n-grams, most frequent first, ties by code points."""
+    return grams[np.argsort(-counts, kind="stable")[:k]]
 
 
 class Profiles:
-    """ranks[language, cell] is the place in that language's profile, or PROFILE."""
+    """ranks[language, i] is the place of grams[i] in that language's profile, or PROFILE; the last column is for all others."""
 
     def __init__(self, profiles: dict[str, list[int]]):
         self.languages = sorted(profiles)
-        self.ranks = np.full((len(self.languages), 1 << BITS), PROFILE, np.int32)
+        self.grams = np.unique(np.array([g for p in profiles.values() for g in p], np.uint64))
+        self.ranks = np.full((len(self.languages), len(self.grams) + 1), PROFILE, np.int32)
         for i, name in enumerate(self.languages):
-            self.ranks[i, profiles[name]] = np.arange(len(profiles[name]))
+            own = np.array(profiles[name], np.uint64)
+            self.ranks[i, np.searchsorted(self.grams, own)] = np.arange(len(own))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counts = cell_counts(text) if text else None
-        if counts is None or not self.languages:
+        found = grams_of(text) if text else None
+        if found is None or not self.languages:
             return UNKNOWN, 0.0
-        own = top_cells(counts)
-        theirs = self.ranks[:, own]
+        own = top_grams(*found)
+        at = np.searchsorted(self.grams, own)
+        at[at == len(self.grams)] = 0
+        at = np.where(self.grams[at] == own, at, len(self.grams))
+        theirs = self.ranks[:, at]
         steps = np.where(theirs < PROFILE, np.abs(theirs - np.arange(len(own))), PROFILE)
         distance = steps.sum(axis=1)
         best = int(distance.argmin())
@@ -110,42 +119,54 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> DataFrame:
-    """(lang, cell, place): each language's profile from all training rows.
+    """(lang, gram, place): each language's profile from all training rows.
 
-    A task adds up its own rows, so a task sends at most 2**BITS rows for a language.
+    A task adds up its own rows; only the first PROFILE rows of a partition are ranked for a language.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sizes: dict[str, int] = {}
+
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+            grams, at = np.unique(np.concatenate([g for g, _ in held[lang]]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([n for _, n in held[lang]]), len(grams))
+            return grams, sums.astype(np.int64)
+
+        def rows(lang: str) -> pa.RecordBatch:
+            grams, n = merged(lang)
+            return pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if (counts := cell_counts(text)) is not None:
-                    if lang in sums:
-                        sums[lang] += counts
-                    else:
-                        sums[lang] = counts
-        for lang, counts in sums.items():
-            cells = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(cells)), pa.array(cells, pa.int32()), pa.array(counts[cells])],
-                names=["lang", "cell", "n"],
-            )
-
-    cells = (
-        map_batches(training_rows(docs), count, "lang string, cell int, n long")
-        .groupBy("lang", "cell")
+                if (found := grams_of(text)) is not None:
+                    held.setdefault(lang, []).append(found)
+                    sizes[lang] = sizes.get(lang, 0) + len(found[0])
+                    if sizes[lang] >= HELD_GRAMS:
+                        held[lang] = [merged(lang)]
+                        sizes[lang] = len(held[lang][0][0])
+                        if 2 * sizes[lang] >= HELD_GRAMS:
+                            yield rows(lang)
+                            held[lang], sizes[lang] = [], 0
+        for lang in held:
+            if held[lang]:
+                yield rows(lang)
+
+    grams = (
+        map_batches(training_rows(docs), count, "lang string, gram long, n long")
+        .groupBy("lang", "gram")
         .agg(F.sum("n").alias("n"))
     )
-    # at most 2**BITS rows in a window, whatever the input
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "cell")
-    return cells.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < PROFILE).drop("n")
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    ranked = grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROFILE)
+    return ranked.select("lang", "gram", (F.col("rank") - 1).alias("place"))
 
 
 def load(profile: DataFrame) -> Profiles:
     """PROFILE rows a language, on the driver."""
     out: dict[str, list[int]] = {}
-    for lang, cell, _ in sorted(profile.select("lang", "cell", "place").collect(), key=lambda r: (r[0], r[2])):
-        out.setdefault(lang, []).append(cell)
+    for lang, gram, _ in sorted(profile.select("lang", "gram", "place").collect(), key=lambda r: (r[0], r[2])):
+        out.setdefault(lang, []).append(gram)
     return Profiles(out)
 
 
@@ -187,9 +208,9 @@ def keep_identified(docs: DataFrame, least_score: float = 0.2) -> DataFrame:
     profiles = load(fit(docs))
     if not profiles.languages:
         return docs
-    own = docs.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns})
-    found = predict(own, profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return found.drop("lang_pred", "score").withColumnsRenamed({f"__own_{c}": c for c in ("lang_pred", "score")})
+    own = {c: fresh(docs, f"own_{c}") for c in ("lang_pred", "score") if c in docs.columns}
+    found = predict(docs.withColumnsRenamed(own), profiles).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.drop("lang_pred", "score").withColumnsRenamed({v: k for k, v in own.items()}).select(*docs.columns)
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

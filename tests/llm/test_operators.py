@@ -512,6 +512,46 @@ def test_language_profiles(spark):
     assert language_id.keep_identified(nolang).count() == df.count()
 
 
+def brute_grams(text):
+    """n-grams of words padded by a blank, most frequent first, then by code points."""
+    line = "".join(c.lower() if len(c.lower()) == 1 else c for c in text if True)
+    words = re.findall(r"[^\W\d_]+", "".join(c if c.isalpha() else " " for c in line))
+    found = Counter()
+    for at, w in enumerate(words):
+        found.update(w)
+        padded = f" {w} "
+        found.update(padded[i : i + 2] for i in range(len(padded) - 1))
+        found.update(padded[i : i + 3] for i in range(len(padded) - 2))
+    return [g for g, _ in sorted(found.items(), key=lambda x: (-x[1], [*map(ord, x[0].rjust(3, "\0"))]))]
+
+
+def test_language_distance_equals_brute_force(spark):
+    rng = random.Random(7)
+    letters = {"xx": "abcdefgh", "yy": "efghijkl", "кк": "абвгдежз", "hh": "".join(map(chr, range(0x4E00, 0x4E80)))}
+    rows = []
+    for i in range(240):
+        lang = list(letters)[i % 4]
+        words = ["".join(rng.choices(letters[lang], range(len(letters[lang]), 0, -1), k=rng.randint(1, 5))) for _ in range(rng.randint(1, 50))]
+        rows.append((i, rng.choice([" ", ", ", "-", "7"]).join(words), lang, "s", 1))
+    rows += [(300, "long text here " * 30000, None, "s", 1), (301, "İstanbul ǅ ß", None, "s", 1), rows[0], rows[0], (302, "tie", None, "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1))
+    profiles = {}
+    for lang in letters:
+        total = Counter()
+        for i, text, own, *_ in rows:
+            if own == lang and zlib.crc32(str(i).encode()) % 5:
+                points, n = language_id.grams_of(text)
+                total.update(dict(zip(map(language_id.spelt, points.tolist()), n.tolist(), strict=True)))
+                assert list(map(language_id.spelt, language_id.top_grams(points, n, 10**6).tolist())) == brute_grams(text)
+        ordered = sorted(total.items(), key=lambda x: (-x[1], [*map(ord, x[0].rjust(3, "\0"))]))
+        profiles[lang] = {g: at for at, (g, _) in enumerate(ordered[: language_id.PROFILE])}
+    for r in language_id.identify(df).collect():
+        own = brute_grams(r["text"])[: language_id.PROFILE]
+        distance = {k: sum(abs(p[g] - at) if g in p else language_id.PROFILE for at, g in enumerate(own)) for k, p in profiles.items()}
+        best = min(sorted(distance), key=distance.get)
+        assert (r["lang_pred"], round(r["score"], 9)) == (best, round(1 - distance[best] / (language_id.PROFILE * len(own)), 9))
+
+
 # ---------------------------------------------------------------- toxicity
 
 
