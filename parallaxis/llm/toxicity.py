@@ -4,16 +4,19 @@ One weight vector serves all grades; the thresholds between grades are ordered.
 document with feature sum s, P(grade > j) = logistic(s - threshold_j), and the
 expected grade, the sum of those, is the severity. Features are the words a text has
 (letters and digits, lower case) and their beginnings of 4 to 7 characters, present or
-not. Features are screened by their log-likelihood ratio and fitted by penalised maximum likelihood.
+not. Features stay that tell toxic from clean documents either way beyond LEAST_RATIO (log-likelihood
+ratio, counted on the executors); they are fitted by penalised maximum likelihood.
 
 The labels say toxic or not. Grades of toxic documents, 1 to LEVELS, are the quantiles
-of how many screened features they have; 0 is clean. fit() takes any given grades. The
-fit uses at most SAMPLE_ROWS labelled documents, those with the smallest hash of
-doc_id; every document is then scored.
+of how many features of toxic documents they have beyond what a clean document with as
+many features has on average, so that length alone is no severity; 0 is clean. fit() takes any given grades. The fit uses at most SAMPLE_ROWS
+labelled documents, those with the smallest hash of doc_id; every document is then scored.
 
 Null text, and text without known features, has the severity of the thresholds alone.
-Repeated rows are scored each. Labels with nulls or for unknown documents are ignored;
-without labels, or with one label only, no document is toxic and severity is 0.
+Repeated rows are scored each, and teach once. Labels with nulls or for unknown documents
+are ignored; without labels, or with one label only, no document is toxic and severity is
+0. An empty table gives no rows. Texts of any length are read whole. Columns other than
+doc_id, text and toxic play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, map_batches, materialize
+from ._common import discard, documents, map_batches, materialize
 
 SAMPLE_ROWS = 12_000
 BEGINNINGS = (4, 5, 6, 7)
 LEAST_DOCUMENTS = 5
 LEAST_RATIO = 12.0
-FEATURES = 6_000
-CANDIDATES = 100_000
 PENALTY = 0.05
 LEVELS = 3
 TOXIC_AT = 0.5
@@ -75,50 +76,54 @@ class OrdinalModel:
         return [1 / (1 + np.exp(np.clip(t - s, -30, 30))) for t in self.thresholds]
 
 
-def screen(at: np.ndarray, col: np.ndarray, names: list[str], positive: np.ndarray) -> np.ndarray:
-    """Numbers of the features that positive rows have more often, by log-likelihood ratio; (at, col) are the rows' features."""
-    n, m = len(positive), int(positive.sum())
-    k = np.bincount(col, minlength=len(names)).astype(float)
-    k1 = np.bincount(col[positive[at]], minlength=len(names)).astype(float)
+def telling(k: np.ndarray, k1: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Whether features of k documents, k1 of them toxic, tell the m toxic ones of n documents from the others."""
+    k, k1 = k.astype(float), k1.astype(float)
 
     def part(x, e):
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(e, 1e-9)), 0)
 
     ratio = part(k1, k * m / n) + part(k - k1, k * (n - m) / n) + part(m - k1, m * (n - k) / n) + part(n - m - k + k1, (n - m) * (n - k) / n)
-    good = (k >= LEAST_DOCUMENTS) & (ratio > LEAST_RATIO) & (k1 * n > k * m)
-    order = np.lexsort((np.array(names, dtype=object), -ratio)) if len(names) else np.zeros(0, np.int64)
-    return np.sort(order[good[order]][:FEATURES])
+    return (k >= LEAST_DOCUMENTS) & (ratio > LEAST_RATIO)
 
 
-def grades_of(found: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """0 for clean rows, 1 to LEVELS for toxic ones by the number of screened features they have."""
-    edges = np.quantile(found[toxic], np.arange(1, LEVELS) / LEVELS) if toxic.any() else np.zeros(LEVELS - 1)
-    return np.where(toxic, 1 + np.searchsorted(edges, found, side="left"), 0)
+def grades_of(excess: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """0 for clean rows, 1 to LEVELS for toxic ones by their excess of features of toxic documents."""
+    edges = np.quantile(excess[toxic], np.arange(1, LEVELS) / LEVELS) if toxic.any() else np.zeros(LEVELS - 1)
+    return np.where(toxic, 1 + np.searchsorted(edges, excess, side="left"), 0)
 
 
 def fit(texts: list[str | None], grades: list | None = None, toxic: list | None = None) -> OrdinalModel:
     """A model of texts that are at hand, with grades, or with labels to make grades of."""
     rows = [sorted({f for w in words_of(t) for f in features_of(w)}) for t in texts]
-    names = sorted({f for r in rows for f in r})
+    positive = np.array(grades if grades is not None else toxic, int) > 0
+    k, k1 = Counter(f for r in rows for f in r), Counter(f for r, p in zip(rows, positive, strict=True) if p for f in r)
+    every = sorted(k)
+    counts = [np.array([c[f] for f in every], np.int64) for c in (k, k1)]
+    use = telling(*counts, len(rows), int(positive.sum())) if rows else np.zeros(0, bool)
+    names = [f for f, u in zip(every, use, strict=True) if u]
     index = {f: i for i, f in enumerate(names)}
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows]) if rows else np.zeros(0, np.int64)
-    col = np.array([index[f] for r in rows for f in r], np.int64)
-    given = grades if grades is not None else toxic
-    return fit_sparse(at, col, names, np.array(given, int), given is grades)
+    found = [[index[f] for f in r if f in index] for r in rows]
+    at = np.repeat(np.arange(len(rows)), [len(r) for r in found]) if rows else np.zeros(0, np.int64)
+    col = np.array([i for r in found for i in r], np.int64)
+    given = np.array(grades if grades is not None else toxic, int)
+    return fit_sparse(at, col, names, given, np.array([len(r) for r in rows]) if grades is None else None)
 
 
-def fit_sparse(at: np.ndarray, col: np.ndarray, names: list[str], y: np.ndarray, graded: bool) -> OrdinalModel:
-    """Penalised maximum likelihood; thresholds are a first one and positive gaps. Row at[i] has feature col[i]."""
+def fit_sparse(at: np.ndarray, col: np.ndarray, names: list[str], y: np.ndarray, sizes: np.ndarray | None) -> OrdinalModel:
+    """Penalised maximum likelihood; thresholds are a first one and positive gaps. Row at[i] has feature col[i].
+
+    sizes: how many features each row has in all, to make grades of labels; None if y holds grades.
+    """
     positive = y > 0
     if not positive.any() or positive.all():
         return OrdinalModel({}, [30.0])
-    use = screen(at, col, names, positive)
-    place = np.full(len(names), -1)
-    place[use] = np.arange(len(use))
-    at, col = at[place[col] >= 0], place[col[place[col] >= 0]]
-    names = [names[i] for i in use]
-    if not graded:
-        y = grades_of(np.bincount(at, minlength=len(y)), positive)
+    if sizes is not None:
+        ones = np.bincount(col[positive[at]], minlength=len(names))
+        bad = ones * len(y) > np.bincount(col, minlength=len(names)) * positive.sum()
+        had = np.bincount(at, bad[col], len(y))
+        usual = had[~positive].sum() / max(1, sizes[~positive].sum())
+        y = grades_of(had - usual * sizes, positive)
     y = np.unique(y, return_inverse=True)[1]  # grades that occur, from 0
     top = int(y.max())
     share = np.clip([(y > j).mean() for j in range(top)], 1e-4, 1 - 1e-4)
@@ -204,47 +209,56 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
 
 
 def fit_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> OrdinalModel:
-    """A model of the labelled sample. Texts stay on the executors; the driver gets numbers of features.
-
-    Candidates are the features that toxic documents share most, at most CANDIDATES.
-    """
+    """A model of the labelled sample. Texts stay on the executors, and features are counted and screened there."""
     sample = materialize(labelled_sample(docs, labels, rows), "labelled")
+    n, m = sample.agg(F.count(F.lit(1)), F.count_if(F.col("toxic") > 0)).first()
 
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update({f for w in words_of(text) for f in features_of(w)})
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["feature", "n"]
-        )
+            all_, bad = Counter(), Counter()
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {f for w in words_of(text) for f in features_of(w)}
+                all_.update(found)
+                if toxic > 0:
+                    bad.update(found)
+            columns = [pa.array(list(all_), pa.string()), pa.array(list(all_.values()), pa.int64()), pa.array([bad[f] for f in all_], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["feature", "k", "k1"])
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            use = telling(batch.column(1).to_numpy(), batch.column(2).to_numpy(), n, m)
+            yield batch.filter(pa.array(use)).select(["feature"])
 
-    counted = map_batches(sample.where("toxic > 0").select("text"), features, "feature string, n long")
-    common = counted.groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS)
-    names = sorted(r[0] for r in common.orderBy(F.desc("n"), "feature").limit(CANDIDATES).select("feature").collect())
-    shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})  # at most CANDIDATES
+    counted = map_batches(sample.select("text", "toxic"), count, "feature string, k long, k1 long")
+    sums = counted.groupBy("feature").agg(F.sum("k").alias("k"), F.sum("k1").alias("k1")).where(F.col("k") >= LEAST_DOCUMENTS)
+    # features that tell, of at most `rows` documents
+    names = sorted(r[0] for r in map_batches(sums, screen, "feature string").toLocalIterator())
+    shared = sample.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(names)})
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = [
-                sorted({index[f] for w in words_of(t) for f in features_of(w) if f in index}) for t in batch.column(1).to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"]
-            )
-
-    table = map_batches(sample.select("doc_id", "text", "toxic"), numbers, "doc_id long, toxic int, features array<int>").toArrow()
+            found, sizes = [], []
+            for text in batch.column(1).to_pylist():
+                features = {f for w in words_of(text) for f in features_of(w)}
+                sizes.append(len(features))
+                found.append(sorted(index[f] for f in features if f in index))
+            columns = [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "toxic", "size", "features"])
+
+    schema = "doc_id long, toxic int, size long, features array<int>"
+    table = map_batches(sample.select("doc_id", "text", "toxic"), numbers, schema).toArrow()
+    discard(sample)
     table = table.combine_chunks().sort_by("doc_id")
     found = table["features"].combine_chunks()
     lengths = np.diff(found.offsets.to_numpy()) if len(table) else np.zeros(0, np.int64)
     col = found.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return fit_sparse(np.repeat(np.arange(len(table)), lengths), col, names, table["toxic"].to_numpy(), False)
+    return fit_sparse(np.repeat(np.arange(len(table)), lengths), col, names, table["toxic"].to_numpy(), table["size"].to_numpy())
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """doc_id, p_toxic, severity (expected grade), grade (most that is likelier than not), toxic. No shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # at most FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # bounded by the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = OrdinalModel(*shared.value)

@@ -581,6 +581,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert not toxicity.fit_documents(df, labels.limit(0)).weights and not toxicity.fit_documents(empty(spark), labels).weights
 
 
+def test_toxicity_scores_equal_brute_force(docs, clashing, spark):
+    """Every row's expected severity from the weights and thresholds alone; long texts and repeated rows as well."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(500):
+        n, bad = rng.choice([10, 300]), rng.choice([1, 3, 6]) if i % 4 == 0 else 0
+        words = [f"w{rng.randint(0, 60)}" for _ in range(n)] + rng.sample(["vile", "awful", "nasty", "gross", "horrid", "beastly"], bad)
+        rows.append((i, " ".join(rng.sample(words, len(words))), None, "s", 1))
+    rows += [rows[0], rows[0], (900, "vile nasty " * 20000, None, "s", 1), (901, None, None, "s", 1), (902, "VILE, awful!", None, "s", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({"toxic": F.lit("x"), "id": F.lit(0), "grade": F.lit(9)})
+    labels = spark.createDataFrame([(i, int(i % 4 == 0), 7) for i in range(400)], "doc_id long, toxic int, text int")
+    model = toxicity.fit_documents(df, labels)
+    got = toxicity.score(df, model).collect()
+    assert len(got) == len(rows)
+    texts = {r[0]: r[1] for r in rows}
+    for r in got:
+        found = {w[:k] + ("*" if k < len(w) else "") for w in re.findall(r"\w+", (texts[r["doc_id"]] or "").lower()) for k in (4, 5, 6, 7, len(w)) if k <= len(w)}
+        total = sum(model.weights.get(f, 0) for f in found)
+        above = [1 / (1 + math.exp(min(30, max(-30, t - total)))) for t in model.thresholds]
+        assert abs(r["severity"] - sum(above)) < 1e-9 and abs(r["p_toxic"] - above[0]) < 1e-9
+        assert r["grade"] == sum(p >= 0.5 for p in above) and r["toxic"] == (above[0] >= 0.5)
+    severity = {r["doc_id"]: r["severity"] for r in got}
+    few, many, clean = ([severity[i] for i in range(400, 500) if (set(texts[i].split()) & {"vile", "awful", "nasty", "gross", "horrid", "beastly"}).__len__() in k] for k in ((1,), (6,), (0,)))
+    assert np.mean(clean) < 0.2 and np.mean(clean) + 0.3 < np.mean(few) < np.mean(many) - 0.8
+    # equally bad texts are equally severe, whatever their length
+    long, short = (np.mean([severity[i] for i in range(0, 500, 4) if (len(texts[i]) > 600) == s]) for s in (True, False))
+    assert abs(long - short) < 0.5, (long, short)
+    assert toxicity.score(clashing, model).count() == docs.count()
+
+
 def test_ordinal_thresholds_are_ordered_and_monotone():
     rng = random.Random(1)
     texts, grades = [], []
