@@ -6,7 +6,7 @@ sets form a class first (128-bit digest); only classes are compared.
 Small sets enumerate subsets: every set drops up to as many elements as a link may lose,
 and sets that share a subset large enough are linked outright; a star per subset is
 enough. Large sets go through inverted lists. The boundary between the two is the size
-at which enumerating costs more rows than lists (from the histogram of sizes).
+at which enumerating makes more rows than scanning lists, whose lengths are measured.
 
 Lists hold a part of a set that any linked set must meet: of the EXTENDED smallest
 hashes, as many of the rarest (by exact frequency) as the threshold asks for. Pairs that
@@ -19,7 +19,9 @@ edges leave a block, never all pairs. Components of those edges give the result.
 Nothing is capped or sampled, and a filter only drops pairs that provably do not link.
 
 Null text, or text without words, has an empty set: linked with nothing, its own
-component. A text of fewer words than a shingle has one element, the whole sequence.
+component. A text of fewer words than a shingle has one element, the whole sequence. An
+empty table gives no rows. Any length of text is read whole. Columns other than doc_id and
+text play no part, whatever their names.
 Rows that repeat an id or a text share its class. Rows with a null id take the component
 of their class, null if the class has no id, and link nothing else.
 """
@@ -46,9 +48,7 @@ WHOLE = 32
 LONG_LIST = 64
 #: Bits of the parity sketch, and words of 64 bits.
 SKETCH_WORDS = 16
-#: Rows of a list or a subset that one comparison in a list is worth.
-LIST_COST = 8
-#: Sets and elements of one part of a group at most; a block brings two parts together.
+#: Sets and elements of one part of a group on average at most (sets are dealt by hash); a block brings two parts together.
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Groups above LEAST_PART sets are dealt into this many parts or more, so that a large one fills several tasks.
 PARTS, LEAST_PART = 8, 256
@@ -155,18 +155,18 @@ def _sets(docs: DataFrame, words: int, threshold: Threshold, extended: float) ->
     )
 
 
-def boundary(threshold: Threshold, sizes: dict[int, int]) -> int:
-    """The largest size of small sets: total rows of subsets below and of lists above are least."""
+def boundary(threshold: Threshold, sizes: dict[int, int], scanned: dict[int, float]) -> int:
+    """The largest size of small sets: total rows of subsets below, and scanned in lists above, are least.
+
+    sizes: how many sets have a size; scanned: rows that the lists of the sets of a size bring together.
+    """
 
     def subsets(n: int) -> int:
         return sum(math.comb(n, a) for a in range(threshold.dropped(n) + 1)) if _may_link(threshold, n) else 0
 
-    def lists(n: int) -> int:
-        return threshold.prefix(n) * (1 + LIST_COST)
-
-    cost = {0: sum(c * lists(n) for n, c in sizes.items())}
+    cost = {0: sum(scanned.values())}
     for n in range(1, WHOLE + 1):
-        cost[n] = cost[n - 1] + sizes.get(n, 0) * (subsets(n) - lists(n))
+        cost[n] = cost[n - 1] + sizes.get(n, 0) * subsets(n) - scanned.get(n, 0)
     return min(cost, key=lambda n: (cost[n], -n))
 
 
@@ -223,12 +223,10 @@ def _subset_edges(nodes: DataFrame, threshold: Threshold, largest: int) -> DataF
     )
 
 
-def _list_rows(nodes: DataFrame, threshold: Threshold, extended: float, above: int) -> DataFrame:
+def _list_rows(nodes: DataFrame, threshold: Threshold, extended: float) -> DataFrame:
     """(token, node, n, df): the rarest tokens of each set's first ones, those in two or more sets."""
-    lowest = -(-threshold.num * (above + 1) // threshold.den)  # smaller sets cannot link with a large one
-    large = nodes.where(F.col("n") >= lowest)
     size = _listed_column(threshold, extended)
-    rows = large.select("node", "n", F.explode(F.slice("first", 1, size)).alias("token"))
+    rows = nodes.select("node", "n", F.explode(F.slice("first", 1, size)).alias("token"))
     shared = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     met = rows.join(shared, "token")
     # a set keeps its prefix() rarest: tokens that no other set has come first, and need no row
@@ -375,16 +373,21 @@ def link(docs: DataFrame, words: int = 3, num: int = 90, den: int = 100, extende
         .select(F.monotonically_increasing_id().alias("node"), "doc_id", "digest", "n", "first", "sketch"),
         "classes",
     )
-    sizes = {r[0]: r[1] for r in nodes.where(F.col("n") <= WHOLE).groupBy("n").count().collect()}  # WHOLE + 1 rows
-    small = boundary(threshold, sizes)
-    listed = materialize(_list_rows(nodes, threshold, extended, small), "lists")
+    everything = materialize(_list_rows(nodes, threshold, extended), "lists")
+    # a set meets half the others of a short list; a long list is scanned in blocks, which cost about as much. WHOLE + 1 rows each
+    meets = F.sum(1 + F.least(F.col("df"), F.lit(LONG_LIST)) / 2)
+    scanned = {r[0]: float(r[1]) for r in everything.where(F.col("n") <= WHOLE).groupBy("n").agg(meets).collect()}
+    sizes = {r[0]: r[1] for r in nodes.where(F.col("n") <= WHOLE).groupBy("n").count().collect()}
+    small = boundary(threshold, sizes, scanned)
+    # smaller sets cannot link with a large one
+    listed = everything.where(F.col("n") >= -(-threshold.num * (small + 1) // threshold.den))
     groups = materialize(_candidate_groups(nodes, listed, threshold), "groups")
     edges = _list_edges(docs, nodes, groups, words, threshold).unionByName(_subset_edges(nodes, threshold, small))
     joined = components(edges)
     named = joined.join(nodes.select("node", "doc_id", "digest"), "node")
     lowest = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     moved = materialize(named.join(lowest, "label").select("digest", "component_id"), "components")
-    discard(listed, groups)
+    discard(everything, groups)
     # classes of one row that links nothing need no name; written, so that a hot class can be split in the join
     shared = classes.where("copies > 1").select("digest", "rep").join(moved, "digest", "full")
     shared = materialize(shared.select("digest", F.coalesce("component_id", "rep").alias("component_id")), "shared")

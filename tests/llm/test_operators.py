@@ -829,7 +829,10 @@ def test_jaccard_edges_of_input(clashing, docs, spark):
     assert jaccard_join.link(clashing).count() == docs.count()
     kept = jaccard_join.keep_first(docs)
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
-    assert jaccard_join.boundary(jaccard_join.Threshold(90, 100), {5: 10, 12: 10, 30: 10}) in range(jaccard_join.WHOLE + 1)
+    near = jaccard_join.Threshold(90, 100)
+    assert jaccard_join.boundary(near, {5: 10, 12: 10, 30: 10}, {}) == 11  # lists that bring nothing together are cheaper than subsets
+    assert jaccard_join.boundary(near, {12: 10, 15: 10}, {12: 131.0, 15: 159.0}) == 14  # 13 and 16 subsets a set
+    assert jaccard_join.boundary(near, {12: 10, 15: 10}, {12: 131.0, 15: 161.0}) == jaccard_join.WHOLE
 
 
 def test_components_of_chains_and_stars(spark):
