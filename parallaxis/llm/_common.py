@@ -90,6 +90,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def bound(value, make):
+    """make(value) where value is computed once, however often make mentions it."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
 def id_bucket(column: str, modulus: int):
     """crc32 of the id's decimal text modulo a number; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

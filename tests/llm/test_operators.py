@@ -638,7 +638,7 @@ _PRIVATE = [
 
 def test_surrogates_keep_type_and_identity(spark):
     df = spark.createDataFrame(_PRIVATE, SCHEMA).withColumns({"found": F.lit(1), "n_entities": F.lit(0), "mark": F.lit("")})
-    rows = pii_surrogates.replace(df).collect()
+    rows = pii_surrogates.replace(df, "one key").collect()
     got = {r["doc_id"]: r for r in rows}
     assert len(rows) == len(_PRIVATE)
     assert re.fullmatch(r"write to [a-z]{3}\.[a-z]{5}@[a-z]{4}\.[a-z]{7}\.com or \+1 \(\d{3}\) \d{3}-\d{4} today", got[1]["text"])
@@ -654,6 +654,54 @@ def test_surrogates_keep_type_and_identity(spark):
     assert pii_surrogates.replace(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def _swapped(spark, *texts):
+    df = spark.createDataFrame([(i, t, None, "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    return [r["text"] for r in sorted(pii_surrogates.replace(df, "one key").collect(), key=lambda r: r["doc_id"])]
+
+
+def test_notations_of_one_entity_share_a_surrogate(spark):
+    phones = _swapped(spark, "+1 (415) 555-1234", "+14155551234", "415-555-1234", "(415) 555-1234", "415.555.1234", "+44 20 7946 0958", "+442079460958")
+    assert {re.sub(r"\D", "", p)[-10:] for p in phones[:5]} == {re.sub(r"\D", "", phones[2])} != {"4155551234"}
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", phones[0]) and re.fullmatch(r"\+1\d{10}", phones[1])
+    assert phones[5].startswith("+44 ") and phones[5].replace(" ", "") == phones[6] != "+442079460958"
+    one, other = _swapped(spark, "DE89 3704 0044 0532 0130 00", "DE89370400440532013000")
+    assert one.replace(" ", "") == other and re.fullmatch(r"DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d", one) and one[5:] != "3704 0044 0532 0130 00"
+    assert int("".join(str(int(c, 36)) for c in other[4:] + other[:4])) % 97 == 1
+    mails = _swapped(spark, "Bob@X.com", "bob@x.com", "bob@mail.co.uk", "ann@d.org.au")
+    assert mails[0].lower() == mails[1] != "bob@x.com" and mails[0][0].isupper() and mails[0][4].isupper() and mails[0].endswith(".com")
+    assert mails[2].endswith(".co.uk") and mails[3].endswith(".org.au") and "bob" not in mails[2] and "mail" not in mails[2]
+    cards = _swapped(spark, "4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111")
+    assert len({re.sub(r"\D", "", c) for c in cards}) == 1 and cards[1].count("-") == 3
+
+
+def test_names_of_several_words_and_scripts(spark):
+    got = _swapped(
+        spark, "Mr Smith met Mr. Smith; Smith left. Smithers stayed, SMITH too", "Mrs. Maria Jones-Brown saw Mr O'Brien and Mr McDonald. Jones-Brown ran.",
+        "Mr Παπαδόπουλος, г-жа Иванова, г-н Иванов", "Mr Adam Smith Mrs Eva Smith", "Mr.", "Mr smith", "Dear Mrs Jones", "Herr Groß-Klein'sche",
+    )
+    a, b = re.fullmatch(r"Mr (\w+) met Mr\. \1; \1 left\. Smithers stayed, SMITH too", got[0]), re.fullmatch(r"Mrs\. (\w+-\w+) (\w+) saw Mr (\w+) and Mr (\w+)\. (\w+) ran\.", got[1])
+    assert a and a[1] != "Smith" and b and b[2] == b[5] and not {"Maria", "Jones", "Brown", "Brien", "McDonald"} & set(re.findall(r"\w+", got[1]))
+    c = re.fullmatch(r"Mr ([Α-Ω][α-ως]+), г-жа ([А-Я][а-я]+ова), г-н ([А-Я][а-я]+ов)", got[2])
+    assert c and c[1] != "Παπαδόπουλος" and c[2] != "Иванова" and c[3] != "Иванов"
+    d = re.fullmatch(r"Mr (\w+-\w+) (\w+) Mrs (\w+-\w+) (\w+)", got[3])
+    assert d and d[2] == d[4] == a[1]
+    assert d[1].split("-")[0] in pii_surrogates.GIVEN["latin", "male"].split() and d[3].split("-")[0] in pii_surrogates.GIVEN["latin", "female"].split()
+    assert got[4:6] == ["Mr.", "Mr smith"] and re.fullmatch(r"Dear Mrs [A-Z][a-z]+", got[6]) and "Groß" not in got[7] and "Klein" not in got[7]
+
+
+def test_rewriting_equals_brute_force(docs, clashing, spark):
+    """Parts between matches stay as they are, and each match becomes what it becomes alone."""
+    rng = random.Random(21)
+    parts = ["a@b.com", "10.0.0.1", "+1 415 555 0100", "4111 1111 1111 1111", "078-05-1120", "plain words", "é|x", "$1 \\Q", "fe80::1:2", "DE89370400440532013000", "Ms Ng"]
+    texts = [" ; ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["a@b.com " * 3000, "x " * 60000]
+    alone = dict(zip(parts, _swapped(spark, *parts), strict=True))
+    assert sum(alone[p] != p for p in parts) == 8 and len(set(alone.values())) == len(parts)
+    for text, got in zip(texts, _swapped(spark, *texts), strict=True):
+        want = " ; ".join(alone.get(p, p) for p in text.split(" ; ")) if " ; " in text or text in alone else text.replace("a@b.com", alone["a@b.com"])
+        assert got == want
+    assert pii_surrogates.replace(clashing).count() == docs.count()
+
+
 def test_entities_beside_letters_and_of_all_scripts(spark):
     """Addresses right after a letter, and those with letters and digits of the upper planes, as the plain properties find them."""
     plain = (
@@ -673,14 +721,14 @@ def test_entities_beside_letters_and_of_all_scripts(spark):
 
 def test_surrogates_of_a_small_space_stay_distinct(spark, monkeypatch):
     """All 2 ** 7 surrogates that the first rounds can draw collide at once; the checks still keep entities apart."""
-    real = pii_surrogates.surrogate
+    real = pii_surrogates.surrogate_key
 
-    def narrow(e, round_=0, key=pii_surrogates.KEY):
-        if isinstance(round_, int) and round_ < 6:
-            return F.concat(F.lit("a@b"), (F.crc32(F.concat(e.cast("binary"), F.lit(str(round_)).cast("binary"))) % 128).cast("string"), F.lit(".com"))
-        return real(e, round_, key)
+    def narrow(key, round_, secret):
+        if round_ < 6:
+            return F.concat(F.lit("email|a@b"), (F.crc32(F.concat(key.cast("binary"), F.lit(str(round_)).cast("binary"))) % 128).cast("string"), F.lit(".com"))
+        return real(key, round_, secret)
 
-    monkeypatch.setattr(pii_surrogates, "surrogate", narrow)
+    monkeypatch.setattr(pii_surrogates, "surrogate_key", narrow)
     rows = [(i, f"mail user{i}@x.com and user{i + 1}@x.com and a@b{i % 7}.com", None, "s", 1) for i in range(60)]
     got = {r["doc_id"]: re.findall(r"\S+@\S+", r["text"]) for r in pii_surrogates.replace(spark.createDataFrame(rows, SCHEMA)).collect()}
     of = {}
