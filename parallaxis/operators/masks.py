@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 INVALID = 255
 
@@ -148,32 +151,100 @@ def share_summary(pixels: DataFrame, temporary: Sequence[int]) -> DataFrame:
     )
 
 
+def ignored(sky: Sequence[int], temporary: Sequence[int]) -> tuple[int, ...]:
+    """Classes that say nothing about where a camera looks."""
+    return tuple(sorted({*sky, *temporary}))
+
+
 def ignored_classes(sky: Column, temporary: Column) -> Column:
     return F.array_sort(F.array_union(sky, temporary))
 
 
-def agreement_by_yaw(pixels: DataFrame, width: int, yaws: Sequence[int], ignore: Sequence[int] = ()) -> DataFrame:
-    """(pair_id, yaw, score): share of equal labels after turning the right mask, ignored classes left out; 0 without pixels."""
-    shifts = F.array(*(F.struct(F.lit(y).alias("yaw"), F.lit(round((y % 360) / 360.0 * width)).alias("shift")) for y in yaws))
-    right = pixels.select("pair_id", "y", "x", "right_label", F.explode(shifts).alias("s")).select(
-        "pair_id", "y", F.pmod(F.col("x") - F.col("s.shift"), F.lit(width)).alias("x"), "right_label", "s.yaw"
-    )
-    left = pixels.select("pair_id", "y", "x", "left_label")
-    met = left.join(right, ["pair_id", "y", "x"])
-    use = ~_temporary(ignore, "left_label", "right_label") if ignore else F.lit(True)
-    return met.groupBy("pair_id", "yaw").agg(
-        F.coalesce(F.avg(F.when(use, (F.col("left_label") == F.col("right_label")).cast("double"))), F.lit(0.0)).alias("score")
-    )
+def _agreements(y, x, left_label, right_label, width: int, yaws: Sequence[int], ignore: Sequence[int]) -> list[float | None]:
+    """Share of equal labels of one pair's masks for each yaw; 0 if only ignored classes meet, None if nothing meets."""
+    inside = (x >= 0) & (x < width)
+    shape = (int(y.max()) + 1, width)
+    left, right = np.full(shape, -1, np.int32), np.full(shape, -1, np.int32)
+    left[y[inside], x[inside]] = left_label[inside]
+    right[y, np.mod(x, width)] = right_label
+    blocked = [np.isin(side, list(ignore)) for side in (left, right)]
+    out: list[float | None] = []
+    for yaw in yaws:
+        shift = -round((yaw % 360) / 360.0 * width)
+        there, hidden = np.roll(right, shift, axis=1), np.roll(blocked[1], shift, axis=1)
+        met = (left >= 0) & (there >= 0)
+        use = met & ~blocked[0] & ~hidden
+        out.append(float((left[use] == there[use]).mean()) if use.any() else (0.0 if met.any() else None))
+    return out
 
 
-def rerank_yaw(pixels: DataFrame, width: int, initial: int, radius: int = 8, step: int = 2, ignore: Sequence[int] = ()) -> DataFrame:
-    """(pair_id, best_yaw, best_score): the first of the yaws round an initial one with the highest agreement."""
+def agreement_by_yaw(pixels: DataFrame, width: int, yaws: Sequence[int] | DataFrame, ignore: Sequence[int] = ()) -> DataFrame:
+    """(pair_id, yaw, place, score): share of equal labels after turning the right mask, ignored classes left out; 0 without pixels.
+
+    yaws: for all pairs, or a table (pair_id, yaws array<int>). A pair's masks come together once, and are turned there.
+    """
+    pixel = F.struct(*(F.col(c).cast("int").alias(c) for c in ("y", "x", "left_label", "right_label")))
+    gathered = pixels.groupBy("pair_id").agg(F.collect_list(pixel).alias("pixels"))
+    if isinstance(yaws, DataFrame):
+        gathered = gathered.join(yaws.select("pair_id", "yaws"), "pair_id")
+    else:
+        gathered = gathered.withColumn("yaws", F.array(*(F.lit(int(v)) for v in yaws)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs, lists, wanted = batch.columns
+            columns = [c.to_numpy(zero_copy_only=False) for c in lists.flatten().flatten()]
+            edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            at, yaw, place, score = [], [], [], []
+            for k, (i, j, tried) in enumerate(zip(edges[:-1], edges[1:], wanted.to_pylist(), strict=True)):
+                for n, value in enumerate(_agreements(*(c[i:j] for c in columns), width, tried, ignore)):
+                    if value is not None:
+                        at.append(k), yaw.append(tried[n]), place.append(n), score.append(value)
+            arrays = [pairs.take(pa.array(at, pa.int64())), pa.array(yaw, pa.int32()), pa.array(place, pa.int32()), pa.array(score, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["pair_id", "yaw", "place", "score"])
+
+    kinds = (("yaw", T.IntegerType()), ("place", T.IntegerType()), ("score", T.DoubleType()))
+    return gathered.mapInArrow(run, T.StructType([pixels.schema["pair_id"], *(T.StructField(n, k) for n, k in kinds)]))
+
+
+def rerank_yaw(
+    pixels: DataFrame, width: int, initial: int | DataFrame, radius: int = 8, step: int = 2, ignore: Sequence[int] = ()
+) -> DataFrame:
+    """(pair_id, best_yaw, best_score): the first of the yaws round an initial one with the highest agreement.
+
+    initial: for all pairs, or each pair's own, as a table (pair_id, best_yaw).
+    """
     step, radius = max(1, int(step)), max(0, int(radius))
-    yaws = [(initial + d) % 360 for d in range(-radius, radius + 1, step)]
-    order = F.coalesce(*(F.when(F.col("yaw") == y, i) for i, y in reversed(list(enumerate(yaws)))))
-    scores = agreement_by_yaw(pixels, width, list(dict.fromkeys(yaws)), ignore).withColumn("o", order)
-    # the highest score, and the first of equal ones
-    best = F.max_by(F.struct("yaw", "score"), F.struct(F.col("score"), -F.col("o")))
+    steps = list(range(-radius, radius + 1, step))
+    if isinstance(initial, DataFrame):
+        yaws = initial.select("pair_id", F.array(*(F.pmod(F.col("best_yaw") + d, F.lit(360)) for d in steps)).alias("yaws"))
+    else:
+        yaws = [(initial + d) % 360 for d in steps]
+    scores = agreement_by_yaw(pixels, width, yaws, ignore)
+    best = F.max_by(F.struct("yaw", "score"), F.struct(F.col("score"), -F.col("place")))
     return scores.groupBy("pair_id").agg(best.alias("b")).select(
         "pair_id", F.col("b.yaw").alias("best_yaw"), F.col("b.score").alias("best_score")
     )
+
+
+def turned(pixels: DataFrame, yaws: DataFrame, width: int) -> DataFrame:
+    """Pixels with each pair's right mask turned by its yaw(pair_id, best_yaw); pairs without a yaw stay as they are."""
+    shift = F.rint(F.pmod(F.coalesce("best_yaw", F.lit(0)), F.lit(360)) / 360.0 * width).cast("int")
+    right = pixels.select("pair_id", "y", "x", "right_label").join(yaws.select("pair_id", "best_yaw"), "pair_id", "left")
+    right = right.select("pair_id", "y", F.pmod(F.col("x") - shift, F.lit(width)).alias("x"), "right_label")
+    return pixels.select("pair_id", "y", "x", "left_label").join(right, ["pair_id", "y", "x"])
+
+
+def reprojected(pixels: DataFrame, matrices: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0) -> DataFrame:
+    """Left pixels with the right label where matrices(pair_id, h: nine numbers by row) takes them; those that leave the mask go.
+
+    scale: mask pixels for each pixel that the matrices count in. Pairs without a matrix go.
+    """
+    h = [F.col("h")[i] for i in range(9)]
+    x, y = F.col("x") / scale_x, F.col("y") / scale_y
+    w = h[6] * x + h[7] * y + h[8]
+    u, v = (F.rint((h[i] * x + h[i + 1] * y + h[i + 2]) / w * s).cast("int") for i, s in ((0, scale_x), (3, scale_y)))
+    left = pixels.select("pair_id", "y", "x", "left_label").join(matrices.where("h is not null").select("pair_id", "h"), "pair_id")
+    placed = left.where(w != 0).select("pair_id", "y", "x", "left_label", u.alias("u"), v.alias("v"))
+    right = pixels.select("pair_id", F.col("x").alias("u"), F.col("y").alias("v"), "right_label")
+    return placed.join(right, ["pair_id", "u", "v"]).select("pair_id", "y", "x", "left_label", "right_label")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -137,23 +138,26 @@ def crop_boxes(points: DataFrame, x: str, y: str, width: int, height: int, paddi
     return box.withColumn("fraction", area / F.lit(width * height))
 
 
-def fov_crops(matches: DataFrame, width: int, height: int, padding: float = 0.02) -> DataFrame:
-    """(pair_id, left and right crop fractions): boxes of the matches that are plausible in both images.
+def fov_boxes(matches: DataFrame, width: int, height: int, padding: float = 0.02) -> DataFrame:
+    """(pair_id, l_x1 .. l_y2, l_fraction, r_x1 .. r_fraction): boxes of the matches that are plausible in both images.
 
     Pairs with fewer than four such matches stay whole, with fractions of 1.
     """
     kept = fenced(matches, ["lx", "ly", "rx", "ry"], least_range=1e-6, fall_back=False)
     enough = kept.groupBy("pair_id").agg(F.count(F.lit(1)).alias("n")).where("n >= 4").select("pair_id")
     use = kept.join(enough, "pair_id", "left_semi")
-    sides = [
-        crop_boxes(use, f"{s}x", f"{s}y", width, height, padding).select("pair_id", F.col("fraction").alias(f"fov_{name}_retained_fraction"))
-        for s, name in (("l", "left"), ("r", "right"))
-    ]
+    whole = {"x1": 0, "y1": 0, "x2": width, "y2": height, "fraction": 1.0}
     out = matches.select("pair_id").distinct()
-    for side in sides:
-        out = out.join(side, "pair_id", "left")
-    left, right = (F.coalesce(f"fov_{s}_retained_fraction", F.lit(1.0)) for s in ("left", "right"))
-    return out.select(
+    for s in ("l", "r"):
+        box = crop_boxes(use, f"{s}x", f"{s}y", width, height, padding)
+        out = out.join(box.select("pair_id", *(F.col(c).alias(f"{s}_{c}") for c in whole)), "pair_id", "left")
+    return out.select("pair_id", *(F.coalesce(f"{s}_{c}", F.lit(v)).alias(f"{s}_{c}") for s in ("l", "r") for c, v in whole.items()))
+
+
+def fov_crops(matches: DataFrame, width: int, height: int, padding: float = 0.02) -> DataFrame:
+    """(pair_id, left and right crop fractions) of fov_boxes."""
+    left, right = F.col("l_fraction"), F.col("r_fraction")
+    return fov_boxes(matches, width, height, padding).select(
         "pair_id",
         F.least(left, right).alias("fov_crop_fraction"),
         left.alias("fov_left_retained_fraction"),
@@ -163,6 +167,32 @@ def fov_crops(matches: DataFrame, width: int, height: int, padding: float = 0.02
     )
 
 
+def cropped(matches: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """Matches inside both of a pair's boxes, measured in crops that are as large as the images again.
+
+    Stands in for matches of the crops themselves, which a matcher may give instead.
+    """
+    met = matches.join(boxes, "pair_id")
+    inside = reduce(
+        lambda p, q: p & q,
+        (F.col(f"{s}{c}").between(F.col(f"{s}_{c}1"), F.col(f"{s}_{c}2")) for s in ("l", "r") for c in ("x", "y")),
+    )
+
+    def placed(s: str, c: str, size: int) -> Column:
+        low, high = F.col(f"{s}_{c}1"), F.col(f"{s}_{c}2")
+        return ((F.col(f"{s}{c}") - low) / (high - low) * size).alias(f"{s}{c}")
+
+    moved = [placed(s, c, n) for s in ("l", "r") for c, n in (("x", width), ("y", height))]
+    return met.where(inside).select(*(c for c in matches.columns if c not in ("lx", "ly", "rx", "ry")), *moved)
+
+
+def turned(matches: DataFrame, yaws: DataFrame, width: int) -> DataFrame:
+    """Matches with the right image turned by its pair's yaw(pair_id, best_yaw); pairs without a yaw stay as they are."""
+    shift = F.rint(F.pmod(F.coalesce("best_yaw", F.lit(0)), F.lit(360)) / 360.0 * width)
+    met = matches.join(yaws.select("pair_id", "best_yaw"), "pair_id", "left")
+    return met.withColumn("rx", F.pmod(F.col("rx") - shift, F.lit(float(width)))).select(*matches.columns)
+
+
 def yaw_votes(matches: DataFrame, width: float, yaw_step: float = 10, min_support: int = 8, min_ratio: float = 0.25) -> DataFrame:
     """One row for each pair with matches: total, support, and yaw with concentration where support is enough, else null.
 

@@ -141,6 +141,39 @@ def result_table(spark, sf):
     )
 
 
+def _pairs_of(found):
+    counts = found.groupBy("pair_id").agg(F.count(F.lit(1)).alias("left_allowed"), (F.count(F.lit(1)) + 3).alias("right_allowed"))
+    name = lambda c: F.concat(F.lit(c), F.col("pair_id").cast("string"))
+    pairs = counts.select("pair_id", name("l").alias("id_left"), F.lit("N/A").alias("date_left"), name("r").alias("id_right"),
+                          F.lit("N/A").alias("date_right"), F.col("pair_id").cast("string").alias("index"))
+    return pairs, counts
+
+
+def result_panorama(spark, sf):
+    """Rows of panorama mode: the right image turned by the best yaw, and the metrics before."""
+    found = fx.matches(spark, sf)
+    pairs, counts = _pairs_of(found)
+    out = features.result_table(pairs, found, counts, features.Frame(W, H), mode=features.Mode("panorama"))
+    return out.select(
+        "id_left", "id_right", "best_yaw_deg", "panorama_alignment_method", *(F.round(c, 8).alias(c) for c in (
+            "lightglue_match_ratio", "lightglue_avg_distance", "orig_lightglue_match_ratio", "orig_lightglue_avg_distance")),
+    )
+
+
+def result_fov(spark, sf):
+    """Rows of field-of-view mode: both images cropped to what they share, and the metrics before; masks follow the crops."""
+    found = fx.matches(spark, sf)
+    pairs, counts = _pairs_of(found)
+    frame = features.Frame(W, H, fx.ROAD, fx.TEMPORARY, ignore_temporary=True)
+    out = features.result_table(pairs, found, counts, frame, fx.pixels(spark, sf), mode=features.Mode("fov", reproject=True))
+    return out.select(
+        "id_left", "id_right", *(F.round(c, 8).alias(c) for c in (
+            "lightglue_match_ratio", "lightglue_avg_distance", "orig_lightglue_match_ratio", "orig_lightglue_avg_distance",
+            "orig_seg_overlap_mean_iou", "fov_crop_fraction", "fov_left_retained_fraction", "fov_right_retained_fraction",
+            "fov_left_cropped_fraction", "fov_right_cropped_fraction")),
+    )
+
+
 def homography_ransac(spark, sf):
     return raster.homographies_by_pair(fx.matches(spark, sf))
 
@@ -235,6 +268,24 @@ def _fraction(s: str) -> str:
     )
 
 
+def _ends(s: str, c: str, size: int) -> tuple[str, str]:
+    """Both edges of a side's box on an axis."""
+    a, b = f"{s}{c}0", f"{s}{c}1"
+    pad = f"greatest(1, ({b} - {a}) * 0.02)"
+    return f"greatest(0, floor({a} - {pad}))", f"least({size}, ceil({b} + {pad}))"
+
+
+def _sides() -> str:
+    parts = [(s, c, *_ends(s, c, n)) for s in "lr" for c, n in (("x", 1024), ("y", 512))]
+    return ", ".join(f"{a} AS {s}{c}a, {b} AS {s}{c}b" for s, c, a, b in parts)
+
+
+def _place(s: str, c: str) -> str:
+    size = 1024 if c == "x" else 512
+    return f"(({s}{c} - coalesce({s}{c}a, 0)) / (coalesce({s}{c}b, {size}) - coalesce({s}{c}a, 0)) * {size})"
+
+
+_INSIDE = " AND ".join(f"{s}{c} BETWEEN coalesce({s}{c}a, 0) AND coalesce({s}{c}b, {1024 if c == 'x' else 512})" for s in "lr" for c in "xy")
 _pixel_iou = _iou(f"SELECT * FROM pixels WHERE NOT {_TEMP}")
 
 QUERIES = {
@@ -329,6 +380,33 @@ QUERIES = {
                round(d / sqrt(1024 * 1024 + 512 * 512), 8) AS lightglue_avg_distance, a AS seg_overlap_mean_iou, b AS seg_overlap_road_iou, u AS seg_temp_union_fraction
         FROM p LEFT JOIN i USING (pair_id) LEFT JOIN t USING (pair_id)""",
     ),
+    "result_panorama": (
+        result_panorama,
+        f"""WITH best AS ({_search("true")}), {fx.MATCHES}, p AS (
+          SELECT pair_id, best_yaw, method, avg(sqrt(pow(lx - rx, 2) + pow(ly - ry, 2))) AS d,
+                 avg(sqrt(pow(lx - ((rx - round(best_yaw / 360.0 * 1024) + 1024) % 1024), 2) + pow(ly - ry, 2))) AS e
+          FROM matches JOIN best USING (pair_id) GROUP BY ALL)
+        SELECT 'l' || pair_id AS id_left, 'r' || pair_id AS id_right, best_yaw AS best_yaw_deg, method AS panorama_alignment_method, 1::DOUBLE AS lightglue_match_ratio,
+               round(e / sqrt(1024 * 1024 + 512 * 512), 8) AS lightglue_avg_distance, 1::DOUBLE AS orig_lightglue_match_ratio,
+               round(d / sqrt(1024 * 1024 + 512 * 512), 8) AS orig_lightglue_avg_distance FROM p""",
+    ),
+    "result_fov": (
+        result_fov,
+        f"""WITH {fx.MATCHES}, {_pixel_iou}, q AS (SELECT pair_id, count(*) AS n, {_QUARTERS} FROM matches GROUP BY 1),
+        kept AS (SELECT matches.* FROM matches JOIN q USING (pair_id) WHERE q.n < 4 OR ({" AND ".join(_AXIS.format(c=c) for c in ("lx", "ly", "rx", "ry"))})),
+        e AS (SELECT pair_id, {", ".join(f"min({c}) AS {c}0, max({c}) AS {c}1" for c in ("lx", "ly", "rx", "ry"))} FROM kept GROUP BY 1 HAVING count(*) >= 4),
+        f AS (SELECT pair_id, {_fraction("l")} AS l, {_fraction("r")} AS r, {_sides()} FROM e),
+        g AS (SELECT pair_id, count(*) AS n, avg(sqrt(pow(lx - rx, 2) + pow(ly - ry, 2))) AS d,
+                coalesce(any_value(l), 1) AS l, coalesce(any_value(r), 1) AS r,
+                count(*) FILTER ({_INSIDE}) AS m, avg(sqrt(pow({_place("l", "x")} - {_place("r", "x")}, 2) + pow({_place("l", "y")} - {_place("r", "y")}, 2))) FILTER ({_INSIDE}) AS c
+              FROM matches LEFT JOIN f USING (pair_id) GROUP BY 1),
+        i AS (SELECT pair_id, round(avg(iou), 8) AS a FROM iou GROUP BY 1)
+        SELECT 'l' || pair_id AS id_left, 'r' || pair_id AS id_right, round(m / n, 8) AS lightglue_match_ratio,
+               CASE WHEN m = 0 THEN 'infinity'::DOUBLE ELSE round(c / sqrt(1024 * 1024 + 512 * 512), 8) END AS lightglue_avg_distance,
+               1::DOUBLE AS orig_lightglue_match_ratio, round(d / sqrt(1024 * 1024 + 512 * 512), 8) AS orig_lightglue_avg_distance, a AS orig_seg_overlap_mean_iou,
+               round(least(l, r), 8) AS fov_crop_fraction, round(l, 8) AS fov_left_retained_fraction, round(r, 8) AS fov_right_retained_fraction,
+               round(1 - l, 8) AS fov_left_cropped_fraction, round(1 - r, 8) AS fov_right_cropped_fraction FROM g LEFT JOIN i USING (pair_id)""",
+    ),
     "sky_heuristic": (sky_heuristic, None),
     "hull_coverage": (hull_coverage, None),
     "homography_ransac": (homography_ransac, None),

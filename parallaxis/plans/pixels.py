@@ -88,13 +88,28 @@ def _yaw_pixels(spark, sf):
 
 
 def semantic_yaw_scores(spark, sf):
-    return _rounded(masks.agreement_by_yaw(_yaw_pixels(spark, sf), _W, (0, 3, 6, 9, 350), fx.SKY + fx.TEMPORARY), "score")
+    scores = masks.agreement_by_yaw(_yaw_pixels(spark, sf), _W, (0, 3, 6, 9, 350), fx.SKY + fx.TEMPORARY)
+    return _rounded(scores.drop("place"), "score")
 
 
 def semantic_rerank(spark, sf):
     return _rounded(masks.rerank_yaw(_yaw_pixels(spark, sf), _W, 6, 6, 3, fx.SKY + fx.TEMPORARY), "best_score")
 
 
+def semantic_rerank_own(spark, sf):
+    """Each pair starts from a yaw of its own, one step beside the true one or further."""
+    pixels = _yaw_pixels(spark, sf)
+    first = pixels.select("pair_id").distinct().select("pair_id", F.pmod(F.col("pair_id") * 3, F.lit(12)).cast("int").alias("best_yaw"))
+    return _rounded(masks.rerank_yaw(pixels, _W, first, 3, 3, fx.SKY + fx.TEMPORARY), "best_score")
+
+
+def masks_turned(spark, sf):
+    """After the turn that they were made with, both masks of a pair are the same."""
+    pixels = _yaw_pixels(spark, sf)
+    yaws = pixels.select("pair_id").distinct().select("pair_id", (F.col("pair_id") % 5 * 3).cast("int").alias("best_yaw"))
+    return masks.turned(pixels, yaws, _W).groupBy("pair_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("left_label") == F.col("right_label")).alias("same"))
+
+
 _TEMP = "(left_label BETWEEN 11 AND 18 OR right_label BETWEEN 11 AND 18)"
 
 
@@ -175,4 +190,15 @@ QUERIES = {
         f"""WITH {_YAW.format(yaws='0, 3, 6, 9, 12')}, r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, yaw) AS p FROM scores)
         SELECT pair_id, CAST(yaw AS INTEGER) AS best_yaw, round(score, 8) AS best_score FROM r WHERE p = 1""",
     ),
+    "semantic_rerank_own": (
+        semantic_rerank_own,
+        f"""WITH {_YAW.format(yaws='0, 3, 6, 9, 12, 357')}, near AS (SELECT *, list_position([-3, 0, 3], (CAST(yaw AS INTEGER) - pair_id * 3 % 12 + 540) % 360 - 180) AS o FROM scores),
+        r AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY score DESC, o) AS p FROM near WHERE o IS NOT NULL)
+        SELECT pair_id, CAST(yaw AS INTEGER) AS best_yaw, round(score, 8) AS best_score FROM r WHERE p = 1""",
+    ),
+    "masks_turned": (
+        masks_turned,
+        f"""WITH {_YAW.format(yaws='0, 3, 6, 9, 12')} SELECT a.pair_id, count(*) AS n, count(*) FILTER (a.left_label = b.right_label) AS same
+        FROM pix AS a JOIN pix AS b ON a.pair_id = b.pair_id AND a.y = b.y AND a.x = (b.x - a.pair_id % 5 * 3 + 360) % 360 GROUP BY 1""",
+    ),
 }
