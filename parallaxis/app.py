@@ -11,7 +11,12 @@ Features and masks come from tables (see operators.models for other ways).
 from __future__ import annotations
 
 import argparse
+import functools
+import importlib
 import sys
+import time
+from collections.abc import Callable
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import manifest
 from . import settings as settings_
-from .operators import features, ordering, pairing, results, sampling
+from .operators import features, masks, ordering, pairing, results, sampling
 from .settings import Settings
+from .sources import fetch, pair_tables
 from .sources import images as scans
-from .sources import pair_tables
 
 _KEY = ("id_left", "id_right")
 
@@ -54,14 +59,73 @@ def csv_pairs(table: DataFrame, order: str, s: Settings) -> DataFrame:
     return pair_tables.load(table, order, list(s.indices) or None, s.max_pairs_per_index)
 
 
-def measure(pairs: DataFrame, matches: DataFrame, counts: DataFrame, frame: features.Frame, **blocks) -> DataFrame:
-    """Result rows of pairs; matches and counts are keyed by (id_left, id_right)."""
+def frame_of(s: Settings, size: tuple[int, int], mask: tuple[int, int] | None, classes: DataFrame | None = None) -> features.Frame:
+    """Sizes of images and masks, and the classes by their labels (those of street scenes without a table id, label)."""
+    sets = {"road": [0], "sky": [10], "temporary": list(range(11, 19))}
+    if classes is not None:
+        rows = masks.class_sets(classes.select(F.col("id").cast("int"), "label")).collect()  # a mask model's classes
+        sets = {k: sorted(r["id"] for r in rows if r[k]) for k in sets}
+    width, height = mask or size
+    return features.Frame(
+        *size, sets["road"], sets["temporary"], s.ignore_temporary, s.seg_crop_top_frac, s.seg_crop_bottom_frac, height, width, sets["sky"]
+    )
+
+
+def mode_of(s: Settings, aligned: DataFrame | None = None, aligned_quality: DataFrame | None = None) -> features.Mode:
+    return features.Mode(
+        "panorama" if s.panorama else "fov" if s.scale_search else "plain",
+        s.yaw_step,
+        s.crop_keep,
+        s.crop_top_bias,
+        s.panorama_fast_yaw,
+        s.panorama_semantic_rerank,
+        s.semantic_rerank_radius,
+        s.semantic_rerank_step,
+        s.scale_reproject,
+        aligned,
+        aligned_quality,
+    )
+
+
+def measure(
+    pairs: DataFrame,
+    matches: DataFrame,
+    counts: DataFrame,
+    frame: features.Frame,
+    s: Settings,
+    pixels: DataFrame | None = None,
+    quality: DataFrame | None = None,
+    area: bool = False,
+    aligned: DataFrame | None = None,
+    aligned_quality: DataFrame | None = None,
+) -> DataFrame:
+    """Result rows of pairs; matches, counts, pixels and aligned matches are keyed by (id_left, id_right), quality by image_id."""
     keyed = pairs.withColumn("pair_id", F.to_json(F.array(*_KEY)))
     ids = keyed.select("pair_id", *_KEY)
-    inner = [t.join(ids, list(_KEY)).drop(*_KEY) for t in (matches, counts)]
-    if (pixels := blocks.pop("pixels", None)) is not None:
-        blocks["pixels"] = pixels.join(ids, list(_KEY)).drop(*_KEY)
-    return features.result_table(keyed, *inner, frame, **blocks)
+
+    def own(table: DataFrame | None) -> DataFrame | None:
+        return None if table is None else table.join(ids, list(_KEY)).drop(*_KEY)
+
+    found, known, pixels, aligned = own(matches), own(counts), own(pixels if s.segmentation else None), own(aligned)
+    if pixels is not None:
+        pixels, height, width = masks.narrowed(pixels, frame.mask_height, frame.mask_width, s.segmentation_max_width)
+        frame = replace(frame, mask_height=height, mask_width=width)
+        if s.ignore_sky_keypoints:
+            found = features.without_sky(found, pixels, frame, s.sky_keypoint_boundary_px)
+    images = (quality, aligned_quality) if s.image_metrics else (None, None)
+    return features.result_table(keyed, found, known, frame, pixels, images[0], area, mode_of(s, aligned, images[1]))
+
+
+def fetched(pairs: DataFrame, s: Settings, get: Callable[[str], object], store: str, batch: str) -> DataFrame:
+    """Pairs whose images are in the store, after those that it lacks have been fetched at the settings' pace."""
+    spark = pairs.sparkSession
+    ids = pairs.select(F.explode(F.array(*_KEY)).alias("id")).distinct()
+    stored = _existing(spark, store)
+    known = spark.createDataFrame([], fetch.SCHEMA) if stored is None else stored.select("id", "data", "error")
+    get = fetch.polite(get, s.request_delay, s.max_retries, s.retry_delay)
+    # one request at a time keeps the pace that the delay asks for
+    results.append(fetch.fetch_missing(ids, known, get, 1), store, batch)
+    return fetch.ready_pairs(pairs, spark.read.parquet(store))
 
 
 def dry_run(images: DataFrame, s: Settings, done: DataFrame | None = None) -> dict:
@@ -107,8 +171,10 @@ def main(words: list[str] | None = None) -> None:
     words = sys.argv[1:] if words is None else words
     parser = argparse.ArgumentParser(prog="parallaxis", description="Georeferenced image pairs on Spark.")
     parser.add_argument("mode", choices=("area", "csv", "sample", "deciles"))
-    for name in ("--config", "--images", "--matches", "--counts", "--results"):
+    for name in ("--config", "--images", "--matches", "--counts", "--results", "--pixels", "--quality", "--classes", "--aligned", "--aligned-quality"):
         parser.add_argument(name)
+    parser.add_argument("--fetcher", help="module:function(id, size) that gives an image's bytes; images_dir is their store")
+    parser.add_argument("--mask", type=int, nargs=2, metavar=("WIDTH", "HEIGHT"))
     parser.add_argument("--frame", type=int, nargs=2, default=(1024, 512), metavar=("WIDTH", "HEIGHT"))
     parser.add_argument("--metrics", nargs="+", default=["lightglue_match_ratio"])
     for f in settings_.fields(Settings):
@@ -136,7 +202,17 @@ def main(words: list[str] | None = None) -> None:
 
 
 def _run(spark: SparkSession, args, s: Settings, started: datetime) -> dict:
-    batch = started.strftime("%Y%m%dT%H%M%S")
+    batch = f"{started:%Y%m%dT%H%M%S}-{started.microsecond:06d}"
+    seconds: dict[str, float] = {}
+
+    def timed(name: str, began: float) -> float:
+        """Seconds of a stage, if asked for; the next one begins."""
+        now = time.perf_counter()
+        if s.profile_timing:
+            seconds[name] = round(now - began, 3)
+        return now
+
+    began = time.perf_counter()
     if args.mode == "deciles":
         decile_manifest(_table(spark, args.results), args.metrics, s).write.mode("overwrite").text(s.output)
         return {"metrics": args.metrics}
@@ -153,17 +229,36 @@ def _run(spark: SparkSession, args, s: Settings, started: datetime) -> dict:
         pairs = area_pairs(images, s, done)
     else:
         table = pair_tables.read_csv(spark, s.input_csv).withColumn("__order", F.monotonically_increasing_id())
-        pairs = csv_pairs(table, "__order", s)
-        pairs = pairs if done is None else pairing.pending(pairs, done, ordered=True)
+        every = csv_pairs(table, "__order", s)
+        pairs = every if done is None else pairing.pending(every, done, ordered=True)
+        if s.dry_run:
+            print({"rows": table.count(), "pairs": every.count(), "pending": pairs.count()})
+            return {}
+    if args.fetcher:
+        module, _, name = args.fetcher.partition(":")
+        get = getattr(importlib.import_module(module), name)
+        pairs = fetched(pairs, s, functools.partial(_sized, get, s.image_size), s.images_dir or f"{s.output}_images", batch)
+        began = timed("fetch", began)
     matches = _table(spark, args.matches)
     counts = _table(spark, args.counts) if args.counts else matches.groupBy(*_KEY).agg(
         F.count(F.lit(1)).alias("left_allowed"), F.count(F.lit(1)).alias("right_allowed")
     )
-    measured = measure(pairs, matches, counts, features.Frame(*args.frame), area=args.mode == "area")
+    pixels, quality, classes, aligned, aligned_quality = (
+        _table(spark, path) if path else None for path in (args.pixels, args.quality, args.classes, args.aligned, args.aligned_quality)
+    )
+    frame = frame_of(s, tuple(args.frame), tuple(args.mask) if args.mask else None, classes)
+    measured = measure(pairs, matches, counts, frame, s, pixels, quality, args.mode == "area", aligned, aligned_quality)
     results.append(measured, s.output, batch)
-    if not s.filtered_output:
-        return {"filter": {"enabled": False}}
-    return {"filter": results.write_passing(spark.read.parquet(s.output), results.active(**s.thresholds()), s.filtered_output)}
+    began = timed("pairs_and_metrics", began)
+    extra: dict = {"filter": {"enabled": False}}
+    if s.filtered_output:
+        extra = {"filter": results.write_passing(spark.read.parquet(s.output), results.active(**s.thresholds()), s.filtered_output)}
+        timed("filter", began)
+    return extra | ({"seconds": seconds} if s.profile_timing else {})
+
+
+def _sized(get: Callable[[str, str], object], size: str, id_: str) -> object:
+    return get(id_, size)
 
 
 if __name__ == "__main__":

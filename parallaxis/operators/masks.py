@@ -92,6 +92,15 @@ def resized(mask: DataFrame, height: int, width: int, source_height: int, source
     )
 
 
+def narrowed(pixels: DataFrame, height: int, width: int, most: int | None) -> tuple[DataFrame, int, int]:
+    """Pixels of masks at most so many columns wide, by nearest neighbour, and their height and width."""
+    if not most or width <= most:
+        return pixels, height, width
+    low = max(1, round(height * most / width))
+    both = pixels.select("pair_id", "y", "x", F.struct("left_label", "right_label").alias("label"))
+    return resized(both, low, most, height, width).select("pair_id", "y", "x", "label.*"), low, most
+
+
 def per_class_iou(pixels: DataFrame, ignore: Sequence[int] = ()) -> DataFrame:
     """(pair_id, class, iou) over classes of either side; pixels with an ignored class on either side do not count."""
     use = pixels.where(~_temporary(ignore, "left_label", "right_label")) if ignore else pixels

@@ -186,6 +186,17 @@ def cropped(matches: DataFrame, boxes: DataFrame, width: int, height: int) -> Da
     return met.where(inside).select(*(c for c in matches.columns if c not in ("lx", "ly", "rx", "ry")), *moved)
 
 
+def in_band(matches: DataFrame, height: int, keep: float, top_bias: float = 0.0) -> DataFrame:
+    """Matches in a panorama's band of rows on both sides; a positive bias moves the band up."""
+    if keep >= 1:
+        return matches
+    size = max(1, round(height * keep))
+    spare = height - size
+    start = max(0, min(spare, round(spare / 2 * (1 - max(-1.0, min(1.0, top_bias))))))
+    inside = [(F.col(c) >= start) & (F.col(c) < start + size) for c in ("ly", "ry")]
+    return matches.where(inside[0] & inside[1])
+
+
 def turned(matches: DataFrame, yaws: DataFrame, width: int) -> DataFrame:
     """Matches with the right image turned by its pair's yaw(pair_id, best_yaw); pairs without a yaw stay as they are."""
     shift = F.rint(F.pmod(F.coalesce("best_yaw", F.lit(0)), F.lit(360)) / 360.0 * width)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import with_backoff
+
 SCHEMA = "id string, data binary, error string"
 
 
@@ -28,6 +30,19 @@ def fetch(ids: DataFrame, get: Callable[[str], bytes | None], at_once: int = 8)
     return ids.select("id").distinct().repartition(at_once).mapInPandas(run, SCHEMA)
 
 
+def polite(get: Callable[[str], object], delay: float = 0.1, retries: int = 5, wait: float = 60.0) -> Callable[[str], bytes | None]:
+    """get with a delay before each request, waits while it answers 429, and the answer's bytes (or the bytes that get gives)."""
+
+    def paced(id_: str) -> bytes | None:
+        answer = with_backoff(lambda: get(id_), delay, retries, wait)
+        code = getattr(answer, "status_code", 200)
+        if code != 200:
+            raise OSError(f"status {code}")
+        return getattr(answer, "content", answer)
+
+    return paced
+
+
 def fetch_missing(ids: DataFrame, stored: DataFrame, get: Callable[[str], bytes | None], at_once: int = 8) -> DataFrame:
     """What the store lacks; stored rows with an error are tried again."""
     good = stored.where("error is null").select("id")

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 
 from parallaxis import app
-from parallaxis.operators import raster, results
+from parallaxis.operators import features, masks, matches, raster, results
+from parallaxis.sources import fetch
 
 WKT = "POLYGON((24.9 60.1, 25.1 60.1, 25.1 60.3, 24.9 60.3, 24.9 60.1))"
 IMAGE = "id string, lat double, lon double, compass_angle double, is_pano boolean, captured_at long"
@@ -60,6 +61,83 @@ def test_csv_sample_and_decile_runs(spark, world, capsys):
     assert "'images': 6" in capsys.readouterr().out
 
 
+def picture(id_, size):
+    """A fetcher: bytes of one image, none of another."""
+    if id_ == "i3":
+        raise OSError("gone")
+    return f"{id_} {size}".encode()
+
+
+def test_panorama_run_turns_masks_and_matches(spark, world):
+    """The right image is the left one, turned by 90 degrees: after the search, distances vanish and masks agree."""
+    width, height = 360, 40
+    found = [("i0", "i1", n, 23.0 * n % width, 7.0 * n % height, (23.0 * n + 90) % width, 7.0 * n % height) for n in range(40)]
+    spark.createDataFrame(found, "id_left string, id_right string, kp int, lx double, ly double, rx double, ry double").write.parquet(str(world / "pano"))
+    label = lambda x, y: (x // 20 + y // 10) % 9
+    cells = [("i0", "i1", y, x, label(x, y), label((x - 90) % width, y)) for y in range(0, height, 4) for x in range(width)]
+    spark.createDataFrame(cells, "id_left string, id_right string, y int, x int, left_label int, right_label int").write.parquet(str(world / "pixels"))
+    names = ("brightness", "median_brightness", "dark_fraction", "contrast", "sharpness", "noise")
+    spark.createDataFrame([("i0", *[1.0] * 6), ("i1", *[2.0] * 6)], "image_id string, " + ", ".join(f"{n} double" for n in names)).write.parquet(str(world / "quality"))
+    (world / "one.csv").write_text("filename_left,filename_right\ni0.png,i1.png\n")
+    words = ["csv", "--input-csv", str(world / "one.csv"), "--matches", str(world / "pano"), "--pixels", str(world / "pixels"), "--quality", str(world / "quality"),
+             "--frame", "360", "40", "--segmentation", "--panorama", "--crop-keep", "1", "--profile-timing", "--ignore-temporary"]
+    app.main([*words, "--panorama-semantic-rerank", "--output", str(world / "turned")])
+    row = spark.read.parquet(str(world / "turned")).first()
+    assert row["best_yaw_deg"] == 90 and row["panorama_alignment_method"].endswith("+semantic_rerank")
+    assert row["lightglue_avg_distance"] < 1e-9 < row["orig_lightglue_avg_distance"] and row["brightness_right"] == 2.0
+    assert row["seg_overlap_mean_iou"] == 1.0 and row["lightglue_homography_inliers"] == 40
+    assert "pairs_and_metrics" in json.loads((world / "turned_manifest.json").read_text())["extra"]["seconds"]
+    app.main([*words, "--panorama-fast-yaw", "--no-image-metrics", "--no-segmentation", "--output", str(world / "fast")])
+    row = spark.read.parquet(str(world / "fast")).first()
+    assert row["best_yaw_deg"] == 90 and row["panorama_alignment_method"] == "keypoint_one_shot" and "brightness_left" not in row
+    assert row["seg_overlap_mean_iou"] is None
+
+
+def test_fov_run_crops_both_images(spark, world):
+    """The right image shows the left one's middle, twice as large."""
+    rng = np.random.default_rng(4)
+    spots = rng.uniform(0, 1, (60, 2)) * [50, 30] + [25, 15]
+    found = [("i0", "i1", n, x, y, (x - 25) * 2, (y - 15) * 2) for n, (x, y) in enumerate(spots.tolist())]
+    spark.createDataFrame(found, "id_left string, id_right string, kp int, lx double, ly double, rx double, ry double").write.parquet(str(world / "fov"))
+    label = lambda x, y: int(x // 8 + y // 6) % 7
+    cells = [("i0", "i1", y, x, label(x, y), label(x / 2 + 25, y / 2 + 15)) for y in range(60) for x in range(100)]
+    spark.createDataFrame(cells, "id_left string, id_right string, y int, x int, left_label int, right_label int").write.parquet(str(world / "fov_pixels"))
+    (world / "one.csv").write_text("filename_left,filename_right\ni0.png,i1.png\n")
+    app.main(["csv", "--input-csv", str(world / "one.csv"), "--matches", str(world / "fov"), "--pixels", str(world / "fov_pixels"), "--frame", "100", "60",
+              "--segmentation", "--scale-search", "--scale-reproject", "--output", str(world / "cropped"), "--fetcher", "tests.test_app:picture", "--request-delay", "0"])
+    row = spark.read.parquet(str(world / "cropped")).first()
+    assert 0.2 < row["fov_left_retained_fraction"] < 0.35 and row["fov_right_retained_fraction"] > 0.9
+    assert row["lightglue_avg_distance"] < 0.03 < row["orig_lightglue_avg_distance"] and row["lightglue_keypoint_hull_iou"] == row["orig_lightglue_keypoint_hull_iou"]
+    assert row["scale_reproject_seg_overlap_mean_iou"] > 0.9 > row["orig_seg_overlap_mean_iou"] and row["seg_overlap_mean_iou"] > 0.7
+    stored = {r["id"]: r for r in spark.read.parquet(str(world / "cropped_images")).collect()}
+    assert bytes(stored["i0"]["data"]) == b"i0 2048" and stored["i1"]["error"] is None
+
+
+def test_sky_and_narrow_masks(spark):
+    frame = features.Frame(20, 20, sky=(10,), mask_width=10, mask_height=10)
+    found = spark.createDataFrame([(1, n, 10.0, y, 10.0, 18.0) for n, y in enumerate((0.0, 7.0, 19.0))] + [(2, 9, 1.0, 1.0, 1.0, 1.0)], "pair_id int, kp int, lx double, ly double, rx double, ry double")
+    pixels = spark.createDataFrame([(1, y, x, 10 if y < 5 else 0, 0) for y in range(10) for x in range(10)], "pair_id int, y int, x int, left_label int, right_label int")
+    kept = lambda boundary: sorted(r["kp"] for r in features.without_sky(found, pixels, frame, boundary).collect())
+    assert kept(0) == [2, 9] and kept(1) == kept(4) == [1, 2, 9] and kept(5) == [0, 1, 2, 9]
+    low, height, width = masks.narrowed(pixels, 10, 10, 5)
+    assert (height, width) == (5, 5) and low.count() == 25 and {(r["y"], r["left_label"]) for r in low.collect()} == {(0, 10), (1, 10), (2, 10), (3, 0), (4, 0)}
+    assert masks.narrowed(pixels, 10, 10, None)[0] is pixels
+    band = matches.in_band(found, 20, 0.5)
+    assert sorted(r["kp"] for r in band.collect()) == []
+    assert sorted(r["kp"] for r in matches.in_band(found, 20, 0.5, -1.0).collect()) == [2]
+
+
+def test_polite_requests():
+    class Answer:
+        def __init__(self, code, content=b""):
+            self.status_code, self.content = code, content
+
+    answers = iter([Answer(429), Answer(200, b"x")])
+    assert fetch.polite(lambda i: next(answers), 0, 3, 0)("a") == b"x"
+    with pytest.raises(OSError):
+        fetch.polite(lambda i: Answer(404), 0, 3, 0)("a")
+
+
 def test_warps():
     rng = np.random.default_rng(2)
     image = np.repeat(np.repeat(rng.integers(0, 255, (12, 16, 3)), 5, axis=0), 5, axis=1).astype(np.uint8)
