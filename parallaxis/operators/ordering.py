@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,31 +33,28 @@ def tile_pair(left: str = "l", right: str = "r") -> Column:
 def round_robin(rows: DataFrame, bucket: Column, key: Column, seed: int = 42) -> DataFrame:
     """Column turn: each bucket's rows in hash order; column turn_key: the order of buckets within a turn.
 
-    Sorting by (turn, turn_key) goes round the buckets, each time in another order.
+    Sorting by (turn, turn_key) goes round the buckets, each time in another order. A bucket of any
+    size is numbered by many tasks.
     """
     name = F.coalesce(bucket.cast("string"), F.lit("none"))
     step = rows.withColumns({"__bucket": name, "__key": seeded(seed, key)})
-    step = step.withColumn("turn", F.row_number().over(Window.partitionBy("__bucket").orderBy("__key")))
+    step = positions(step, "__key", name="turn", within=("__bucket",)).withColumn("turn", F.col("turn") + 1)
     return step.withColumn("turn_key", seeded(seed, F.col("turn").cast("string"), F.col("__bucket"))).drop("__bucket", "__key")
 
 
-def positions(rows: DataFrame, *order: str, name: str = "position") -> DataFrame:
-    """0, 1, 2, ... in an order: range partitions, numbered inside and shifted by the sizes of those before.
+def positions(rows: DataFrame, *order: str, name: str = "position", within: Sequence[str] = ()) -> DataFrame:
+    """0, 1, 2, ... in an order, within groups if given: range partitions, numbered inside and shifted by the sizes of those before.
 
     The partitions are written to a scratch table first: their bounds come from samples, and must be
-    the same for the sizes and for the rows. No task sees more than its own range.
+    the same for the sizes and for the rows. No task sees more than its own range, whatever a group's size.
     """
-    spark = rows.sparkSession
-    path = scratch.folder(spark, "ranges")
-    dealt = rows.repartitionByRange(*(F.col(c) for c in order)).withColumn("__part", F.spark_partition_id())
-    dealt.write.parquet(path)
-    parts = spark.read.schema(dealt.schema).parquet(path)
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
-    # as many rows as there are partitions
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    numbered = parts.withColumn("__at", place).join(shifts, "__part")
+    parts = scratch.written(rows.repartitionByRange(*(F.col(c) for c in (*within, *order))).withColumn("__part", F.spark_partition_id()), "ranges")
+    sizes = parts.groupBy(*within, "__part").agg(F.count(F.lit(1)).alias("__size"))
+    # as many rows as there are partitions and groups
+    before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(*within, "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__shift"))
+    place = F.row_number().over(Window.partitionBy(*within, "__part").orderBy(*order))
+    numbered = parts.withColumn("__at", place).join(shifts, [*within, "__part"])
     return numbered.withColumn(name, F.col("__at") + F.col("__shift") - 1).drop("__part", "__at", "__shift")
 
 

@@ -79,14 +79,6 @@ def year_groups_ok(
 LEAST_CELL = 0.01
 
 
-def numbered(images: DataFrame, name: str) -> DataFrame:
-    """Images with a number each, written, so that every reader sees the same numbers."""
-    path = scratch.folder(images.sparkSession, "numbered")
-    rows = images.withColumn(name, F.monotonically_increasing_id())
-    rows.write.parquet(path)
-    return images.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 def nearby_pairs(
     images: DataFrame, most_m: float = 2.5, order: str = "id", extra: Column | None = None, distinct: bool = False
 ) -> DataFrame:
@@ -102,9 +94,9 @@ def nearby_pairs(
     """
     row = F.struct(*images.columns)
     if distinct:
-        cells, rank = planar(images), F.struct(F.col(order))
+        cells, rank = planar(images), F.col(order)
     else:
-        cells, rank = planar(numbered(images, "__number")), F.struct(F.col(order), F.col("__number"))
+        cells, rank = planar(scratch.written(images.withColumn("__number", F.monotonically_increasing_id()), "numbered")), F.struct(F.col(order), F.col("__number"))
     width = max(most_m, LEAST_CELL)
     cells = cells.withColumns({"cx": F.floor(F.col("x") / width), "cy": F.floor(F.col("y") / width)})
     home = cells.select(row.alias("l"), rank.alias("before"), "x", "y", "cx", "cy")

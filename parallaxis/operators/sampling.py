@@ -9,9 +9,41 @@ from pyspark.sql import functions as F
 
 from ..functions import timeparts
 from ..functions.text import number
+from ..sources import scratch
 from .ordering import seeded
 
 
+def quantile_edges(values: DataFrame, bins: int) -> DataFrame:
+    """values(metric, value) to (metric, edges): the exact quantiles at 0, 1/bins, ..., interpolated, equal ones merged.
+
+    Values are counted, laid out by range and summed up range by range, so that no task holds a whole metric.
+    """
+    counts = values.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("n"))
+    parts = scratch.written(counts.repartitionByRange("metric", "value").withColumn("part", F.spark_partition_id()), "counts")
+    sizes = parts.groupBy("metric", "part").agg(F.sum("n").alias("size"))
+    # as many rows as there are partitions and metrics
+    whole = Window.partitionBy("metric")
+    before = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("metric", "part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift"), F.sum("size").over(whole).alias("total"))
+    up_to = F.sum("n").over(Window.partitionBy("metric", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    placed = parts.withColumn("up_to", up_to).join(shifts, ["metric", "part"])
+    end, wanted = F.col("up_to") + F.col("shift"), F.array(*map(F.lit, range(bins + 1)))
+
+    def at(i: Column) -> Column:
+        return (F.col("total") - 1) * i / bins
+
+    def here(place: Column) -> Column:
+        return (place >= end - F.col("n")) & (place < end)
+
+    hits = F.filter(wanted, lambda i: here(F.floor(at(i))) | here(F.ceil(at(i))))
+    found = placed.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("i", F.explode("hits")).withColumn("at", at(F.col("i")))
+    low = F.max(F.when(here(F.floor("at")), F.col("value")))
+    high = F.max(F.when(here(F.ceil("at")), F.col("value")))
+    edge = F.when(F.floor("at") == F.ceil("at"), F.col("low")).otherwise((F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
+    each = found.groupBy("metric", "i", "at").agg(low.alias("low"), high.alias("high")).select("metric", edge.alias("edge"))
+    return each.groupBy("metric").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
+
+
 def deciles(rows: DataFrame, metrics: Sequence[str], id_: Sequence[str], bins: int = 10) -> DataFrame:
     """(ids, metric, value, decile): quantile bins of each metric's finite values, equal edges merged.
 
@@ -21,9 +53,7 @@ def deciles(rows: DataFrame, metrics: Sequence[str], id_: Sequence[str], bins: i
         *id_, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), number(F.col(m)).alias("value")) for m in metrics))).alias("x")
     ).select(*id_, "x.metric", "x.value")
     finite = long.where(F.col("value").isNotNull() & (F.abs("value") != float("inf")))
-    points = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
-    edges = finite.groupBy("metric").agg(F.array_distinct(F.percentile("value", points)).alias("edges"))
-    edges = edges.where(F.size("edges") > 1)
+    edges = quantile_edges(finite.select("metric", "value"), bins).where(F.size("edges") > 1)
     below = F.size(F.filter("edges", lambda e: e < F.col("value")))
     # one row a metric
     return finite.join(F.broadcast(edges), "metric").select(
@@ -35,11 +65,11 @@ def decile_label(decile: Column) -> Column:
     return F.format_string("p%02d_%03d", decile * 10, (decile + 1) * 10)
 
 
-def per_group(rows: DataFrame, groups: Sequence[str], n: int | Column, key: Column) -> DataFrame:
-    """The first n of each group in key order."""
+def per_group(rows: DataFrame, groups: Sequence[str], n: int, key: Column, limit: Column | None = None) -> DataFrame:
+    """The first n of each group in key order, or as many of them as a limit says; no partition passes on more than n of a group."""
     place = F.row_number().over(Window.partitionBy(*groups).orderBy(key))
-    limit = n if isinstance(n, Column) else F.lit(n)
-    return rows.withColumn("__place", place).where(F.col("__place") <= limit).drop("__place")
+    first = rows.withColumn("__place", place).where(F.col("__place") <= n)
+    return (first if limit is None else first.where(F.col("__place") <= limit)).drop("__place")
 
 
 def decile_sample(rows: DataFrame, metrics, id_: Sequence[str], n: int, seed: int = 42) -> DataFrame:
@@ -131,4 +161,4 @@ def quota_sample(images: DataFrame, groups: dict[str, Column], target: int, exis
     once = once.withColumn("__use", F.row_number().over(first)).where("__use = 1").drop("__use", "__rank")
     quota = plan(images, groups, target, existing).select("year_group", "remaining")
     # one row a stratum
-    return per_group(once.join(F.broadcast(quota), "year_group"), ["year_group"], F.col("remaining"), seeded(seed, F.col("id"))).drop("remaining")
+    return per_group(once.join(F.broadcast(quota), "year_group"), ["year_group"], target, seeded(seed, F.col("id")), F.col("remaining")).drop("remaining")

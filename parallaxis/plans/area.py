@@ -402,7 +402,7 @@ QUERIES = {
     ),
     "round_robin_order": (
         round_robin_order,
-        f"""WITH {_ROUND} SELECT id, year, CAST(turn AS INTEGER) AS turn,
+        f"""WITH {_ROUND} SELECT id, year, turn,
         row_number() OVER (ORDER BY turn, md5('42:' || turn || ':' || coalesce(CAST(year AS VARCHAR), 'none'))) - 1 AS position FROM turns""",
     ),
     "balanced_pairs": (
@@ -414,7 +414,7 @@ QUERIES = {
                  [CAST(floor((llon + 180) / 360 * 262144) AS BIGINT), CAST(floor((1 - asinh(tan(radians(llat))) / pi()) / 2 * 262144) AS BIGINT)] AS a,
                  [CAST(floor((rlon + 180) / 360 * 262144) AS BIGINT), CAST(floor((1 - asinh(tan(radians(rlat))) / pi()) / 2 * 262144) AS BIGINT)] AS b FROM b
         ), sizes AS (SELECT count(*) AS n FROM t GROUP BY y0, y1, least(a, b), greatest(a, b))
-        SELECT CAST(turn AS INTEGER) AS turn, count(*) AS n FROM sizes, range(1, n + 1) AS r(turn) GROUP BY turn""",
+        SELECT CAST(turn AS BIGINT) AS turn, count(*) AS n FROM sizes, range(1, n + 1) AS r(turn) GROUP BY turn""",
     ),
     "dry_run_counts": (
         dry_run_counts,

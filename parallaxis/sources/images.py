@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,9 +58,10 @@ def of_type(images: DataFrame, image_type: str) -> DataFrame:
 
 def first_by_id(images: DataFrame, *order: str) -> DataFrame:
     """One row per id, the first in tile order (then the given columns); blank ids go."""
-    place = Window.partitionBy("id").orderBy("tile_z", "tile_x", "tile_y", *order)
     named = images.where(F.col("id").isNotNull() & (F.col("id") != ""))
-    return named.withColumn("__first", F.row_number().over(place)).where("__first = 1").drop("__first")
+    # partial minima, so that copies of an id do not travel
+    first = F.min_by(F.struct(*images.columns), F.struct("tile_z", "tile_x", "tile_y", *order))
+    return named.groupBy("id").agg(first.alias("__first")).select("__first.*")
 
 
 def scan_area(images: DataFrame, wkt: str, image_type: str = "all", zoom: int = geo.TILE_ZOOM) -> DataFrame:
