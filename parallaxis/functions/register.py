@@ -1,4 +1,4 @@
-"""The engine's functions for SQL: native SQL functions, one aggregate and one table function."""
+"""The engine's functions for SQL: native SQL functions, aggregates over a pair's matches and one table function."""
 
 from __future__ import annotations
 
@@ -24,7 +24,8 @@ _SQL = {
 
 
 def register(spark: SparkSession, height: int = 512, width: int = 1024) -> None:
-    """Make the functions known to a session: scalar ones, hull_coverage(x, y) and tiles_of(wkt)."""
+    """Make the functions known to a session: scalar ones, tiles_of(wkt), and the aggregates hull_coverage(x, y),
+    hull_iou(lx, ly, rx, ry) and homography_inliers(lx, ly, rx, ry)."""
     for head, body in _SQL.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {head} RETURN {body}")
 
@@ -33,7 +34,21 @@ def register(spark: SparkSession, height: int = 512, width: int = 1024) -> None:
 
         return hull_coverage(pd.concat([x, y], axis=1).to_numpy(float), height, width)
 
-    spark.udf.register("hull_coverage", F.pandas_udf(coverage, "double", F.PandasUDFType.GROUPED_AGG))
+    def overlap(lx: pd.Series, ly: pd.Series, rx: pd.Series, ry: pd.Series) -> float:
+        from ..operators.raster import hull_iou
+
+        left, right = (pd.concat(side, axis=1).to_numpy(float) for side in ([lx, ly], [rx, ry]))
+        return float(hull_iou(left, right, height, width))
+
+    def inliers(lx: pd.Series, ly: pd.Series, rx: pd.Series, ry: pd.Series) -> int:
+        from ..operators.raster import homography_support
+
+        # the sample must not depend on the order of arrival
+        rows = pd.concat([lx, ly, rx, ry], axis=1, keys=["lx", "ly", "rx", "ry"]).sort_values(["lx", "ly", "rx", "ry"])
+        return homography_support(rows[["lx", "ly"]].to_numpy(float), rows[["rx", "ry"]].to_numpy(float))[0]
+
+    for name, function, kind in (("hull_coverage", coverage, "double"), ("hull_iou", overlap, "double"), ("homography_inliers", inliers, "long")):
+        spark.udf.register(name, F.pandas_udf(function, kind))
 
     class Tiles:
         def eval(self, wkt: str):

@@ -187,7 +187,8 @@ def _gray_images(spark, sf):
 
 
 def image_quality(spark, sf):
-    return raster.images_by_row(_gray_images(spark, sf)).drop("error")
+    out = raster.images_by_row(_gray_images(spark, sf)).drop("error")
+    return _rounded(out, 8, "brightness", "median_brightness", "dark_fraction", "contrast", "sharpness", "noise")
 
 
 def sky_heuristic(spark, sf):
@@ -410,6 +411,22 @@ QUERIES = {
     "sky_heuristic": (sky_heuristic, None),
     "hull_coverage": (hull_coverage, None),
     "homography_ransac": (homography_ransac, None),
-    "image_quality": (image_quality, None),
+    "image_quality": (
+        image_quality,
+        """WITH p AS (
+          SELECT vec_id AS image_id, i // 16 AS y, i % 16 AS x, (CAST(trunc(embedding[i % 64 + 1] * 997::FLOAT) AS INTEGER) % 256 + 256) % 256 AS v
+          FROM embeddings, range(256) AS r(i)
+        ), s AS (SELECT dy, dx FROM (VALUES (-1), (0), (1)) AS a(dy), (VALUES (-1), (0), (1)) AS b(dx)
+        ), n AS (
+          SELECT a.image_id, a.y, a.x, any_value(a.v) AS v, quantile_cont(b.v, 0.5) AS m FROM p AS a, s JOIN p AS b
+          ON b.image_id = a.image_id AND b.y = least(15, greatest(0, a.y + dy)) AND b.x = least(15, greatest(0, a.x + dx)) GROUP BY a.image_id, a.y, a.x
+        ), l AS (
+          SELECT a.image_id, a.y, a.x, sum(b.v) - 4 * any_value(a.v) AS v FROM p AS a, s JOIN p AS b
+          ON b.image_id = a.image_id AND b.y = 15 - abs(15 - abs(a.y + dy)) AND b.x = 15 - abs(15 - abs(a.x + dx)) WHERE abs(dy) + abs(dx) = 1 GROUP BY a.image_id, a.y, a.x
+        ), k AS (SELECT image_id, var_pop(v) AS sharpness FROM l GROUP BY 1)
+        SELECT image_id, round(avg(v), 8) AS brightness, round(quantile_cont(v, 0.5), 8) AS median_brightness, round(avg(CAST(v < 80 AS DOUBLE)), 8) AS dark_fraction,
+               round(stddev_pop(v), 8) AS contrast, round(any_value(sharpness), 8) AS sharpness, round(avg(abs(v - m)), 8) AS noise
+        FROM n JOIN k USING (image_id) GROUP BY image_id""",
+    ),
     "perspective_views": (perspective_views, None),
 }

@@ -17,7 +17,7 @@ def stream_resume(spark, sf):
     source, sink, checkpoint = (scratch.folder(spark, n) for n in ("pairs", "appended", "checkpoint"))
     pairs.repartition(3).write.parquet(source)
     # the second delivery repeats the first one
-    pairs.where("cast(id_left as long) % 2 = 0").coalesce(1).write.mode("append").parquet(source)
+    pairs.where("cast(id_left as long) % 2 = 0").write.mode("append").parquet(source)
     done = pairs.where("cast(id_left as long) % 3 = 0").select(F.col("id_right").alias("id_left"), F.col("id_left").alias("id_right"))
     arriving = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(source)
     query = incremental.append_pending(arriving, sink, checkpoint, lambda rows: rows, done)

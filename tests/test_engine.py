@@ -339,6 +339,9 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) FROM tiles_of('POLYGON((0 0, 0.1 0, 0.1 0.1, 0 0))')").first()[0] > 0
     box = "(VALUES (0D, 0D), (1023D, 0D), (1023D, 511D), (0D, 511D)) AS t(x, y)"
     assert spark.sql(f"SELECT hull_coverage(x, y) FROM {box}").first()[0] == 1.0
+    assert spark.sql(f"SELECT hull_iou(x, y, x, y) FROM {box}").first()[0] == 1.0
+    spots = ", ".join(f"({(i * 37) % 101}D, {(i * 53) % 97}D)" for i in range(20))
+    assert spark.sql(f"SELECT homography_inliers(x, y, x + 5, y - 3) FROM (VALUES {spots}) AS t(x, y)").first()[0] == 20
 
 
 def test_model_interfaces(spark):
