@@ -9,8 +9,10 @@ re-encodes only the pieces around it.
 
 The pieces are the matches of the pattern; a piece that is itself in the vocabulary is
 one token, as the ranks' own library has it. Null text counts as empty (no tokens).
-Repeated rows are encoded each. Texts of any length are encoded whole; memory is one
-text, its tokens and a bounded cache of pieces.
+Repeated rows are encoded each; an empty table gives no rows. Texts of any length are
+encoded whole; memory is one text, its tokens and a bounded cache of pieces. Of two merges
+with one rank the left one comes first. Columns other than doc_id and text play no part,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Quality rules of documents and of their hosts, in DataFrame functions only.
 
 Each document gets counts (words, symbols, repeated lines, words in repeated 8-word
-windows) and rule failures from them. Failures are added up by host (source); a
+windows) and rule failures from them. Failures are added up by host (the host of source
+where that is a URL, else source itself, which stands for one); a
 beta prior fitted to all hosts by moments shrinks each host's failure rates, so a
 host with few documents stays near the common rate. A host whose shrunk rate of any
 rule is above one half beyond doubt (DOUBT posterior deviations) is rejected, and
@@ -11,7 +12,9 @@ Repeated windows are found per text: windows are hashed, and only texts with an
 pair of hashes sort them; equal neighbours are then compared word by word.
 
 Null text counts as empty: no words, so it fails. A null source has no host verdict.
-Repeated rows and ids are judged each. An empty table gives an empty result.
+Repeated rows and ids are judged each. Hosts of equal rates get equal verdicts. Texts of
+any length are counted whole. An empty table gives an empty result. Columns other than
+doc_id, text and source play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -66,11 +69,17 @@ def _repeated_words() -> Column:
     return F.element_at(F.transform(bound, covered), 1)
 
 
+def host_of(source: Column) -> Column:
+    """The host of a URL in small letters; whatever else it is stays as it is."""
+    host = F.lower(F.regexp_extract(source, r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+    return F.when(host != "", host).otherwise(source)
+
+
 def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the counts of each row. No shuffle."""
+    """doc_id, source (its host) and the counts of each row. No shuffle."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: x.rlike(WORD_CLASS))
-    step = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), text.alias("text"))
+    step = docs.select(F.col("doc_id").cast("long"), host_of(F.col("source").cast("string")).alias("source"), text.alias("text"))
     step = step.select("doc_id", "source", "text", words(F.col("text")).alias("words"), lines.alias("lines"))
     step = step.withColumn("word_hashes", F.transform("words", lambda w: F.xxhash64(w)))
     starts = F.when(F.size("words") >= WINDOW, F.sequence(F.lit(0), F.size("words") - WINDOW))

@@ -89,7 +89,8 @@ def brute_quality(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
 
 
-def test_quality_counts(docs):
+def test_quality_counts(docs, clashing):
+    assert quality_rules.judge(clashing).count() == docs.count()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     got = quality_rules.judge(docs).select("doc_id", *names, "base_failed", "kept").collect()
     want = Counter((r[0], *brute_quality(r[1])) for r in corpus())
@@ -109,6 +110,9 @@ def test_bad_host_takes_its_documents_along(spark):
     assert got[5001]["kept"], "two documents are no evidence against a host"
     assert got[5002]["kept"] and got[100]["kept"]
     assert quality_rules.judge(empty(spark)).count() == 0
+    urls = [("https://User@Example.org:80/a?b", "example.org"), ("http://example.org", "example.org"), ("src1", "src1"), (None, None), ("a://", "a://")]
+    df = spark.createDataFrame([u[:1] for u in urls], "source string").select(quality_rules.host_of(F.col("source")).alias("host"))
+    assert [r["host"] for r in df.collect()] == [u[1] for u in urls]
     assert quality_rules.beta_prior(None, None) == (1.0, 1.0)
 
 
