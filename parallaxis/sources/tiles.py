@@ -3,8 +3,9 @@
     spark.dataSource.register(TileSource)
     spark.read.format("image_tiles").option("wkt", "POLYGON((...))").option("fetch", "package.module:function").load()
 
-The fetcher gets (z, x, y) and yields dicts with the schema's names; networks, files and
-fixtures are all the same to the engine.
+The fetcher gets (z, x, y) and yields dicts with the schema's names, or gives the bytes of a
+vector tile, whose points in option "layer" are decoded; networks, files and fixtures are
+all the same to the engine. Options delay, retries and wait pace the fetcher.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import geo
+from .vector_tiles import points
 
 FIELDS = ("id", "lat", "lon", "compass_angle", "is_pano", "captured_at", "tile_z", "tile_x", "tile_y")
 
@@ -40,7 +42,8 @@ class TileReader(DataSourceReader):
     def __init__(self, options: dict):
         self.zoom = int(options.get("zoom", geo.TILE_ZOOM))
         self.range = geo.tile_range(options["wkt"], self.zoom)
-        self.fetch = options["fetch"]
+        self.fetch, self.layer = options["fetch"], options.get("layer", "image")
+        self.pace = (float(options.get("delay", 0)), int(options.get("retries", 5)), float(options.get("wait", 60)))
 
     def partitions(self) -> list[InputPartition]:
         x0, x1, y0, y1 = self.range
@@ -49,8 +52,13 @@ class TileReader(DataSourceReader):
     def read(self, partition: _Tile) -> Iterator[tuple]:
         module, _, name = self.fetch.partition(":")
         fetch = getattr(importlib.import_module(module), name)
-        for row in fetch(partition.z, partition.x, partition.y):
-            row = {**row, "tile_z": partition.z, "tile_x": partition.x, "tile_y": partition.y}
+        where = (partition.z, partition.x, partition.y)
+        answer = with_backoff(lambda: fetch(*where), *self.pace)
+        answer = getattr(answer, "content", answer)
+        for row in points(answer, *where, self.layer) if isinstance(answer, bytes) else answer:
+            row = {**row, **dict(zip(("tile_z", "tile_x", "tile_y"), where, strict=True))}
+            if row.get("id") is not None:
+                row["id"] = str(row["id"])
             yield tuple(row.get(f) for f in FIELDS)
 
 

@@ -15,7 +15,7 @@ from parallaxis.functions.register import register
 from parallaxis.operators import masks, matches, ordering, pairing, raster, results, sampling
 from parallaxis.operators.models import BatchModel, TableMatcher, TableSegmenter, sampler_fields, with_stored
 from parallaxis.sources import images as scans
-from parallaxis.sources import pair_tables, tiles
+from parallaxis.sources import pair_tables, tiles, vector_tiles
 
 IMAGE = "id string, lat double, lon double, compass_angle double, is_pano boolean, captured_at long"
 Y2020, Y2024 = 1577836800000, 1704067200000
@@ -317,6 +317,47 @@ def fetch_tile(z, x, y):
     yield {"id": f"{x}-{y}", "lat": 60.1, "lon": 24.9, "is_pano": True}
 
 
+def _number(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _part(field, data):
+    return _number(field << 3 | 2) + _number(len(data)) + data
+
+
+def vector_tile(z, x, y):
+    """A tile of two layers; one image a quarter into the tile, and two in one feature."""
+    zigzag = lambda n: n * 2 if n >= 0 else -2 * n - 1
+    points = lambda *steps: _part(4, b"".join(_number(n) for n in (len(steps) << 3 | 1, *(zigzag(v) for s in steps for v in s))))
+    tags = lambda *n: _part(2, bytes(n))
+    keys = b"".join(_part(3, k) for k in (b"compass_angle", b"captured_at", b"is_pano", b"id"))
+    values = [b"\x19" + np.float64(12.5).tobytes(), _number(5 << 3) + _number(1577836800000), _number(7 << 3) + b"\x01", _number(6 << 3) + _number(13), _number(4 << 3) + _number(99)]
+    one = _part(2, tags(0, 0, 1, 1, 2, 2, 3, 4) + _number(3 << 3) + b"\x01" + points((1024, 1024)))
+    two = _part(2, _number(1 << 3) + _number(300) + tags(1, 3) + _number(3 << 3) + b"\x01" + points((0, 0), (4096, -10)))
+    line = _part(2, _number(3 << 3) + b"\x02" + points((5, 5)))
+    layer = _part(1, b"image") + one + two + line + keys + b"".join(_part(4, v) for v in values) + _number(5 << 3) + _number(4096) + _number(15 << 3) + b"\x02"
+    return _part(3, _part(1, b"sequence") + one) + _part(3, layer)
+
+
+def test_vector_tiles(spark):
+    x, y = (int(spark.range(1).select(f(F.lit(v), 14)).first()[0]) for f, v in ((geo.tile_x, 24.93), (geo.tile_y, 60.16)))
+    west, south, east, north = vector_tiles.tile_bounds(14, x, y)
+    assert west <= 24.93 < east and south < 60.16 <= north
+    rows = list(vector_tiles.points(vector_tile(14, x, y), 14, x, y, "image"))
+    assert len(rows) == 3 and {k: rows[0][k] for k in ("compass_angle", "captured_at", "is_pano", "id")} == {"compass_angle": 12.5, "captured_at": 1577836800000, "is_pano": True, "id": 99}
+    assert rows[1]["id"] == 300 and rows[1]["captured_at"] == -7 and rows[2]["lon"] == east and rows[2]["lat"] > north
+    lon, lat = geo.tile_position(F.lit(1024), F.lit(1024), *(F.lit(v) for v in (west, east, north, south)))
+    assert spark.range(1).select(lon, lat).first() == (rows[0]["lon"], rows[0]["lat"])
+    assert list(vector_tiles.points(vector_tile(14, x, y), 14, x, y, "none")) == []
+    spark.dataSource.register(tiles.TileSource)
+    wkt = f"POLYGON(({west + 1e-4} {south + 1e-4}, {east - 1e-4} {south + 1e-4}, {east - 1e-4} {north - 1e-4}, {west + 1e-4} {south + 1e-4}))"
+    df = spark.read.format("image_tiles").option("wkt", wkt).option("fetch", "tests.test_engine:vector_tile").load()
+    assert {r["id"] for r in df.collect()} == {"99", "300"} and df.where("id = '99'").first()["tile_x"] == x
+
+
 def test_tile_source_reads_one_partition_a_tile(spark):
     spark.dataSource.register(tiles.TileSource)
     wkt = "POLYGON((24.93 60.16, 24.96 60.16, 24.96 60.17, 24.93 60.16))"
