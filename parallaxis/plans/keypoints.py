@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import features
@@ -200,20 +199,14 @@ def sky_heuristic(spark, sf):
 
 
 def perspective_views(spark, sf):
-    """Mean brightness of four views out of small panoramas, as a check of the projection."""
-    import pandas as pd
-
-    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"), F.explode(F.array(*map(F.lit, (0, 90, 180, 270)))).alias("yaw"))
-
-    def run(batches):
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                pano = np.add.outer(np.arange(32), np.arange(64) * (r.image_id % 4)).astype(np.uint8)[..., None]
-                out.append((r.image_id, r.yaw, float(raster.perspective(pano, r.yaw, size=(16, 16)).mean())))
-            yield pd.DataFrame(out, columns=["image_id", "yaw", "mean"])
-
-    return rows.mapInPandas(run, "image_id long, yaw int, mean double")
+    """Mean brightness of four views out of panoramas of 32 x 64 grey pixels, one for each supplier."""
+    step = F.col("image_id") % 4
+    grey = F.transform(F.sequence(F.lit(0), F.lit(32 * 64 - 1)), lambda i: F.lpad(F.hex(F.floor(i / 64) + (i % 64) * step), 2, "0"))
+    rows = fx.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("image_id"), F.lit(32).alias("height"), F.lit(64).alias("width"))
+    views = raster.perspectives_by_row(rows.withColumn("data", F.unhex(F.array_join(grey, ""))), size=(16, 16))
+    shades = views.select("image_id", F.col("yaw").cast("int").alias("yaw"), F.explode(F.split(F.hex("data"), "(?<=\\G..)")).alias("h"))
+    shades = shades.where("h <> ''").select("image_id", "yaw", F.conv("h", 16, 10).cast("int").alias("v"))
+    return _rounded(shades.groupBy("image_id", "yaw").agg(F.avg("v").alias("mean")), 8, "mean")
 
 
 _VOTES = f"""offsets AS (SELECT pair_id, (((rx - lx) / 1024 * 360.0) % 360 + 360) % 360 AS o FROM use),
@@ -428,5 +421,19 @@ QUERIES = {
                round(stddev_pop(v), 8) AS contrast, round(any_value(sharpness), 8) AS sharpness, round(avg(abs(v - m)), 8) AS noise
         FROM n JOIN k USING (image_id) GROUP BY image_id""",
     ),
-    "perspective_views": (perspective_views, None),
+    "perspective_views": (
+        perspective_views,
+        """WITH ray AS (
+          SELECT s_suppkey AS image_id, s_suppkey % 4 AS step, yaw, i - 7.5::DOUBLE AS x, j - 7.5::DOUBLE AS y, sqrt(pow(i - 7.5, 2) + pow(j - 7.5, 2) + 64) AS n
+          FROM supplier, range(16) AS a(i), range(16) AS b(j), (VALUES (0), (90), (180), (270)) AS q(yaw)
+        ), spot AS (
+          SELECT image_id, step, yaw, (atan2((cos(radians(yaw)) * x + sin(radians(yaw)) * 8) / n, (cos(radians(yaw)) * 8 - sin(radians(yaw)) * x) / n) / (2 * pi()) + 0.5) * 64 AS u,
+                 greatest(0, least(31, (asin(y / n) / pi() + 0.5) * 32)) AS v FROM ray
+        ), near AS (
+          SELECT image_id, step, yaw, u - floor(u) AS fu, v - floor(v) AS fv, (CAST(floor(u) AS INTEGER) % 64 + 64) % 64 AS l, (CAST(floor(u) AS INTEGER) % 64 + 65) % 64 AS r,
+                 CAST(floor(v) AS INTEGER) AS t, least(31, CAST(floor(v) AS INTEGER) + 1) AS b FROM spot
+        )
+        SELECT image_id, CAST(yaw AS INTEGER) AS yaw, round(avg(round_even(((t + l * step) * (1 - fu) + (t + r * step) * fu) * (1 - fv) + ((b + l * step) * (1 - fu) + (b + r * step) * fu) * fv, 0)), 8) AS mean
+        FROM near GROUP BY image_id, yaw""",
+    ),
 }

@@ -156,6 +156,24 @@ def test_warps():
     assert raster.side_by_side(image, image[:30]).shape[0] == 30 + 34
 
 
+def test_table_forms_of_image_work(spark):
+    """Each row gives what the array function gives."""
+    rng = np.random.default_rng(9)
+    flat = np.repeat(np.repeat(rng.integers(0, 255, (12, 16, 3)), 5, axis=0), 5, axis=1).astype(np.uint8)
+    images = spark.createDataFrame([(n, 60, 80, bytearray(flat.tobytes())) for n in "ab"], "image_id string, height int, width int, data binary")
+    array = lambda r: np.frombuffer(bytes(r["data"]), np.uint8).reshape(r["height"], r["width"], 3)
+    for r in raster.perspectives_by_row(images, (0, 45), size=(20, 10)).collect():
+        assert np.array_equal(array(r), raster.perspective(flat, r["yaw"], size=(20, 10)))
+    assert all(np.array_equal(array(r), raster.crop_band(flat, 0.5, 0.3)) for r in raster.bands_by_row(images, 0.5, 0.3).collect())
+    assert all(np.array_equal(array(r), raster.leveled(flat)[0]) for r in raster.leveled_by_row(images).collect())
+    h = np.array([[1, 0, 4], [0, 1, -3], [0, 0, 1]], float)
+    src = rng.random((30, 2)) * [79, 59]
+    found = [(7, *p, *q) for p, q in zip(src.tolist(), raster.apply_homography(h, src).tolist(), strict=True)] + [(8, 1.0, 1.0, 1.0, 1.0)]
+    pairs = spark.createDataFrame([(7, "a", "b"), (8, "a", "b"), (9, "a", "x")], "pair_id int, id_left string, id_right string")
+    got = raster.warps_by_pair(images, pairs, spark.createDataFrame(found, "pair_id int, lx double, ly double, rx double, ry double")).collect()
+    assert [(r["pair_id"], r["inliers"]) for r in got] == [(7, 30)] and got[0]["score"] < 0.3
+
+
 def test_horizon():
     gray = np.zeros((120, 200), np.uint8)
     for x in range(200):
