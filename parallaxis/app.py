@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import manifest
 from . import settings as settings_
-from .operators import features, masks, ordering, pairing, results, sampling
+from .operators import features, masks, models, ordering, pairing, raster, results, sampling
 from .settings import Settings
 from .sources import fetch, pair_tables
 from .sources import images as scans
@@ -152,9 +152,12 @@ def sample(images: DataFrame, s: Settings, existing: DataFrame | None = None) ->
     return sampling.quota_sample(rows, groups, s.samples_per_group, existing, s.seed)
 
 
-def decile_manifest(table: DataFrame, metrics: list[str], s: Settings) -> DataFrame:
+def decile_picks(table: DataFrame, metrics: list[str], s: Settings) -> DataFrame:
+    return sampling.decile_sample(table, metrics, list(_KEY), s.samples_per_decile, s.seed)
+
+
+def decile_manifest(picked: DataFrame) -> DataFrame:
     """One JSON document for each sampled pair: metric, decile label, value and ids."""
-    picked = sampling.decile_sample(table, metrics, list(_KEY), s.samples_per_decile, s.seed)
     return picked.select(F.to_json(F.struct("metric", F.col("label").alias("decile"), F.col("value").alias("metric_value"), *_KEY)).alias("value"))
 
 
@@ -171,7 +174,7 @@ def main(words: list[str] | None = None) -> None:
     words = sys.argv[1:] if words is None else words
     parser = argparse.ArgumentParser(prog="parallaxis", description="Georeferenced image pairs on Spark.")
     parser.add_argument("mode", choices=("area", "csv", "sample", "deciles"))
-    for name in ("--config", "--images", "--matches", "--counts", "--results", "--pixels", "--quality", "--classes", "--aligned", "--aligned-quality"):
+    for name in ("--config", "--images", "--matches", "--counts", "--results", "--pixels", "--quality", "--classes", "--aligned", "--aligned-quality", "--shares"):
         parser.add_argument(name)
     parser.add_argument("--fetcher", help="module:function(id, size) that gives an image's bytes; images_dir is their store")
     parser.add_argument("--mask", type=int, nargs=2, metavar=("WIDTH", "HEIGHT"))
@@ -214,11 +217,19 @@ def _run(spark: SparkSession, args, s: Settings, started: datetime) -> dict:
 
     began = time.perf_counter()
     if args.mode == "deciles":
-        decile_manifest(_table(spark, args.results), args.metrics, s).write.mode("overwrite").text(s.output)
+        picked = decile_picks(_table(spark, args.results), args.metrics, s)
+        decile_manifest(picked).write.mode("overwrite").text(s.output)
+        if args.images:  # as arrays: image_id, height, width, data
+            raster.previews_by_pair(picked, _table(spark, args.images)).write.mode("overwrite").parquet(f"{s.output}_previews")
         return {"metrics": args.metrics}
     done = _existing(spark, s.output)
     if args.mode == "sample":
         rows = sample(_table(spark, args.images), s, done)
+        if args.shares:  # id, props and no_temp_props: maps of class to share
+            names = {k: name for k, (name, _) in masks.STREET_CLASSES.items()}
+            if args.classes:
+                names = {r["id"]: r["label"] for r in _table(spark, args.classes).select(F.col("id").cast("int"), "label").collect()}
+            rows = models.sampler_fields(rows.join(_table(spark, args.shares).select("id", "props", "no_temp_props"), "id", "left"), names)
         results.append(rows, s.output, batch)
         return {"mode": "sample"}
     if args.mode == "area":

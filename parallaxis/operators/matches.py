@@ -17,6 +17,11 @@ from ..functions.geo import circular_distance, circular_mean
 
 FENCE = 1.5
 
+# How a yaw was found.
+ONE_SHOT, ONE_SHOT_FAILED = "keypoint_one_shot", "keypoint_one_shot_failed_yaw0"
+ONE_SHOT_REFINED, SEARCHED = "keypoint_one_shot_refine", "coarse_fine_search"
+RERANKED = "+semantic_rerank"
+
 
 #: Places behind the point at which two products count as equal.
 PRODUCT_PLACES = 12
@@ -238,7 +243,7 @@ def one_shot_yaw(votes: DataFrame) -> DataFrame:
     return votes.select(
         "pair_id",
         F.coalesce(F.pmod(F.rint("yaw").cast("int"), F.lit(360)), F.lit(0)).alias("best_yaw"),
-        F.when(F.col("yaw").isNotNull(), "keypoint_one_shot").otherwise("keypoint_one_shot_failed_yaw0").alias("method"),
+        F.when(F.col("yaw").isNotNull(), ONE_SHOT).otherwise(ONE_SHOT_FAILED).alias("method"),
     )
 
 
@@ -289,7 +294,7 @@ def search_yaw(matches: DataFrame, width: int, yaw_step: int = 10) -> DataFrame:
             edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             centres = centres.to_pylist()
             found = [best(flat[:, i:j], c) for i, j, c in zip(edges[:-1], edges[1:], centres, strict=True)]
-            names = ["coarse_fine_search" if c is None else "keypoint_one_shot_refine" for c in centres]
+            names = [SEARCHED if c is None else ONE_SHOT_REFINED for c in centres]
             yield pa.RecordBatch.from_arrays(
                 [pairs, pa.array(found, pa.int32()), pa.array(names, pa.string())], names=["pair_id", "best_yaw", "method"]
             )

@@ -61,6 +61,24 @@ def test_csv_sample_and_decile_runs(spark, world, capsys):
     assert "'images': 6" in capsys.readouterr().out
 
 
+def test_decile_previews_and_sampled_shares(spark, world):
+    rows = [(f"i{a}", f"i{b}", float(a + b / 10)) for a in range(6) for b in range(6) if a < b]
+    spark.createDataFrame(rows, "id_left string, id_right string, lightglue_match_ratio double").write.parquet(str(world / "rated"))
+    images = [(f"i{k}", 4, 6, bytearray([k] * 72)) for k in range(5)]
+    spark.createDataFrame(images, "image_id string, height int, width int, data binary").write.parquet(str(world / "arrays"))
+    app.main(["deciles", "--results", str(world / "rated"), "--images", str(world / "arrays"), "--output", str(world / "picks")])
+    docs = [json.loads(r["value"]) for r in spark.read.text(str(world / "picks")).collect()]
+    shown = spark.read.parquet(str(world / "picks_previews")).collect()
+    assert {(d["id_left"], d["id_right"]) for d in docs if "i5" not in (d["id_left"], d["id_right"])} == {(r["id_left"], r["id_right"]) for r in shown}
+    first = np.frombuffer(bytes(shown[0]["data"]), np.uint8).reshape(shown[0]["height"], shown[0]["width"], 3)
+    assert np.array_equal(first, raster.side_by_side(*(np.full((4, 6, 3), int(shown[0][c][1]), np.uint8) for c in ("id_left", "id_right"))))
+    shares = [("i0", {0: 0.5, 10: 0.5}, {0: 1.0})]
+    spark.createDataFrame(shares, "id string, props map<int,double>, no_temp_props map<int,double>").write.parquet(str(world / "shares"))
+    app.main(["sample", "--area-wkt", WKT, "--images", str(world / "images"), "--shares", str(world / "shares"), "--samples-per-group", "9", "--allow-short", "--output", str(world / "shared")])
+    got = {r["id"]: r for r in spark.read.parquet(str(world / "shared")).collect()}
+    assert got["i0"]["prop_000_road"] == got["i0"]["prop_010_sky"] == 0.5 and got["i0"]["no_temp_prop_000_road"] == 1.0 and got["i1"]["prop_000_road"] == 0.0
+
+
 def picture(id_, size):
     """A fetcher: bytes of one image, none of another."""
     if id_ == "i3":
