@@ -539,21 +539,32 @@ def test_language_distance_equals_brute_force(spark):
         rows.append((i, rng.choice([" ", ", ", "-", "7"]).join(words), lang, "s", 1))
     rows += [(300, "long text here " * 30000, None, "s", 1), (301, "İstanbul ǅ ß", None, "s", 1), rows[0], rows[0], (302, "tie", None, "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("id", F.lit(1))
-    profiles = {}
-    for lang in letters:
+    want = brute_languages(rows)
+    for r in language_id.identify(df).collect():
+        assert (r["lang_pred"], round(r["score"], 9)) == want(r["text"])
+
+
+def brute_languages(rows):
+    """A function from texts to (language, score), from profiles of the rows' training fold."""
+    profiles, k = {}, language_id.PROFILE
+    for lang in {r[2] for r in rows} - {None}:
         total = Counter()
         for i, text, own, *_ in rows:
-            if own == lang and zlib.crc32(str(i).encode()) % 5:
-                points, n = language_id.grams_of(text)
-                total.update(dict(zip(map(language_id.spelt, points.tolist()), n.tolist(), strict=True)))
-                assert list(map(language_id.spelt, language_id.top_grams(points, n, 10**6).tolist())) == brute_grams(text)
+            if own == lang and text and i is not None and zlib.crc32(str(i).encode()) % 5 and (found := language_id.grams_of(text)):
+                total.update(dict(zip(map(language_id.spelt, found[0].tolist()), found[1].tolist(), strict=True)))
+                assert list(map(language_id.spelt, language_id.top_grams(*found, 10**6).tolist())) == brute_grams(text)
         ordered = sorted(total.items(), key=lambda x: (-x[1], [*map(ord, x[0].rjust(3, "\0"))]))
-        profiles[lang] = {g: at for at, (g, _) in enumerate(ordered[: language_id.PROFILE])}
-    for r in language_id.identify(df).collect():
-        own = brute_grams(r["text"])[: language_id.PROFILE]
-        distance = {k: sum(abs(p[g] - at) if g in p else language_id.PROFILE for at, g in enumerate(own)) for k, p in profiles.items()}
+        profiles[lang] = {g: at for at, (g, _) in enumerate(ordered[:k])}
+
+    def predict(text):
+        own = brute_grams(text or "")[:k]
+        if not own:
+            return "und", 0.0
+        distance = {x: sum(abs(p[g] - at) if g in p else k for at, g in enumerate(own)) for x, p in profiles.items()}
         best = min(sorted(distance), key=distance.get)
-        assert (r["lang_pred"], round(r["score"], 9)) == (best, round(1 - distance[best] / (language_id.PROFILE * len(own)), 9))
+        return best, round(1 - distance[best] / (k * len(own)), 9)
+
+    return predict
 
 
 # ---------------------------------------------------------------- toxicity
@@ -751,6 +762,14 @@ _BASE = [
 ]
 
 
+_ADDED = {
+    "github": re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), "slack": re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"),
+    "stripe": re.compile("[rs]k_live_[A-Za-z0-9]{16,}"), "google": re.compile("AIza[A-Za-z0-9_-]{35,}"),
+    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    "private_key": re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), "bearer": re.compile("bearer\x20+[A-Za-z0-9._+/=-]{20,}", re.I | re.A),
+}
+
+
 def brute_spans(text):
     found = [(m.start(), i, m.end(), k) for i, (k, r, ok) in enumerate(_BASE) for m in r.finditer(text or "") if ok(m)]
     return [(s, e, k) for s, _, e, k in sorted(found)]
@@ -765,12 +784,7 @@ def test_scanner_equals_the_expressions():
         text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
         assert [x for x in scanner.spans(text) if x[2] in ("assign", "access", "hex")] == brute_spans(text), text
 
-    added = {
-        "github": re.compile("gh[pousr]_[A-Za-z0-9]{36,}"), "slack": re.compile("xox[abprs]-[A-Za-z0-9-]{10,}"),
-        "stripe": re.compile("[rs]k_live_[A-Za-z0-9]{16,}"), "google": re.compile("AIza[A-Za-z0-9_-]{35,}"),
-        "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-        "private_key": re.compile("-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), "bearer": re.compile("bearer\x20+[A-Za-z0-9._+/=-]{20,}", re.I | re.A),
-    }
+    added = _ADDED
     assert [r.kind for r in secret_scan.RULES if not r.base] == list(added)
     parts = ["ghp_", "gho_", "xoxb-", "sk_live_", "rk_live_", "AIza", "eyJ", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "Bearer ", "bearer", "  ",
              "a1B2c3D4", "Zz9Yy8Xx7Ww6Vv5Uu4", "eyJhbGciOiJI.", "eyJzdWIiOiIx.", "0123456789abcdef", "_", "-", ".", " ", "é", "=", "token=", "AKIA"]
