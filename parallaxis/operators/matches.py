@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +36,7 @@ def mutual_nearest(left: DataFrame, right: DataFrame) -> DataFrame:
     """
 
     def sided(table: pa.Table, side: int) -> tuple[pa.ChunkedArray, np.ndarray]:
-        table = table.filter(pa.compute.equal(table["side"], side)).sort_by("kp").combine_chunks()
+        table = table.filter(pc.equal(table["side"], side)).sort_by("kp").combine_chunks()
         if not table.num_rows:
             return table["kp"], np.zeros((0, 0))
         vectors = table["vector"].combine_chunks()
