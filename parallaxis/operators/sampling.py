@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,14 @@ from ..sources import scratch
 from .ordering import seeded
 
 
+def interpolated(low: float, high: float, part: float) -> float:
+    """low * (1 - part) + high * part with one rounding of the first product and the sum, as a fused multiply-add gives it.
+
+    Values that equal an edge belong below it, so an edge's last bit decides the bin of all of them; the SQL's engine fuses.
+    """
+    return float(Fraction(low) * Fraction(1 - part) + Fraction(high * part))
+
+
 def quantile_edges(values: DataFrame, bins: int) -> DataFrame:
     """values(metric, value) to (metric, edges): the exact quantiles at 0, 1/bins, ..., interpolated, equal ones merged.
 
@@ -28,9 +37,10 @@ def quantile_edges(values: DataFrame, bins: int) -> DataFrame:
     up_to = F.sum("n").over(Window.partitionBy("metric", "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
     placed = parts.withColumn("up_to", up_to).join(shifts, ["metric", "part"])
     end, wanted = F.col("up_to") + F.col("shift"), F.array(*map(F.lit, range(bins + 1)))
+    shares = F.array(*(F.lit(i / bins) for i in range(bins + 1)))
 
     def at(i: Column) -> Column:
-        return (F.col("total") - 1) * i / bins
+        return (F.col("total") - 1).cast("double") * F.get(shares, i)
 
     def here(place: Column) -> Column:
         return (place >= end - F.col("n")) & (place < end)
@@ -39,7 +49,8 @@ def quantile_edges(values: DataFrame, bins: int) -> DataFrame:
     found = placed.withColumn("hits", hits).where(F.size("hits") > 0).withColumn("i", F.explode("hits")).withColumn("at", at(F.col("i")))
     low = F.max(F.when(here(F.floor("at")), F.col("value")))
     high = F.max(F.when(here(F.ceil("at")), F.col("value")))
-    edge = F.when(F.floor("at") == F.ceil("at"), F.col("low")).otherwise((F.ceil("at") - F.col("at")) * F.col("low") + (F.col("at") - F.floor("at")) * F.col("high"))
+    # eleven rows a metric, for ten bins
+    edge = F.when(F.floor("at") == F.ceil("at"), F.col("low")).otherwise(F.udf(lambda *x: interpolated(*x), "double")("low", "high", F.col("at") - F.floor("at")))
     each = found.groupBy("metric", "i", "at").agg(low.alias("low"), high.alias("high")).select("metric", edge.alias("edge"))
     return each.groupBy("metric").agg(F.array_sort(F.collect_set("edge")).alias("edges"))
 

@@ -464,3 +464,16 @@ def test_temporary_share_is_a_rounded_quotient(spark):
 
     rows = spark.range(640).selectExpr("1 as pair_id", "0 as y", "cast(id as int) as x", "cast(if(id < 333, 11, 0) as int) as left_label", "0 as right_label")
     assert features.mask_columns(rows, features.Frame(640, 1, (0,), (11,))).first()["seg_temp_union_fraction"] == 0.520312
+
+
+def test_quantile_edges_equal_the_sql_to_the_last_bit(spark):
+    """Equal neighbours, too: an edge between them can differ from both by one bit."""
+    import duckdb
+
+    shares = ", ".join(str(i / 10) for i in range(11))
+    rows = [(f"m{n}", round(((i * 7919) % n) * 0.01 // 0.05 * 0.05 + 0.01 * (n % 3), 2)) for n in range(2, 60) for i in range(n)]
+    found = {r[0]: r[1] for r in sampling.quantile_edges(spark.createDataFrame(rows, "metric string, value double"), 10).collect()}
+    for m in found:
+        values = ", ".join(f"({v}::double)" for k, v in rows if k == m)
+        want = duckdb.sql(f"select list_sort(list_distinct(quantile_cont(v, [{shares}]))) from (values {values}) as t(v)").fetchall()[0][0]
+        assert found[m] == want, m
