@@ -13,11 +13,12 @@ from .area import _DONE, _IDS, _ids, _pairs
 
 def stream_resume(spark, sf):
     """Pairs arrive as files, some were done before; a sink appends each of the others once."""
-    pairs = _ids(pairing.area_pairs(fx.images(spark, sf), order="k", distinct=True))
     source, sink, checkpoint = (scratch.folder(spark, n) for n in ("pairs", "appended", "checkpoint"))
+    # every batch reads what was done, and both deliveries are the same pairs: found once
+    pairs = scratch.written(_ids(pairing.area_pairs(fx.images(spark, sf), order="k", distinct=True)), "found")
     pairs.repartition(3).write.parquet(source)
     # the second delivery repeats the first one
-    pairs.where("cast(id_left as long) % 2 = 0").write.mode("append").parquet(source)
+    pairs.where("cast(id_left as long) % 2 = 0").repartition(3).write.mode("append").parquet(source)
     done = pairs.where("cast(id_left as long) % 3 = 0").select(F.col("id_right").alias("id_left"), F.col("id_left").alias("id_right"))
     arriving = spark.readStream.schema(pairs.schema).option("maxFilesPerTrigger", 2).parquet(source)
     query = incremental.append_pending(arriving, sink, checkpoint, lambda rows: rows, done)

@@ -23,7 +23,7 @@ def append_pending(
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         key = F.struct(F.least("id_left", "id_right"), F.greatest("id_left", "id_right"))
-        todo = rows.dropDuplicates(["id_left", "id_right"]).withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
+        todo = rows.withColumn("__key", key).dropDuplicates(["__key"]).drop("__key")
         for before in (done, _finished(spark, path, number)):
             if before is not None:
                 todo = pending(todo, before)

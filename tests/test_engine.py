@@ -519,3 +519,23 @@ def test_hulls_and_homographies_of_many_pairs_are_quick(spark):
     raster.hulls_of_groups(*flat, np.arange(0, 1801, 30), 512, 1024)
     assert (time.process_time() - began) / 60 < 0.012
     assert min(s[0] for s in supports) >= 25
+
+
+def test_streamed_pairs_are_found_once(spark, monkeypatch):
+    """Neither the deliveries nor any batch may search for the pairs again: after the search they are read from a table."""
+    from parallaxis.plans import streams
+
+    found, real = [], streams._ids
+    monkeypatch.setattr(streams, "_ids", lambda pairs: found.append(spark.sparkContext.accumulator(0)) or counted(real(pairs), found[-1]))
+
+    def counted(rows, seen):
+        def run(batches):
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(run, rows.schema)
+
+    pairs = streams.pairing.area_pairs(streams.fx.images(spark, "/root/testdata/sf0.001"), order="k", distinct=True).count()
+    streams.stream_resume(spark, "/root/testdata/sf0.001")
+    assert found[0].value == pairs
