@@ -52,8 +52,8 @@ SKETCH_WORDS = 16
 BLOCK_SETS, BLOCK_ELEMENTS = 2048, 2_000_000
 #: Groups above LEAST_PART sets are dealt into this many parts or more, so that a large one fills several tasks.
 PARTS, LEAST_PART = 8, 256
-#: Class ids up to which they are sent to all tasks that read texts again (8 bytes each); else a join.
-BROADCAST_IDS = 500_000
+#: Class ids up to which they are sent to all tasks that read texts again (8 bytes each, 16 MB); else a join.
+BROADCAST_IDS = 2_000_000
 CACHE_WORDS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -330,34 +330,41 @@ def _list_edges(docs: DataFrame, nodes: DataFrame, groups: DataFrame, words: int
     placed = members.join(sizes.select("label", blocks.cast("int").alias("blocks")), "label").withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
-    wanted = members.select("doc_id", "digest", "node")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")).where("id is not null")
+    ids = members.select("doc_id").distinct()
     if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    found = texts.join(wanted, F.col("id") == F.col("doc_id")).select("node", "digest", "text")
+        # as one array of numbers: rows of a joined table take the driver several times as many bytes
+        numbers = ids.toArrow().column(0).to_numpy()
+        sent = docs.sparkSession.sparkContext.broadcast(np.sort(numbers))
+    else:
+        sent, texts = None, texts.join(ids, F.col("id") == F.col("doc_id"), "left_semi")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            out_nodes, out = [], []
-            for node, digest, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = shingler.elements(text).tobytes()
-                if xxhash.xxh3_128_digest(data) == digest:  # of rows that repeat an id, the class's own
-                    out_nodes.append(node)
-                    out.append(data)
+            if sent is not None:
+                wanted = sent.value
+                at = np.searchsorted(wanted, batch.column(0).to_numpy())
+                hit = np.zeros(batch.num_rows, bool)
+                inside = at < len(wanted)
+                hit[inside] = wanted[at[inside]] == batch.column(0).to_numpy()[inside]
+                batch = batch.filter(pa.array(hit))
+            out = [shingler.elements(text).tobytes() for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out_nodes, pa.int64()), pa.array(out, pa.binary())], names=["node", "elements"]
+                [batch.column(0), pa.array([xxhash.xxh3_128_digest(x) for x in out], pa.binary()), pa.array(out, pa.binary())],
+                names=["doc_id", "digest", "elements"],
             )
 
-    sets = map_batches(found, shingle, "node long, elements binary")
+    sets = map_batches(texts, shingle, "doc_id long, digest binary, elements binary")
     pairing = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda other: F.struct(F.least("part", other).alias("first_part"), F.greatest("part", other).alias("second_part")),
     )
     dealt = (
-        placed.select("node", "label", "part", F.explode(pairing).alias("pair"))
-        .select("node", "label", "part", "pair.first_part", "pair.second_part")
-        .join(sets, "node")
+        placed.select("node", "doc_id", "digest", "label", "part", F.explode(pairing).alias("pair"))
+        .select("node", "doc_id", "digest", "label", "part", "pair.first_part", "pair.second_part")
+        .join(sets, ["doc_id", "digest"])  # of rows that repeat an id, the class's own
+        .drop("doc_id", "digest")
     )
     return dealt.groupBy("label", "first_part", "second_part").applyInPandas(_merge_block(threshold), "a long, b long")
 

@@ -906,3 +906,15 @@ def test_components_of_chains_and_stars(spark):
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[119] == 100 and got[201] == 200 and 7 in got
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_ids_of_candidates_are_sent_as_numbers(docs, monkeypatch):
+    """No table is broadcast on purpose; beyond the bound a join gives the same rows."""
+
+    def fail(*_):
+        raise AssertionError("a table would pass through the driver")
+
+    monkeypatch.setattr(jaccard_join.F, "broadcast", fail)
+    sent = Counter(tuple(r) for r in jaccard_join.link(docs, 5, 80, 100).collect())
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", -1)
+    assert Counter(tuple(r) for r in jaccard_join.link(docs, 5, 80, 100).collect()) == sent
