@@ -513,11 +513,11 @@ def test_hulls_and_homographies_of_many_pairs_are_quick(spark):
     rng = np.random.default_rng(6)
     src = rng.uniform(0, 500, (60, 30, 2))
     dst = src + rng.normal(0, 1, src.shape)
-    began = time.process_time()
+    began = time.thread_time()
     supports = [raster.homography_support(s, d) for s, d in zip(src, dst, strict=True)]
     flat = [np.ascontiguousarray(p[..., c].ravel()) for p in (src, dst) for c in (0, 1)]
     raster.hulls_of_groups(*flat, np.arange(0, 1801, 30), 512, 1024)
-    assert (time.process_time() - began) / 60 < 0.012
+    assert (time.thread_time() - began) / 60 < 0.012
     assert min(s[0] for s in supports) >= 25
 
 
@@ -539,3 +539,8 @@ def test_streamed_pairs_are_found_once(spark, monkeypatch):
     pairs = streams.pairing.area_pairs(streams.fx.images(spark, "/root/testdata/sf0.001"), order="k", distinct=True).count()
     streams.stream_resume(spark, "/root/testdata/sf0.001")
     assert found[0].value == pairs
+
+
+def test_kept_samples_do_not_hold_whole_permutations():
+    picks = raster._picks(300, 50, 4, 1)
+    assert picks.base is None and picks.shape == (50, 4)
