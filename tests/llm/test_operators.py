@@ -918,3 +918,28 @@ def test_ids_of_candidates_are_sent_as_numbers(docs, monkeypatch):
     sent = Counter(tuple(r) for r in jaccard_join.link(docs, 5, 80, 100).collect())
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", -1)
     assert Counter(tuple(r) for r in jaccard_join.link(docs, 5, 80, 100).collect()) == sent
+
+
+def test_op5_step_places_each_decision_in_the_map_once(monkeypatch):
+    """Learning takes from the prediction what it needs; a step without anything to learn moves nothing."""
+    import numpy as np
+
+    from parallaxis.llm import mixing
+
+    calls, real = [], mixing.Mixer._buckets
+    monkeypatch.setattr(mixing.Mixer, "_buckets", staticmethod(lambda depth, x: calls.append(len(x)) or real(depth, x)))
+    rng = np.random.default_rng(3)
+    symbols = rng.integers(0, 9, 400)
+    contexts = [np.zeros(400, np.uint32), mixing.hashed(np.append(0, symbols[:-1])), *(mixing.hashed(symbols // k) for k in (2, 3))]
+    tables = mixing.Tables(mixing.Code(np.bincount(symbols, minlength=9)), (0, 8, 9, 10))
+    counts = tables.empty()
+    tables.note(counts, tables.decisions(symbols, contexts))
+    model = mixing.Predictor(tables, [c.astype(np.float32) for c in counts], (1, 2))
+    every, none = np.ones(400, bool), np.zeros(400, bool)
+    one, two = model.run([(symbols, contexts, every, every)] * 2)
+    assert len(calls) == 3  # the first step teaches before it is scored
+    before = [v.copy() for v in (model.mixer.weights, model.mixer.refine, model.mixer.curve)]
+    for _ in model.run([(symbols, contexts, every, none)]):
+        pass
+    assert all(np.array_equal(a, b) for a, b in zip(before, (model.mixer.weights, model.mixer.refine, model.mixer.curve), strict=True))
+    assert two.sum() > one.sum() - 1
