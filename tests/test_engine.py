@@ -600,3 +600,11 @@ def test_fits_have_the_last_direction_below_nine_rows():
     src = np.array([[0, 0], [9, 1], [8, 7], [1, 9]], float)
     m = np.array([[1.1, 0.1, 3], [-0.2, 0.9, 5], [1e-3, 2e-3, 1]])
     assert np.allclose(raster.fit_homography(src, raster.apply_homography(m, src)), m)
+
+
+def test_plain_rows_gather_a_pairs_points_once(spark):
+    """Hulls and homographies gathered, sorted and read the same points one after the other."""
+    from parallaxis.plans import registry
+
+    plan = registry.queries()["result_table"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "collect_list(struct(lx" not in plan
