@@ -943,3 +943,48 @@ def test_op5_step_places_each_decision_in_the_map_once(monkeypatch):
         pass
     assert all(np.array_equal(a, b) for a, b in zip(before, (model.mixer.weights, model.mixer.refine, model.mixer.curve), strict=True))
     assert two.sum() > one.sum() - 1
+
+
+def test_op5_spells_each_pair_of_context_and_symbol_once(monkeypatch):
+    """Counts of a sequence that repeats itself are those of its single decisions, and take those of its distinct pairs only."""
+    rng = np.random.default_rng(5)
+    symbols = np.tile(rng.integers(0, 9, 50), 40)
+    contexts = [np.zeros(2000, np.uint32), *(mixing.hashed(np.roll(symbols, k)) for k in (1, 2)), mixing.hashed(np.roll(symbols, 1), np.roll(symbols, 2))]
+    tables = mixing.Tables(mixing.Code(np.bincount(symbols, minlength=9)), (0, 8, 9, 10))
+    want, got, spelt = tables.empty(), tables.empty(), []
+    tables.note(want, tables.decisions(symbols, contexts))
+    real = mixing.Tables.decisions
+    monkeypatch.setattr(mixing.Tables, "decisions", lambda self, s, c: spelt.append(len(s)) or real(self, s, c))
+    tables.note_all(got, symbols, contexts)
+    assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+    assert sum(spelt) == sum(len(set(zip(c.tolist(), symbols.tolist(), strict=True))) for c in contexts)
+    nothing = tables.empty()
+    tables.note_all(nothing, symbols[:0], [c[:0] for c in contexts])
+    assert not any(c.any() for c in nothing)
+
+
+def test_op5_models_share_evidence_and_learn_apart():
+    symbols = np.random.default_rng(6).integers(0, 5, 300)
+    tables = mixing.Tables(mixing.Code(np.bincount(symbols, minlength=5)), (0, 8, 9))
+    contexts = [np.zeros(300, np.uint32), mixing.hashed(np.roll(symbols, 1)), mixing.hashed(np.roll(symbols, 2))]
+    counts, every = tables.empty(), np.ones(300, bool)
+    tables.note_all(counts, symbols, contexts)
+    first = mixing.Predictor(tables, counts, (1, 2))
+    costs = []
+    for model in (first.anew(), first.anew()):
+        assert all(a is b for a, b in zip(model.odds, first.odds, strict=True))
+        costs += model.run([(symbols, contexts, every, every)])
+    assert np.array_equal(*costs) and not first.mixer.refine.any()
+
+
+def test_op5_words_by_kernels_equal_those_of_each_text():
+    import pyarrow as pa
+
+    texts = ["", " ", "A b\ta", " \x1c x\x85Y  c\xa0d\x0b\x0ce F\x00g\x1f\xc0\xc9 ABC\n\r", "one", "\n\nTwo  tWo", "end "]
+    for kind in (pa.string(), pa.large_string()):
+        for low, high in ((0, 7), (2, 6), (0, 2), (3, 3)):
+            words, n_words, n_bytes = lm_scoring.words_of(pa.array(texts, kind).slice(low, high - low))
+            want = [lm_scoring.tokens_of(t) for t in texts[low:high]]
+            assert words.to_pylist() == [w for t in want for w in t] and words.type == pa.binary()
+            assert n_words.tolist() == [len(t) for t in want] and n_bytes.tolist() == [sum(map(len, t)) for t in want]
+    assert all(lm_scoring.restored(lm_scoring.squeezed(x)) == x for x in (b"", b"a", bytes(100_000)))
