@@ -988,3 +988,9 @@ def test_op5_words_by_kernels_equal_those_of_each_text():
             assert words.to_pylist() == [w for t in want for w in t] and words.type == pa.binary()
             assert n_words.tolist() == [len(t) for t in want] and n_bytes.tolist() == [sum(map(len, t)) for t in want]
     assert all(lm_scoring.restored(lm_scoring.squeezed(x)) == x for x in (b"", b"a", bytes(100_000)))
+
+
+def test_op5_class_bytes_that_deal_segments_stay_zlib():
+    """Segments follow from these bytes: another codec gives other segments, and so other scores."""
+    classes = np.array([7, 300, 1, 7, 2])
+    assert np.array_equal(lm_scoring._classes(zlib.compress(classes.astype("<u2").tobytes(), 1)), classes)
